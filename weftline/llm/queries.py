@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from weftline.llm import decontam, langid, licenses, neardup, packing, quality, records, sharding, substring
+from weftline.llm import decontam, langid, licenses, lmscore, neardup, packing, quality, records, sharding, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held = langid.held_out(docs, 5, 1)
+    found = lmscore.score_documents(docs, ~held)
+    return found.select("doc_id", langid.held_out(found, 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bestfit_packing, op6_substring_dedup, op7_language_id, op8_binary_records, op9_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bestfit_packing, op6_substring_dedup, op7_language_id, op8_binary_records, op9_sharding, op10_lm_scoring, pipeline)}
 ORACLE_SQL: dict[str, str] = {}
