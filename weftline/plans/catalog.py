@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from functools import partial
+
+from weftline.plans import aggregates, inference, serving, similarity, views
+
+_NAMES = [*similarity.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES]
+QUERIES = {name: partial(lambda name, spark, sf_dir: views.dataframe(spark, sf_dir, name), name) for name in _NAMES}
+ORACLE_SQL = {name: views.oracle(name) for name in _NAMES}
