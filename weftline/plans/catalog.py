@@ -4,8 +4,15 @@ from __future__ import annotations
 
 from functools import partial
 
-from weftline.plans import aggregates, inference, serving, similarity, views
+from pyspark.sql import DataFrame, SparkSession
 
-_NAMES = [*similarity.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES]
-QUERIES = {name: partial(lambda name, spark, sf_dir: views.dataframe(spark, sf_dir, name), name) for name in _NAMES}
-ORACLE_SQL = {name: views.oracle(name) for name in _NAMES}
+from weftline.plans import aggregates, inference, serving, similarity, stateful, views
+
+
+def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.dataframe(spark, sf_dir, name)
+
+
+_WITH_SQL = [*similarity.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES, *stateful.QUERIES]
+QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY]}
+ORACLE_SQL = {name: views.oracle(name) for name in _WITH_SQL}
