@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.llm._blocks import BLOCK_BYTES, block_count, in_blocks
 from weftline.llm._words import MULT, hash_words, inside, mix, split_words, window_hashes
@@ -82,7 +83,7 @@ def find_copies(docs: DataFrame) -> DataFrame:
     return ids.join(first, ["h1", "h2", "h3"]).filter("doc_id > first").select("doc_id")
 
 
-def mark_repeats(docs: DataFrame, out, schema: str, width: int = WIDTH, prefix: int = PREFIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WIDTH, prefix: int = PREFIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Apply ``out(block, removed, table)`` to each block of ``docs``, where ``removed`` tells which words go."""
     n_blocks = block_count(docs, block_bytes)
     n_parts = max(8, n_blocks // 2)
@@ -200,6 +201,6 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         return pa.table({"row": table.column("row").take(pa.array(b.order)), "text": pa.array(texts, pa.string())})
 
     packed = docs.select(F.col("doc_id").cast("long"), "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))
-    row = packed.schema["row"].dataType.simpleString()
-    done = mark_repeats(packed, out, f"row {row}, text string", width)
+    schema = StructType([packed.schema["row"], StructField("text", StringType())])
+    done = mark_repeats(packed, out, schema, width)
     return done.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
