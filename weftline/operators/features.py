@@ -71,4 +71,22 @@ def dom_nodes(cards: DataFrame) -> DataFrame:
     up = nodes.filter("not void").select("slot", (F.col("depth") + 1).alias("depth"), F.col("pos").alias("above"))
     below = nodes.select("slot", "depth", "pos").join(up, ["slot", "depth"]).filter("above < pos")
     parent = below.groupBy("slot", "pos").agg(F.max("above").alias("parent"))
-    return nodes.join(parent, ["slot", "pos"], "left").select(*KEY, "pos", "tag", "depth", "parent")
+    return nodes.join(parent, ["slot", "pos"], "left").select(*KEY, "pos", "tag", "depth", "void", "parent")
+
+
+def tag_paths(nodes: DataFrame) -> DataFrame:
+    """Distinct ``token``: root-to-leaf tag paths, by one pass over a card's elements with the open path as state."""
+    listed = nodes.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("pos", "tag", "depth", "void"))).alias("n"))
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("paths"))
+
+    def step(state: Column, i: Column) -> Column:
+        node, after = F.get("n", i), F.get("n", i + 1)
+        path = F.concat(F.slice(state["open"], 1, F.greatest(node["depth"] - 1, F.lit(0)).cast("int")), F.array(node["tag"]))
+        inner = ~node["void"] & F.coalesce(after["depth"] == node["depth"] + 1, F.lit(False))
+        return F.struct(
+            F.when(node["void"], state["open"]).otherwise(path).alias("open"),
+            F.when(inner, state["paths"]).otherwise(F.concat(state["paths"], F.array(F.array_join(path, ">")))).alias("paths"),
+        )
+
+    folded = F.aggregate(F.sequence(F.lit(0), F.size("n") - 1), start, step, lambda state: state["paths"])
+    return listed.select(*KEY, F.explode(F.array_distinct(folded)).alias("token"))

@@ -34,7 +34,7 @@ FRAME("tags", lambda s, d, cards: features.tag_tokens(cards), f"""SELECT batch,
   (SELECT *, lower(regexp_replace(raw, '^</?', '')) AS tag, starts_with(raw, '</') AS closing FROM
     (SELECT batch, config, config_ord, slot, unnest(x) AS raw, unnest(range(0, len(x))) AS pos FROM
       (SELECT *, regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '</?[a-zA-Z][a-zA-Z0-9]*') AS x FROM cards)))""", "cards")
-FRAME("nodes", lambda s, d, cards: features.dom_nodes(cards), """SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, n.tag, n.depth,
+FRAME("nodes", lambda s, d, cards: features.dom_nodes(cards), """SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, n.tag, n.depth, n.void,
   (SELECT max(u.pos) FROM levels u WHERE u.slot = n.slot AND u.depth = n.depth - 1 AND u.pos < n.pos AND NOT u.void) AS parent FROM {levels} n""", "cards")
 VIEW("levels", """SELECT * FROM (SELECT *, 1 + coalesce(CAST(sum(CASE WHEN void THEN 0 WHEN closing THEN -1 ELSE 1 END)
   OVER (PARTITION BY slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS depth FROM {tags}) WHERE NOT closing""")
@@ -91,12 +91,9 @@ jaccard("feature_jaccard_pairs", "feature_set")
 
 # root-to-leaf paths
 VIEW("inner_nodes", "SELECT DISTINCT slot, parent AS pos FROM {nodes} WHERE parent IS NOT NULL")
-VIEW("tag_paths", """WITH RECURSIVE paths AS (SELECT batch, config, config_ord, slot, pos, CAST(tag AS STRING) AS path FROM {nodes} WHERE parent IS NULL
-  UNION ALL SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, p.path || '>' || n.tag FROM {nodes} n JOIN paths p ON n.slot = p.slot AND n.parent = p.pos)
-  SELECT DISTINCT p.batch, p.config, p.config_ord, p.slot, p.path AS token FROM paths p LEFT ANTI JOIN {inner_nodes} i ON p.slot = i.slot AND p.pos = i.pos""",
-  """WITH RECURSIVE paths AS (SELECT batch, config, config_ord, slot, pos, tag AS path FROM {nodes} WHERE parent IS NULL
-  UNION ALL SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, p.path || '>' || n.tag FROM {nodes} n JOIN paths p ON n.slot = p.slot AND n.parent = p.pos)
-  SELECT DISTINCT p.batch, p.config, p.config_ord, p.slot, p.path AS token FROM paths p WHERE NOT EXISTS (SELECT 1 FROM {inner_nodes} i WHERE p.slot = i.slot AND p.pos = i.pos)""")
+FRAME("tag_paths", lambda s, d, nodes: features.tag_paths(nodes), """WITH RECURSIVE paths AS (SELECT batch, config, config_ord, slot, pos, tag AS path FROM nodes WHERE parent IS NULL
+  UNION ALL SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, p.path || '>' || n.tag FROM nodes n JOIN paths p ON n.slot = p.slot AND n.parent = p.pos)
+  SELECT DISTINCT p.batch, p.config, p.config_ord, p.slot, p.path AS token FROM paths p WHERE NOT EXISTS (SELECT 1 FROM {inner_nodes} i WHERE p.slot = i.slot AND p.pos = i.pos)""", "nodes")
 jaccard("tagpath_jaccard_pairs", "tag_paths")
 
 # pq-grams (p = 2, q = 3) as multisets and their Dice similarity

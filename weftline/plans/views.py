@@ -31,7 +31,7 @@ VIEWS: dict[str, View] = {}
 
 
 def _inputs(text: str) -> tuple[str, ...]:
-    return tuple(dict.fromkeys(re.findall(r"\{(\w+)\}", text)))
+    return tuple(dict.fromkeys(x for x in re.findall(r"\{(\w+)\}", text) if len(x) > 2))
 
 
 def VIEW(name: str, text: str, duck: str | None = None) -> None:  # noqa: N802
@@ -90,5 +90,5 @@ def oracle(name: str) -> str:
         text = VIEWS[x].duck
         for k, (_, d) in NAMES.items():
             text = text.replace(k, d)
-        parts.append(f"{x} AS ({re.sub(r'{(\w+)}', r'\1', text)})")
+        parts.append(f"{x} AS ({re.sub(r'{(\w+)}', lambda m: m[1] if m[1] in VIEWS or m[1] in TABLES else m[0], text)})")
     return f"WITH RECURSIVE {', '.join(parts)} SELECT * FROM {name}"
