@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes aimed at in one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES, text: str = "text") -> int:
