@@ -44,19 +44,15 @@ def token_bucket(requests: DataFrame) -> DataFrame:
 
 
 def token_bucket_stream(requests: DataFrame) -> DataFrame:
-    """The same on a stream; a voter's state is two numbers and goes after the bucket has been full for a while."""
+    """The same on a stream; a voter's state is two numbers and stays."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         tokens, last = state.get if state.exists else (TOKENS, None)
         rows, tokens, last = take(pd.concat(list(frames)).sort_values(["t", "event_id"]), tokens, last)
         state.update((float(tokens), float(last)))
-        state.setTimeoutDuration(int(REFILL_S * 1000))
         yield rows[["voter", "event_id", "allowed", "tokens"]]
 
-    return requests.groupBy("voter").applyInPandasWithState(run, "voter long, event_id long, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.groupBy("voter").applyInPandasWithState(run, "voter long, event_id long, allowed boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def stream_pairs(spark, sf_dir: str, out: str) -> DataFrame:
