@@ -160,6 +160,17 @@ def test_perplexity_probabilities_sum_to_one_and_bands_reject(spark):
     assert out.columns == ["doc_id", "text", "lang", "kept"]
 
 
+def test_copies_of_one_text_do_not_narrow_the_band(spark):
+    rng = np.random.default_rng(5)
+    words = {x: ["".join(rng.choice(list(x), rng.integers(3, 9))) for _ in range(300)] for x in ("abcdefgh", "nopqrstu")}
+    text = lambda x: " ".join(rng.choice(words[x], 120))
+    rows = [(i, text("abcdefgh"), "de") for i in range(60)] + [(1000 + i, text("nopqrstu"), "en") for i in range(540)]
+    copy = text("abcdefgh")
+    data = spark.createDataFrame([(int(i), str(t), x) for i, t, x in rows + [(2000 + i, copy, "de") for i in range(300)]], "doc_id long, text string, lang string")
+    assert quality.quality_report(data).filter("lang = 'de' and kept").count() == 360
+    assert quality.filter_documents(data).filter("lang = 'de'").count() == 360
+
+
 def test_quality_without_rows(empty):
     assert quality.quality_report(empty).count() == 0 and quality.filter_documents(empty).count() == 0
 
