@@ -96,6 +96,36 @@ def test_large_buckets_are_parted_and_nothing_is_lost(spark):
     assert len(set(label.values())) == 2
 
 
+def test_star_of_edits_in_large_buckets_stays_whole(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "idf_table", lambda df, n: np.ones(1 << neardup.DF_BITS, np.float32))
+    rng = np.random.default_rng(8)
+    centre, rows = [f"w{k}" for k in range(100)], []
+    for i in range(6000):  # each is 0.81 like the centre; most are 0.65 like each other
+        words = list(centre)
+        for k in (rng.integers(4, 48), rng.integers(52, 96)):
+            words[k] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    data = spark.createDataFrame([*rows, (9999, " ".join(centre))], "doc_id long, text string")
+    keys = neardup.band_keys(data, np.ones(1 << neardup.DF_BITS, np.float32)).collect()
+    own = set(enumerate(next(r["keys"] for r in keys if r.doc_id == 9999)))
+    meet = {r.doc_id for r in keys if own & set(enumerate(r["keys"]))}
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(data).collect()}
+    assert len(meet) > 5900 and len({got[i] for i in meet}) == 1
+
+
+def test_blocks_hold_every_pair_of_the_rest(spark):
+    rows = [(b, 100 * b + i, i < n_out, 30 - n_out, n_out) for b, n_out in ((1, 7), (2, 1), (3, 25)) for i in range(30)]
+    rest = spark.createDataFrame(rows, "bucket long, doc_id long, outer boolean, n_in long, n_out long")
+    groups, met = collections.defaultdict(list), set()
+    for r in neardup._to_all(rest, 10).collect():
+        groups[r.bucket].append((r.doc_id, r.lead))
+    for members in groups.values():
+        assert len({i for i, _ in members}) == len(members)
+        met |= {frozenset((i, j)) for i, lead in members if lead for j, _ in members if i != j}
+    outer = {r[1] for r in rows if r[2]}
+    assert met == {frozenset((i[1], j[1])) for i in rows for j in rows if i[0] == j[0] and i[1] != j[1] and outer & {i[1], j[1]}}
+
+
 def test_consistent_samples_estimate_the_weighted_similarity():
     rng = np.random.default_rng(4)
     s = np.arange(1, 401, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)

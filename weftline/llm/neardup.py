@@ -7,7 +7,10 @@
    is parted by keys of other bands, again and again; what stays large is parted by a hash in runs of about half of
    BUCKET that share their first text. So no bucket is dropped and none grows with the corpus.
 4. In each bucket weighted Jaccard similarities of all texts are exact; a forest of the links found is emitted.
-5. Classes are the connected components of links, and of exact copies.
+5. Texts of a large bucket outside of its largest class are compared with the bucket's texts of most links, round by
+   round, and those left in the end with all texts of the bucket, block by block. So every two texts that share a band
+   are compared, or known to be in one class.
+6. Classes are the connected components of links, and of exact copies.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ BUCKET = 2000
 SPLIT_BANDS = 4
 #: Times that large buckets are parted by keys before their texts are parted in runs.
 DEPTH = 3
+#: Texts of most links with which the others of a large bucket are compared in a round.
+REPRESENTATIVES = 64
 #: Texts compared in one task's group of buckets.
 GROUP_TEXTS = 2000
 NO_ID = -(1 << 63)
@@ -138,15 +143,20 @@ def band_keys(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>")
 
 
-def buckets(keys: DataFrame, most: int = BUCKET) -> DataFrame:
-    """``bucket, doc_id`` of the stored ``doc_id, keys``: sets of at least two and at most ``most`` texts."""
+def _sized(rows: DataFrame) -> DataFrame:
+    count = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.min("doc_id").alias("head"))
+    alike = count.filter("n > 1").groupBy("members", "n", "head").agg(F.min("bucket").alias("bucket"))
+    return rows.join(alike.select("bucket", "n", "head"), "bucket")
+
+
+def whole_buckets(keys: DataFrame) -> DataFrame:
+    """``bucket, doc_id, n, head`` of the stored ``doc_id, keys``: all sets of n texts, at least two, that share a band."""
+    return keep(_sized(keys.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc_id")), "buckets")
 
-    def sized(rows: DataFrame) -> DataFrame:
-        count = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("members"), F.min("doc_id").alias("head"))
-        alike = count.filter("n > 1").groupBy("members", "n", "head").agg(F.min("bucket").alias("bucket"))
-        return rows.join(alike.select("bucket", "n", "head"), "bucket")
 
-    rows = keep(sized(keys.select("doc_id", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("bucket"), "doc_id")), "buckets")
+def buckets(keys: DataFrame, most: int = BUCKET, whole: DataFrame | None = None) -> DataFrame:
+    """``bucket, doc_id`` of the stored ``doc_id, keys``: sets of at least two and at most ``most`` texts."""
+    rows = whole_buckets(keys) if whole is None else whole
     done = rows.filter(F.col("n") <= most).select("bucket", "doc_id")
     for depth in range(DEPTH):
         large = rows.filter(F.col("n") > most)
@@ -155,7 +165,7 @@ def buckets(keys: DataFrame, most: int = BUCKET) -> DataFrame:
         own = F.pmod("bucket", F.size("keys"))  # which bands, depends on the bucket
         picked = [F.struct(F.lit(i).alias("i"), F.get("keys", F.pmod(own + depth * SPLIT_BANDS + i, F.size("keys")).cast("int")).alias("key")) for i in range(SPLIT_BANDS)]
         parts = large.join(keys, "doc_id").select("bucket", "doc_id", F.explode(F.array(*picked)).alias("x"))
-        rows = keep(sized(parts.select(F.xxhash64("bucket", "x.i", "x.key", F.lit(depth)).alias("bucket"), "doc_id")), "buckets")
+        rows = keep(_sized(parts.select(F.xxhash64("bucket", "x.i", "x.key", F.lit(depth)).alias("bucket"), "doc_id")), "buckets")
         done = done.union(rows.filter(F.col("n") <= most).select("bucket", "doc_id"))
     large = rows.filter((F.col("n") > most) & (F.col("doc_id") != F.col("head")))
     run = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.ceil(2 * F.col("n") / most))
@@ -163,8 +173,11 @@ def buckets(keys: DataFrame, most: int = BUCKET) -> DataFrame:
     return done.union(runs.select("bucket", "doc_id")).union(runs.select("bucket", F.col("head").alias("doc_id")).distinct())
 
 
-def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A forest of the links between ``members`` (text numbers): pairs whose weighted Jaccard similarity is enough."""
+def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np.ndarray, least: float, first: int = 0) -> list[tuple[int, int]]:
+    """A forest of the links between ``members`` (text numbers): pairs whose weighted Jaccard similarity is enough.
+
+    The members before the place ``first`` are compared with those from there on only.
+    """
     sizes = offsets[members + 1] - offsets[members]
     at = np.concatenate([np.arange(offsets[m], offsets[m + 1]) for m in members])
     _, code = np.unique(s[at], return_inverse=True)
@@ -172,7 +185,7 @@ def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np
     total = np.add.reduceat(weight, starts)
     root, links = np.arange(len(members)), []
     mine = np.zeros(code.max() + 1)
-    for i in range(1, len(members)):
+    for i in range(max(first, 1), len(members)):
         own = slice(starts[i], starts[i] + sizes[i])
         mine[code[own]] = weight[own]
         common = np.add.reduceat(np.minimum(mine[code[: starts[i]]], weight[: starts[i]]), starts[:i])
@@ -186,17 +199,19 @@ def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np
 
 
 def verified_links(docs: DataFrame, found: DataFrame, idf: np.ndarray, least: float = SIMILARITY) -> DataFrame:
-    """``a, b``: links between different texts of the buckets ``found``."""
+    """``a, b``: links between different texts of the buckets ``found``; where it has ``lead``, only of texts with such."""
+    found = found if "lead" in found.columns else found.withColumn("lead", F.lit(True))
     held = docs.sparkSession.sparkContext.broadcast(idf)
     n_groups = max(8, -(-found.count() // GROUP_TEXTS))
 
     def compare(table: pa.Table) -> pa.Table:
         offsets, s, n = shingles(table.column("text"))
         w, ids, bucket = weights(s, n, held.value).astype(float), table.column("doc_id").to_numpy(), table.column("bucket").to_numpy()
-        order = np.lexsort((ids, bucket))
+        lead = table.column("lead").to_numpy()
+        order = np.lexsort((ids, lead, bucket))
         a, b = [], []
         for members in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            for i, j in similar_pairs(offsets, s, w, members, least) if len(members) > 1 else []:
+            for i, j in similar_pairs(offsets, s, w, members, least, int((~lead[members]).sum())) if len(members) > 1 else []:
                 a.append(ids[i])
                 b.append(ids[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -223,6 +238,68 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _outside(large: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket, doc_id, outer, n_in, n_out``: the large buckets with texts outside of their largest class (outer)."""
+    classes = components(links)
+    of = large.select("bucket", "doc_id").join(classes, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    of = keep(of, "classed")
+    sizes = of.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("main"), F.sum("n").alias("n"))
+    main = main.select("bucket", F.col("main.class_id").alias("main"), F.col("main.n").alias("n_in"), (F.col("n") - F.col("main.n")).alias("n_out")).filter("n_out > 0")
+    rows = of.join(F.broadcast(main), "bucket")  # large buckets are few: fewer than keys / BUCKET
+    return keep(rows.select("bucket", "doc_id", (F.col("class_id") != F.col("main")).alias("outer"), "n_in", "n_out"), "outside")
+
+
+def _to_representatives(rest: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """``bucket, doc_id, lead``: runs of the outer texts with their bucket's representatives, which lead."""
+    run = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.ceil(2 * F.col("n_out") / most))
+    outer = rest.filter("outer").join(F.broadcast(reps.withColumn("rep", F.lit(True))), ["bucket", "doc_id"], "left").filter("rep is null")
+    runs = outer.select("bucket", "doc_id", run.alias("run"))
+    led = runs.select("bucket", "run").distinct().join(F.broadcast(reps), "bucket")
+    return runs.withColumn("lead", F.lit(False)).unionByName(led.withColumn("lead", F.lit(True))).select(F.xxhash64("bucket", "run").alias("bucket"), "doc_id", "lead")
+
+
+def _to_all(rest: DataFrame, most: int) -> DataFrame:
+    """``bucket, doc_id, lead``: each block of outer texts (which lead) with each block of the others of its bucket."""
+    blocks = lambda n: F.ceil(2 * F.col(n) / most).cast("int")
+    rows = rest.select("bucket", "doc_id", "outer", blocks("n_in").alias("n_in"), blocks("n_out").alias("n_out"))
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("doc_id", F.lit("block")), F.when(F.col("outer"), F.col("n_out")).otherwise(F.col("n_in"))).cast("int"))
+    up_to = lambda n: F.expr(f"case when {n} > 0 then sequence(0, {n} - 1) else array() end")
+    name = lambda i, kind, j: F.xxhash64("bucket", i, F.lit(kind), j).alias("bucket")
+    outer, inner = rows.filter("outer"), rows.filter("not outer")
+    each = lambda of, numbers: of.select("*", F.explode(numbers).alias("k"))
+    parts = [
+        each(outer, up_to("n_in")).select(name(F.col("at"), "in", F.col("k")), "doc_id", F.lit(True).alias("lead")),
+        each(inner, up_to("n_out")).select(name(F.col("k"), "in", F.col("at")), "doc_id", F.lit(False).alias("lead")),
+        each(outer, F.expr("sequence(at, n_out - 1)")).select(name(F.col("at"), "out", F.col("k")), "doc_id", F.lit(True).alias("lead")),
+        each(outer, up_to("at")).select(name(F.col("k"), "out", F.col("at")), "doc_id", F.lit(False).alias("lead")),
+    ]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def complete_links(texts: DataFrame, large: DataFrame, links: DataFrame, idf: np.ndarray, least: float = SIMILARITY, most: int = BUCKET) -> DataFrame:
+    """``links`` (stored) with those that the buckets ``large`` lack, so that their classes are those of all pairs."""
+    if large.isEmpty():
+        return links
+    used, before = None, None
+    while True:
+        rest = _outside(large, links)
+        left = rest.filter("outer").count()
+        if not left:
+            return links
+        if before is not None and 2 * left > before:  # few of the rest are like any representative
+            more = keep(verified_links(texts, keep(_to_all(rest, most), "blocks"), idf, least), "more-links")
+            return keep(links.union(more).distinct(), "links")
+        degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
+        ranked = rest.join(degree, "doc_id", "left").select("bucket", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"))
+        ranked = ranked if used is None else ranked.join(F.broadcast(used), ["bucket", "doc_id"], "left_anti")
+        order = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("doc_id"))
+        reps = keep(ranked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= REPRESENTATIVES).select("bucket", "doc_id"), "representatives")
+        used, before = reps if used is None else used.union(reps), left
+        more = keep(verified_links(texts, keep(_to_representatives(rest, reps, most), "runs"), idf, least), "more-links")
+        links = keep(links.union(more).distinct(), "links")
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``doc_id, class_id, n_links``: each document with the least doc_id of its group of near duplicates.
 
@@ -239,8 +316,12 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     idf = idf_table(df, n)
     texts = first.select(F.col("first").alias("doc_id"))
     keys = keep(band_keys(rows, idf), "keys").join(texts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = keep(buckets(keep(keys, "band-keys")), "found")
-    links = keep(verified_links(rows.dropDuplicates(["doc_id"]) if _repeated(ids) else rows, found, idf, least), "links")
+    keys = keep(keys, "band-keys")
+    whole = whole_buckets(keys)
+    found = keep(buckets(keys, BUCKET, whole), "found")
+    single = rows.dropDuplicates(["doc_id"]) if _repeated(ids) else rows
+    links = keep(verified_links(single, found, idf, least), "links")
+    links = complete_links(single, whole.filter(F.col("n") > BUCKET), links, idf, least)
     classes = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
     heads = first.join(classes.withColumnRenamed("doc_id", "first"), "first", "left").join(degree, "first", "left")
