@@ -113,6 +113,21 @@ def test_star_of_edits_in_large_buckets_stays_whole(spark, monkeypatch):
     assert len(meet) > 5900 and len({got[i] for i in meet}) == 1
 
 
+def test_edits_of_a_hot_text_are_found_like_others(spark):
+    rng = np.random.default_rng(9)
+    vocab = [f"v{k}" for k in range(5000)]
+    texts = [list(rng.choice(vocab, 100)) for _ in range(3)]
+
+    def edit(words):  # plain Jaccard 86 / 106 = 0.81
+        return [f"new{rng.integers(1 << 40)}" if k in (30, 70) else w for k, w in enumerate(words)]
+
+    rows = [texts[0]] * 300 + [edit(texts[0]) for _ in range(5)] + [texts[1]] + [edit(texts[1]) for _ in range(150)] + [texts[2], edit(texts[2])]
+    rows += [list(rng.choice(vocab, 60)) for _ in range(400)]
+    data = spark.createDataFrame([(i, " ".join(map(str, w))) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(data).collect()}
+    assert got == {i: 0 if i < 305 else 305 if i < 456 else 456 if i < 458 else i for i in range(len(rows))}
+
+
 def test_blocks_hold_every_pair_of_the_rest(spark):
     rows = [(b, 100 * b + i, i < n_out, 30 - n_out, n_out) for b, n_out in ((1, 7), (2, 1), (3, 25)) for i in range(30)]
     rest = spark.createDataFrame(rows, "bucket long, doc_id long, outer boolean, n_in long, n_out long")

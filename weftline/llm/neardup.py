@@ -1,12 +1,15 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of shingles are counted in 2 ** DF_BITS hashed buckets over all documents (a table of fixed
+1. Document frequencies of shingles are counted in 2 ** DF_BITS hashed buckets over all distinct texts (a table of fixed
    size); idf is capped at 1 for shingles in fewer than COMMON of all documents, so that only common passages weigh less.
-2. Each distinct text gets BANDS x ROWS samples, each band's samples hash to a key.
+2. Each distinct text gets BANDS x ROWS weighted samples and as many of its plain set of shingles; each band's samples
+   hash to a key.
 3. Texts that share a key form a bucket; buckets with the same members count once. A bucket of more than BUCKET texts
    is parted by keys of other bands, again and again; what stays large is parted by a hash in runs of about half of
    BUCKET that share their first text. So no bucket is dropped and none grows with the corpus.
-4. In each bucket weighted Jaccard similarities of all texts are exact; a forest of the links found is emitted.
+4. In each bucket weighted and plain Jaccard similarities of all texts are exact, and either is enough: frequent
+   shingles weigh little, so in a large group of near copies the edits would outweigh what they share. A forest of the
+   links found is emitted.
 5. Texts of a large bucket outside of its largest class are compared with the bucket's texts of most links, round by
    round, and those left in the end with all texts of the bucket, block by block. So every two texts that share a band
    are compared, or known to be in one class.
@@ -61,7 +64,7 @@ def shingles(text, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """``(df by bucket, documents)`` over all documents."""
+    """``(df by bucket, documents)`` over all distinct texts: copies count once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, rows = np.zeros(1 << DF_BITS, np.int64), 0
@@ -73,7 +76,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("text").distinct().mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df, at = np.zeros(1 << DF_BITS, np.int64), got["bucket"].to_numpy()
     df[at[at >= 0]] = got["n"][at >= 0]
     return df, int(got["n"][at < 0].sum())
@@ -125,8 +128,20 @@ def samples(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, n_samples: int) -
     return out
 
 
+def plain_samples(offsets: np.ndarray, s: np.ndarray, n_samples: int) -> np.ndarray:
+    """MinHash samples (texts x n_samples) of the sets of shingles; every text needs a shingle."""
+    out = np.empty((len(offsets) - 1, n_samples), np.uint64)
+    cut = np.flatnonzero(np.diff(offsets[:-1] // 65536)) + 1
+    for a, z in zip([0, *cut], [*cut, len(offsets) - 1], strict=True):
+        at, x = offsets[a:z] - offsets[a], s[offsets[a] : offsets[z]]
+        for k in range(n_samples):
+            with np.errstate(over="ignore"):
+                out[a:z, k] = np.minimum.reduceat(mix(x + np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)), at)
+    return out
+
+
 def band_keys(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """``doc_id, keys``: a key for each band; texts without words have no row."""
+    """``doc_id, keys``: a key for each band, weighted ones and then plain ones; texts without words have no row."""
     held = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +150,10 @@ def band_keys(docs: DataFrame, idf: np.ndarray, bands: int = BANDS, rows: int =
             some = np.flatnonzero(np.diff(offsets) > 0)
             if not len(some):
                 continue
-            got = samples(np.append(offsets[some], offsets[-1]), s, weights(s, n, held.value), bands * rows)
-            keys = np.stack([window_hashes(got[:, j * rows : (j + 1) * rows].ravel(), rows)[::rows] for j in range(bands)], 1).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            at = np.append(offsets[some], offsets[-1])
+            got = np.concatenate([samples(at, s, weights(s, n, held.value), bands * rows), plain_samples(at, s, bands * rows)], 1)
+            keys = np.stack([window_hashes(got[:, j * rows : (j + 1) * rows].ravel(), rows)[::rows] for j in range(2 * bands)], 1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * 2 * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(some)), lists], ["doc_id", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, keys array<long>")
@@ -174,7 +190,7 @@ def buckets(keys: DataFrame, most: int = BUCKET, whole: DataFrame | None = None)
 
 
 def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np.ndarray, least: float, first: int = 0) -> list[tuple[int, int]]:
-    """A forest of the links between ``members`` (text numbers): pairs whose weighted Jaccard similarity is enough.
+    """A forest of the links between ``members`` (text numbers): pairs whose weighted or plain Jaccard similarity is enough.
 
     The members before the place ``first`` are compared with those from there on only.
     """
@@ -188,9 +204,12 @@ def similar_pairs(offsets: np.ndarray, s: np.ndarray, w: np.ndarray, members: np
     for i in range(max(first, 1), len(members)):
         own = slice(starts[i], starts[i] + sizes[i])
         mine[code[own]] = weight[own]
-        common = np.add.reduceat(np.minimum(mine[code[: starts[i]]], weight[: starts[i]]), starts[:i])
+        met = mine[code[: starts[i]]]
+        common = np.add.reduceat(np.minimum(met, weight[: starts[i]]), starts[:i])
+        plain = np.add.reduceat((met > 0).view(np.int8), starts[:i], dtype=np.int64)
         mine[code[own]] = 0
-        for j in np.flatnonzero(common >= least * (total[:i] + total[i] - common) - 1e-9):
+        alike = (common >= least * (total[:i] + total[i] - common) - 1e-9) | (plain >= least * (sizes[:i] + sizes[i] - plain) - 1e-9)
+        for j in np.flatnonzero(alike):
             a, b = root[i], root[j]
             if a != b:
                 links.append((i, int(j)))
