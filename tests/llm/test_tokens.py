@@ -23,8 +23,8 @@ def crc(ids) -> int:
 
 
 def test_encoder_equals_the_library():
-    tok, enc = Tokenizer.from_file(default_tokenizer()), TextEncoder(default_tokenizer(), cache_words=20)
-    texts = ["Don't  STOP now ΣΑΣ ß́ <|endoftext|>foo 12,3\n\t\x00 a b", None, "", "   ", "İstanbul ﬁne é é, 3.5%", "x" * 300 + " 'tis 's", "a b c"] * 3
+    tok, enc = Tokenizer.from_file(default_tokenizer()), TextEncoder(default_tokenizer(), cache_runs=20)
+    texts = ["Don't  STOP now ΣΑΣ ß́ <|endoftext|>foo 12,3\n\t\x00 a b", None, "", "   ", "İstanbul ﬁne é é, 3.5%", "x" * 300 + " 'tis 's x<|startoftext|> Σ0İ.", "y" * 700, "a b c"] * 3
     offsets, ids = enc.encode(pa.array(texts))
     assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 

@@ -1,8 +1,9 @@
-"""Words ``[^\\x20\\x09-\\x0D]+`` of whole texts as integer codes, one Arrow batch at a time."""
+"""Words ``[^\\x20\\x09-\\x0D]+`` of whole texts as spans of their bytes, as hashes and as integer codes."""
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,13 +14,19 @@ import pyarrow.compute as pc
 
 #: Odd multiplier of the polynomial hash over word hashes.
 MULT = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of text that are looked at together: the arrays over a slice take up to a hundred times its size.
+SLICE_BYTES = 2 << 20
+#: Words from this length on are hashed one by one.
+LONG_WORD = 1 << 9
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: By number of bytes 0 to 8: which bits of eight bytes count.
+_BITS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def slices(batches, most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
+def slices(batches, most_bytes: int = SLICE_BYTES, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of each have about ``most_bytes``; a longer text stands alone.
 
-    Arrays over a slice take up to a hundred times its size. What is free at the end goes back to the system, as idle
-    workers stay beside the executor's heap.
+    What is free at the end goes back to the system, as idle workers stay beside the executor's heap.
     """
     try:
         yield from _cut(batches, most_bytes, text)
@@ -54,24 +61,93 @@ def _cut(batches, most_bytes: int, text: str) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+def text_bytes(text) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes, bounds)``: text i of an Arrow array is ``bytes[bounds[i]:bounds[i + 1]]``; null is empty."""
+    if isinstance(text, pa.ChunkedArray):
+        text = text.combine_chunks() if text.num_chunks else pa.array([], pa.string())
+    if text.null_count:
+        text = pc.fill_null(text, "")
+    kind = np.int64 if pa.types.is_large_string(text.type) else np.int32
+    if not len(text):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    bounds = np.frombuffer(text.buffers()[1], kind)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    data = text.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+    return flat, bounds - bounds[0]
+
+
+def word_spans(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(offsets, start, end)``: text i has the words offsets[i] to offsets[i + 1], each from start to end."""
+    solid = ~_SPACE[flat]
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1]
+    last[:-1] &= ~solid[1:]
+    inner = bounds[(bounds > 0) & (bounds < len(flat))]  # words end where texts meet
+    first[inner] = solid[inner]
+    last[inner - 1] = solid[inner - 1]
+    start = np.flatnonzero(first)
+    return np.searchsorted(start, bounds), start, np.flatnonzero(last) + 1
+
+
+def span_hashes(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A stable 64-bit hash of the bytes of each span, eight at a time."""
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(flat) + 1, "<u8", padded, strides=(1,))
+    n = end - start
+    with np.errstate(over="ignore"):
+        h = mix((n.astype(np.uint64) * MULT ^ (eight[start] & _BITS[np.minimum(n, 8)])) * MULT)
+        todo, done = np.flatnonzero((n > 8) & (n < LONG_WORD)), 8
+        while len(todo):
+            part = eight[start[todo] + done] & _BITS[np.minimum(n[todo] - done, 8)]
+            h[todo] = mix((h[todo] ^ part) * MULT)
+            done += 8
+            todo = todo[n[todo] > done]
+    for i in np.flatnonzero(n >= LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(flat[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def word_hashes(text) -> tuple[np.ndarray, np.ndarray]:
+    """``(offsets, hashes)`` of the words of each text."""
+    flat, bounds = text_bytes(text)
+    offsets, start, end = word_spans(flat, bounds)
+    return offsets, span_hashes(flat, start, end)
+
+
+def take_spans(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The spans as an Arrow array of strings."""
+    ends, values = gather(flat, start, end - start)
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(values)).cast(pa.string())
+
+
+def gather(flat: np.ndarray, begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(ends, values)`` of the runs ``flat[begin : begin + count]`` one after another."""
+    ends = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(begin - ends[:-1], count)
+    at += np.arange(ends[-1])
+    return ends, flat[at]
+
+
+def first_places(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the codes 0 to n - 1 occurs first."""
+    out = np.empty(n, np.int64)
+    out[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return out
+
+
 def split_words(text) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """``(offsets, codes, words)``: text i has the words ``words[codes[offsets[i]:offsets[i + 1]]]``; null has none."""
-    if isinstance(text, pa.ChunkedArray):
-        text = pa.concat_arrays(text.chunks) if text.num_chunks else pa.array([], pa.string())
-    lists = pc.ascii_split_whitespace(pc.fill_null(text, ""))
-    bounds = lists.offsets.to_numpy()
-    flat = lists.values.slice(bounds[0], bounds[-1] - bounds[0]) if len(bounds) else lists.values
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    ends = np.concatenate([[0], np.cumsum(real)])
-    offsets = ends[bounds - bounds[0]].astype(np.int64)
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    flat, bounds = text_bytes(text)
+    offsets, start, end = word_spans(flat, bounds)
+    codes, kinds = pd.factorize(span_hashes(flat, start, end))
+    at = first_places(codes, len(kinds))
+    return offsets, codes, take_spans(flat, start[at], end[at])
 
 
 def hash_words(words: pa.Array | list[str]) -> np.ndarray:
-    """A stable 64-bit hash of each word."""
-    values = words.to_numpy(zero_copy_only=False) if isinstance(words, pa.Array) else np.array(words, dtype=object)
-    return pd.util.hash_array(values.astype(object), categorize=False) if len(values) else np.empty(0, np.uint64)
+    """The hash of each word, as :func:`word_hashes` has it."""
+    flat, bounds = text_bytes(words if isinstance(words, pa.Array | pa.ChunkedArray) else pa.array(words, pa.string()))
+    return span_hashes(flat, bounds[:-1], bounds[1:])
 
 
 def mix(x: np.ndarray) -> np.ndarray:

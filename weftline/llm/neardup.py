@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.llm._store import keep
-from weftline.llm._words import hash_words, inside, mix, owner, slices, split_words, window_hashes
+from weftline.llm._words import inside, mix, owner, slices, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 10, 4
@@ -46,8 +46,7 @@ NO_ID = -(1 << 63)
 
 def shingles(text, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(offsets, hashes, counts)`` of the distinct shingles of each text, ascending; a shorter text is one shingle."""
-    offsets, codes, words = split_words(text)
-    h = hash_words(words)[codes] if len(codes) else np.empty(0, np.uint64)
+    offsets, h = word_hashes(text)
     ok = inside(offsets, width)
     s, d = window_hashes(h, width)[ok], owner(offsets)[: len(ok)][ok]
     short = [i for i in np.flatnonzero((np.diff(offsets) > 0) & (np.diff(offsets) < width))]
