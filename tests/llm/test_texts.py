@@ -265,8 +265,8 @@ def test_attention_gradients_and_single_scoring():
     model.p = {k: w.astype(np.float64) for k, w in model.p.items()}
     offsets = np.array([0, 1, 40, 140])
     ids = rng.integers(0, 50, 140)
-    x, y, row = model.windows(offsets, ids)
-    assert (y >= 0).sum() == 140 and np.bincount(row).tolist() == [1, 2, 4]
+    x, y = model.windows(offsets, ids)
+    assert y[y >= 0].tolist() == ids.tolist() and len(y) == 1 + 2 + 5
     loss = lambda: -_log_p(model, x, y)
     g = model.gradients(x, y)
     for k in ("Q", "V", "O", "A", "C", "P", "E"):
@@ -281,8 +281,8 @@ def test_attention_gradients_and_single_scoring():
             assert (up - down) / 2e-5 == pytest.approx(grad[i], rel=1e-2, abs=1e-5)
     later = ids.copy()
     later[139] = (ids[139] + 1) % 50  # the last id changes no score before it
-    a, b = model.scores(offsets, ids), model.scores(offsets, later)
-    assert a[:2] == pytest.approx(b[:2]) and a[2] != b[2]
+    a, b = model.log_p(offsets, ids), model.log_p(offsets, later)
+    assert a[:139] == pytest.approx(b[:139]) and a[139] != b[139]
     assert np.allclose(model.logits(x)[(y >= 0).ravel()], model.forward(x)[-1][(y >= 0).ravel()], atol=1e-4)
 
 
@@ -292,3 +292,34 @@ def _log_p(model, x, y):
     logp = z - np.log(np.exp(z).sum(1, keepdims=True))
     real = y.ravel() >= 0
     return logp[np.arange(len(z)), model.home[y.ravel()]][real].mean()
+
+
+def test_scores_of_all_ids_sum_to_one_and_learn(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 7))) for _ in range(120)]
+    after = {w: list(rng.choice(words, 3)) for w in words}
+    rows = []
+    for i in range(300):
+        text = [str(rng.choice(words))]
+        while len(text) < 60:
+            text.append(str(rng.choice(after[text[-1]])))
+        rows.append((i, " ".join(text)))
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lmscore.score_documents(data, F.col("doc_id") % 5 != 1).filter("doc_id % 5 = 1").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]  # held-out texts, whose words follow each other by rule
+    size = 40
+    attention = lmscore.Attention.fresh(np.arange(size) % 7, np.log(np.full(size, 7 / size, np.float32)))
+    mass = np.bincount(attention.home, minlength=lmscore.CLASSES)
+    attention.inner = np.log(1 / mass[attention.home])
+    pairs = rng.integers(0, 4, (size + 1, size)) * (rng.random((size + 1, size)) < 0.3)
+    keys = np.arange(size + 1)[:, None] * lmscore.CLASSES + attention.home[None]
+    pair = np.unique(keys)
+    total, kinds = np.bincount(np.searchsorted(pair, keys.ravel()), pairs.ravel()), np.bincount(np.searchsorted(pair, keys.ravel()), (pairs > 0).ravel())
+    model = lmscore.Model(attention, pair, total, kinds)
+    p = []
+    for last in range(size):
+        ids = np.array([3, 9, 1, last])
+        p.append(model.log10_p(np.array([0, 4]), ids, np.array([size, 3, 9, 1]), pairs[[size, 3, 9, 1], ids])[3])
+    x, y = attention.windows(np.array([0, 4]), np.array([3, 9, 1, 0]))
+    z = attention.logits(x)[3]
+    assert sum(10 ** np.array(p)) == pytest.approx(np.exp(z[:7]).sum() / np.exp(z).sum(), rel=1e-4)  # other classes have no id
