@@ -30,12 +30,25 @@ def test_words_and_windows():
     assert np.flatnonzero(ok).tolist() == [0, 1, *range(5, 28)]
 
 
-def test_substring_dedup_equals_brute_force(spark, docs):
-    rows = sorted(docs.select("doc_id", "text").collect())
-    rows += [type(rows[0])(-5, rows[10].text), type(rows[0])(10, rows[10].text)]
-    data = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string")
+def test_names_are_equal_for_equal_words():
+    words = np.random.default_rng(1).integers(0, 2, 300).astype(np.uint64)
+    for width in (1, 2, 5, 7, 20):
+        own = [tuple(words[i : i + width]) for i in range(301 - width)]
+        got = substring.names(words, width)
+        assert len(got) == len(own) and len(set(zip(own, got.tolist()))) == len(set(own)) == len(set(got.tolist()))
+    assert len(substring.names(words[:4], 5)) == 0
+
+
+@pytest.mark.parametrize(("block_bytes", "most"), [(4000, 20_000), (1 << 23, 20_000), (4000, 3)])
+def test_substring_dedup_equals_brute_force(spark, docs, block_bytes, most):
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    new = " ".join(f"n{k}" for k in range(30))
+    rows += [(-5, rows[10][1]), (10, rows[10][1]), (-9, new), (15, new), (15, "different " + new[::-1]), (15, new), (None, rows[3][1]), (None, None)]
+    line = " ".join(f"line{k}" for k in range(14))  # a common line in different company
+    rows += [(1000 + i, f"a{i} b{i} c{i} d{i} e{i} {line} f{i % 4} g{i} h{i} i{i} j{i}") for i in range(40)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
     seen, want = set(), collections.Counter()
-    for i, text in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0], r[1] or "")):
+    for i, text in sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or "")):
         w = WORD.findall(text or "")
         gone = [False] * len(w)
         for k in range(len(w) - 19):
@@ -44,14 +57,14 @@ def test_substring_dedup_equals_brute_force(spark, docs):
                 gone[k : k + 20] = [True] * 20
             seen.add(window)
         want[i, len(w), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(w, gone) if not g).encode()).hexdigest()] += 1
+    found = substring.mark_repeats(data, substring._digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", block_bytes=block_bytes, group_suffixes=most)
+    assert collections.Counter(tuple(r) for r in found.collect()) == want
 
-    def digest(b, removed, table):
-        rows = [substring._kept(b, removed, i, 20) for i in range(len(b.ids))]
-        return pa.table({"doc_id": b.ids, "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept_sha256": [hashlib.sha256(r[2].encode()).hexdigest() for r in rows]})
 
-    for block_bytes in (4000, 1 << 23):
-        substring_rows = substring.mark_repeats(data, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", block_bytes=block_bytes)
-        assert collections.Counter(tuple(r) for r in substring_rows.collect()) == want
+def test_repeated_spans(spark):
+    words = [f"w{k}" for k in range(60)]
+    data = spark.createDataFrame([(1, " ".join(words)), (2, "x " + " ".join(words[10:40]) + " y"), (3, " ".join(words[:19]))], "doc_id long, text string")
+    assert [tuple(r) for r in substring.repeated_spans(data).collect()] == [(2, 1, 30)]
 
 
 def test_substring_stage_keeps_columns(docs, empty):

@@ -1,11 +1,16 @@
 """Removal of repeated passages with prefix-partitioned suffix trees.
 
-A window is ``width`` consecutive words of one text. Suffixes are cut off at that depth, so that two windows are equal
-where their suffixes meet in a node of full depth. The partition of a suffix follows from a prefix of variable length:
-its anchor, the least hash of ``prefix`` words in the window, so that neighbouring suffixes stay together; where more
-than ``HOT_BLOCKS`` blocks have an anchor, the prefix is the whole window. Anchors that occur once in the corpus lead
-to leaves only and their suffixes are never sent. What a block repeats in itself is settled there, so that a passage
-of any frequency adds at most one suffix for each block to a partition.
+A suffix is what follows a place in a text, cut off after ``width`` words. Suffixes are split into groups by a prefix of
+variable length: the anchor, the ``prefix`` words with the least hash among the first ``width``, or all ``width`` words
+where more than GROUP_SUFFIXES suffixes have an anchor, so that no group outgrows a task. (Anchors rather than leading
+words: neighbouring suffixes mostly share one and travel as one run of words instead of ``width`` words each.) Each
+group's subtree is built level by level: places get the same name for 2, 4, 8, ... words if both halves have the same
+names, so that names compare words and not hashes of windows. Inner nodes of depth ``width`` are the repeats; all
+leaves below one but the earliest are removed.
+
+Anchors of one block only lead to leaves and their suffixes are never sent; what a block repeats in itself is settled
+there, so that a passage of any frequency adds at most one suffix for each block to a group; and texts that copy an
+earlier document's are settled before.
 """
 
 from __future__ import annotations
@@ -15,141 +20,185 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.llm._blocks import BLOCK_BYTES, block_count, in_blocks
-from weftline.llm._words import MULT, hash_words, inside, mix, split_words, window_hashes
+from weftline.llm._words import first_places, gather, inside, owner, span_hashes, text_bytes, window_hashes, word_spans
 
 WIDTH = 20
 #: Words of an anchor.
 PREFIX = 11
-#: Blocks that may share an anchor before its prefix is extended to the whole window.
-HOT_BLOCKS = 1000
+#: Suffixes that may share an anchor before the prefix is extended to the whole window.
+GROUP_SUFFIXES = 20_000
 NO_ID = -(1 << 63)
 COPY, VALUE = 0, 1
 
 
+def names(words: np.ndarray, width: int) -> np.ndarray:
+    """A number for the ``width`` words from each place on: equal numbers for equal words."""
+    n, have, level = len(words) - width + 1, 1, pd.factorize(words)[0].astype(np.int64)
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out, reached = None, 0
+    while True:
+        if width & have:
+            out = level if out is None else _joined(out, level, reached)
+            reached += have
+        if 2 * have > width:
+            return out[:n]
+        level, have = _joined(level, level, have), 2 * have
+
+
+def _joined(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
+    m = min(len(left), len(right) - gap)
+    return pd.factorize(left[:m] * (int(right.max(initial=0)) + 1) + right[gap : gap + m])[0]
+
+
 class _Block:
-    """The texts of one block in ascending order (doc_id, text), without those that copy an earlier document."""
+    """The texts of one block in ascending order (doc_id, text); windows of copies of earlier documents are known."""
 
     def __init__(self, table: pa.Table, notes: pa.Table, width: int):
-        rows = table.select(["doc_id", "text"]).to_pandas(types_mapper={pa.string(): pd.ArrowDtype(pa.string()), pa.int64(): pd.Int64Dtype()}.get)
-        ids = rows["doc_id"].fillna(NO_ID).to_numpy(np.int64)
-        texts = np.array(table.column("text").to_pylist(), object)
-        self.order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")), np.int64)
-        self.ids, self.texts = ids[self.order], texts[self.order]
-        kinds = notes.column("kind").to_numpy()
-        values = notes.column("value").to_numpy()
-        self.copy = np.isin(self.ids, values[kinds == COPY])
-        self.values = np.sort(values[kinds == VALUE])
+        ids = pc.fill_null(table.column("doc_id"), NO_ID).to_numpy()
+        order = np.argsort(ids, kind="stable")
+        same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
+        if len(same):
+            texts = table.column("text").to_pylist()
+            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")), np.int64)
+        self.order, self.ids = order, ids[order]
+        self.text = table.column("text").combine_chunks().take(pa.array(order))
+        kinds, values = notes.column("kind").to_numpy(), notes.column("value").to_numpy()
+        self.copy = np.isin(table.column("key").to_numpy()[order], values[kinds == COPY]) & self.text.is_valid().to_numpy(zero_copy_only=False)
+        self.values = np.unique(values[kinds == VALUE])
         self.width = width
-        self.offsets, self.codes, words = split_words(pa.array([None if c else t for t, c in zip(self.texts, self.copy, strict=True)], pa.string()))
-        self.words = np.array(words.to_pylist(), object)
-        self.hashes = hash_words(words)[self.codes] if len(self.codes) else np.empty(0, np.uint64)
-        self.valid = inside(self.offsets, width)
-
-    def anchors(self, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-        """``(least, grams)``: the anchor of each window, and the hashes that it was taken from."""
-        grams = window_hashes(self.hashes, prefix)
-        span, least, have = self.width - prefix + 1, grams, 1
+        self.flat, bounds = text_bytes(self.text)
+        self.offsets, self.start, self.end = word_spans(self.flat, bounds)
+        self.words = span_hashes(self.flat, self.start, self.end)
+        self.inner = inside(self.offsets, width)
+        self.copied = self.copy[owner(self.offsets)[: len(self.inner)]]
+        valid = self.inner & ~self.copied
+        #: Places of windows that no earlier one of the block equals, and of those that one does.
+        at = np.flatnonzero(valid)
+        again = self._again(at)
+        self.first, self.again = at[~again], at[again]
+
+    def _again(self, at: np.ndarray) -> np.ndarray:
+        """Which of the windows at these places have an equal one before; hashes find them, words decide."""
+        codes, kinds = pd.factorize(window_hashes(self.words, self.width)[at])
+        lead = first_places(codes, len(kinds))[codes]
+        twice = np.flatnonzero(lead < np.arange(len(at)))
+        a, b = at[twice], at[lead[twice]]
+        if all((self.words[a + k] == self.words[b + k]).all() for k in range(self.width)):
+            return lead < np.arange(len(at))
+        return pd.Series(names(self.words, self.width)[at]).duplicated().to_numpy(bool)
+
+    def anchors(self, prefix: int) -> np.ndarray:
+        """The anchor of each window, as a hash whose last bit is free."""
+        least, span, have = window_hashes(self.words, prefix), self.width - prefix + 1, 1
         while have * 2 <= span:
             least, have = np.minimum(least[: len(least) - have], least[have:]), have * 2
         if have < span:
             least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-        return least, grams
-
-    def windows(self) -> np.ndarray:
-        return window_hashes(self.hashes, self.width)
-
-    def removed(self, repeated: np.ndarray) -> np.ndarray:
-        """Which words a repeated window covers."""
-        edge = np.zeros(len(self.codes) + 1, np.int64)
-        at = np.flatnonzero(repeated)
-        edge[at] += 1
-        np.add.at(edge, at + self.width, -1)
+        return least & ~np.uint64(1)
+
+    def removed(self, repeats: np.ndarray) -> np.ndarray:
+        """Which words the windows at these places, those of copies, and those that the block has before, cover."""
+        edge = np.zeros(len(self.words) + 1, np.int64)
+        for at in (repeats, self.again, np.flatnonzero(self.inner & self.copied)):
+            edge[at] += 1
+            edge[at + self.width] -= 1  # places of one set are different
         return np.cumsum(edge)[:-1] > 0
 
+    def kept(self, removed: np.ndarray) -> list[bytes]:
+        """The words of each text that are left, joined by one space."""
+        left = np.flatnonzero(~removed)
+        size = self.end[left] - self.start[left] + 1
+        ends, out = gather(np.append(self.flat, np.uint8(32)), self.start[left], size)
+        out[ends[1:] - 1] = 32
+        body, at = out.tobytes(), ends[np.searchsorted(left, self.offsets)]
+        return [body[a : max(a, z - 1)] for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
 
 def _parts(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
 
 
+def _row_key() -> Column:
+    return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text")
+
+
 def find_copies(docs: DataFrame) -> DataFrame:
-    """``doc_id`` of documents whose whole text an earlier one has too."""
-    ids = docs.filter("text is not null").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("h3"))
-    first = ids.groupBy("h1", "h2", "h3").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
-    return ids.join(first, ["h1", "h2", "h3"]).filter("doc_id > first").select("doc_id")
+    """``doc_id, key`` of the rows whose whole text a smaller doc_id has too."""
+    ids = docs.filter("text is not null").select("doc_id", _row_key().alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("h3"))
+    first = ids.groupBy("h1", "h2", "h3").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
+    return ids.join(first, ["h1", "h2", "h3"]).filter("at > first").select("doc_id", "key")
 
 
-def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WIDTH, prefix: int = PREFIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WIDTH, prefix: int = PREFIX, block_bytes: int = BLOCK_BYTES, group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """Apply ``out(block, removed, table)`` to each block of ``docs``, where ``removed`` tells which words go."""
     n_blocks = block_count(docs, block_bytes)
-    n_parts = max(8, n_blocks // 2)
-    blocks = in_blocks(docs, n_blocks).repartition(n_blocks, "block")
+    n_parts = max(32, 2 * n_blocks)
+    blocks = in_blocks(docs.withColumn("key", _row_key()), n_blocks).repartition(n_blocks, "block")
     notes = "block int, kind int, value long"
-    copies = in_blocks(find_copies(docs).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))), n_blocks)
-    copies = copies.select("block", F.lit(COPY).alias("kind"), F.coalesce("doc_id", F.lit(NO_ID)).alias("value"))
+    copies = in_blocks(find_copies(docs), n_blocks).select("block", F.lit(COPY).alias("kind"), F.col("key").alias("value"))
     join = lambda right, f, to: blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, to)
 
     def send_anchors(table: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(table, right, width)
-        least, grams = b.anchors(prefix)
-        chosen = np.zeros(len(grams), bool)
-        for k in range(width - prefix + 1):
-            chosen[k : k + len(least)] |= (grams[k : k + len(least)] == least) & b.valid
-        kinds, n = np.unique(grams[chosen] & ~np.uint64(1), return_counts=True)
-        both = kinds | (n > 1)  # the last bit tells that the block alone has it twice
-        return pa.table({"part": _parts(kinds, n_parts), "block": _number(table, len(kinds)), "value": both.view(np.int64)})
+        codes, kinds = pd.factorize(b.anchors(prefix)[b.first])
+        return pa.table({"part": _parts(kinds, n_parts), "block": _number(table, len(kinds)), "value": kinds.view(np.int64), "n": np.bincount(codes, minlength=len(kinds)).astype(np.int32)})
 
     def match_anchors(table: pa.Table) -> pa.Table:
-        value, block = table.column("value").to_numpy().view(np.uint64), table.column("block").to_numpy()
-        order = np.argsort(value >> np.uint64(1), kind="stable")
-        kinds = value[order] & ~np.uint64(1)
-        start = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]])) if len(kinds) else np.empty(0, np.int64)
-        n = np.diff(np.append(start, len(kinds)))
-        many = np.logical_or.reduceat((value[order] & np.uint64(1)).astype(bool), start) if len(start) else np.empty(0, bool)
-        again = np.repeat((n > 1) | many, n)
-        hot = np.repeat(n > HOT_BLOCKS, n)
-        found = (kinds | hot.astype(np.uint64))[again]
-        return pa.table({"block": block[order][again], "kind": pa.array(np.full(len(found), VALUE), pa.int32()), "value": found.view(np.int64)})
+        """The anchors of several blocks go back to each; the last bit tells that the prefix is to be the whole window."""
+        value, block, n = (table.column(c).to_numpy() for c in ("value", "block", "n"))
+        codes, kinds = pd.factorize(value)
+        many = np.bincount(codes, minlength=len(kinds)) > 1
+        hot = np.bincount(codes, n, len(kinds)) > group_suffixes
+        back = many[codes]
+        found = value[back] | hot[codes[back]]
+        return pa.table({"block": block[back], "kind": pa.array(np.full(len(found), VALUE), pa.int32()), "value": found})
 
     def send_suffixes(table: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(table, right, width)
-        least, _ = b.anchors(prefix)
         known = np.sort(b.values.view(np.uint64))
-        plain = known & ~np.uint64(1)
-        want = least & ~np.uint64(1)
-        at = np.minimum(np.searchsorted(plain, want), max(len(known) - 1, 0))
-        wanted = np.flatnonzero(b.valid & (plain[at] == want)) if len(known) else np.empty(0, np.int64)
-        whole = b.windows()[wanted]
-        first = ~pd.Series(whole).duplicated().to_numpy(bool)
-        wanted, whole = wanted[first], whole[first]
-        with np.errstate(over="ignore"):
-            lead = np.where(known[at[wanted]] & np.uint64(1), mix(whole * MULT), want[wanted]) if len(wanted) else np.empty(0, np.uint64)
-        doc = b.ids[np.searchsorted(b.offsets, wanted, "right") - 1] if len(wanted) else np.empty(0, np.int64)
-        return pa.table({"part": _parts(lead, n_parts), "block": _number(table, len(wanted)), "at": wanted.astype(np.int32), "doc_id": doc, "suffix": whole.view(np.int64)})
+        lead = b.anchors(prefix)[b.first]
+        at = np.minimum(np.searchsorted(known & ~np.uint64(1), lead), max(len(known) - 1, 0))
+        wanted = known[at] & ~np.uint64(1) == lead if len(known) else np.zeros(len(lead), bool)
+        place, lead, hot = b.first[wanted], lead[wanted], (known[at[wanted]] & np.uint64(1)).astype(bool) if len(known) else np.empty(0, bool)
+        lead[hot] = window_hashes(b.words, width)[place[hot]]
+        new = np.ones(len(place), bool)
+        new[1:] = (np.diff(place) != 1) | (lead[1:] != lead[:-1])
+        run = np.flatnonzero(new)
+        n = np.diff(np.append(run, len(place))) + width - 1
+        ends, words = gather(b.words, place[run], n)
+        sent = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(run), [None, pa.py_buffer(8 * ends.astype(np.int64)), pa.py_buffer(words.tobytes())])
+        doc = b.ids[np.searchsorted(b.offsets, place[run], "right") - 1] if len(run) else np.empty(0, np.int64)
+        return pa.table({"part": _parts(lead[run], n_parts), "block": _number(table, len(run)), "at": place[run].astype(np.int32), "doc_id": doc, "words": sent.cast(pa.binary())})
 
     def grow_trees(table: pa.Table) -> pa.Table:
-        """Sorted suffixes with equal neighbours are the leaves of one deep node; all but its first repeat it."""
-        suffix, doc, at, block = (table.column(c).to_numpy() for c in ("suffix", "doc_id", "at", "block"))
-        order = np.lexsort((at, block, doc, suffix))
-        s = suffix[order]
-        inner = order[1:][s[1:] == s[:-1]]
-        return pa.table({"block": block[inner], "kind": pa.array(np.full(len(inner), VALUE), pa.int32()), "value": at[inner].astype(np.int64)})
+        """The leaves, but for the earliest, below each node of full depth."""
+        doc, at, block = (table.column(c).to_numpy() for c in ("doc_id", "at", "block"))
+        sent = table.column("words").combine_chunks()
+        size = pc.binary_length(sent).to_numpy().astype(np.int64) // 8
+        begin = np.cumsum(size) - size
+        name = names(np.frombuffer(b"".join(sent.to_pylist()), np.uint64), width)
+        n = size - width + 1
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        node, place = name[begin[row] + step], at[row] + step
+        order = np.lexsort((place, doc[row], node))  # a doc_id has its rows in one block, where they are in order
+        later = order[1:][node[order][1:] == node[order][:-1]]
+        return pa.table({"block": block[row[later]], "kind": pa.array(np.full(len(later), VALUE), pa.int32()), "value": place[later].astype(np.int64)})
 
     def finish(table: pa.Table, right: pa.Table) -> pa.Table:
         b = _Block(table, right, width)
-        repeated = np.zeros(len(b.valid), bool)
-        inside_texts = np.flatnonzero(b.valid)
-        repeated[inside_texts] = pd.Series(b.windows()[inside_texts]).duplicated().to_numpy(bool)
-        repeated[b.values] = True
-        return out(b, b.removed(repeated), table)
+        return out(b, b.removed(b.values), table)
 
-    anchors = join(copies, send_anchors, "part int, block int, value long")
+    anchors = join(copies, send_anchors, "part int, block int, value long, n int")
     shared = anchors.groupBy("part").applyInArrow(match_anchors, notes)
-    suffixes = join(copies.union(shared), send_suffixes, "part int, block int, at int, doc_id long, suffix long")
+    suffixes = join(copies.union(shared), send_suffixes, "part int, block int, at int, doc_id long, words binary")
     repeats = suffixes.groupBy("part").applyInArrow(grow_trees, notes)
     return join(copies.union(repeats), finish, schema)
 
@@ -158,33 +207,40 @@ def _number(table: pa.Table, n: int) -> pa.Array:
     return pa.array(np.full(n, table.column("block")[0].as_py()), pa.int32())
 
 
-def _kept(b: _Block, removed: np.ndarray, i: int, shortest: int) -> tuple[int, int, str]:
-    """(words, removed words, the kept words) of the i-th text; a copy loses all if it has a whole window."""
-    if b.copy[i]:
-        words = [w for w in pa.compute.ascii_split_whitespace(pa.scalar(b.texts[i])).as_py() if w]
-        return (len(words), len(words), "") if len(words) >= shortest else (len(words), 0, " ".join(words))
-    a, z = b.offsets[i], b.offsets[i + 1]
-    gone = removed[a:z]
-    return int(z - a), int(gone.sum()), " ".join(b.words[b.codes[a:z][~gone]].tolist())
+def _ids(b: _Block) -> pa.Array:
+    return pa.array(b.ids, mask=b.ids == NO_ID)
+
+
+def _digest(b: _Block, removed: np.ndarray, table: pa.Table) -> pa.Table:
+    gone = np.concatenate([[0], np.cumsum(removed)])[b.offsets]
+    return pa.table({
+        "doc_id": _ids(b), "n_words": np.diff(b.offsets).astype(np.int64), "n_removed": np.diff(gone).astype(np.int64),
+        "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in b.kept(removed)], pa.string()),
+    })
 
 
 def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document.
 
-    Null texts have no words. Of rows with one doc_id, those with the smaller text come first. An empty table gives
-    an empty result.
+    Null texts have no words. Of rows with one doc_id, those with the smaller text come first, and each loses only what
+    an earlier row, or an earlier place of its own, has. An empty table gives an empty result.
     """
+    thin = docs.select(F.col("doc_id").cast("long"), "text")
+    return mark_repeats(thin, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", width)
 
-    def out(b: _Block, removed: np.ndarray, table: pa.Table) -> pa.Table:
-        rows = [_kept(b, removed, i, width) for i in range(len(b.ids))]
-        return pa.table({
-            "doc_id": pa.array([None if x == NO_ID else int(x) for x in b.ids], pa.int64()),
-            "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()),
-            "kept_sha256": pa.array([hashlib.sha256(r[2].encode()).hexdigest() for r in rows], pa.string()),
-        })
 
-    thin = docs.select(F.col("doc_id").cast("long"), "text")
-    return mark_repeats(thin, out, "doc_id long, n_words long, n_removed long, kept_sha256 string", width)
+def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``doc_id, start, length``: the runs of words (from 0) of each document that repeat earlier passages."""
+
+    def spans(b: _Block, removed: np.ndarray, table: pa.Table) -> pa.Table:
+        row = owner(b.offsets)
+        new = removed.copy()
+        new[1:] &= ~removed[:-1] | (row[1:] != row[:-1])
+        start = np.flatnonzero(new)
+        length = np.bincount(np.cumsum(new)[removed] - 1, minlength=len(start))
+        return pa.table({"doc_id": _ids(b).take(pa.array(row[start])), "start": start - b.offsets[row[start]], "length": length.astype(np.int64)})
+
+    return mark_repeats(docs.select(F.col("doc_id").cast("long"), "text"), spans, "doc_id long, start long, length long", width)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -194,11 +250,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
 
     def out(b: _Block, removed: np.ndarray, table: pa.Table) -> pa.Table:
-        texts = []
-        for i in range(len(b.ids)):
-            _, gone, kept = _kept(b, removed, i, width)
-            texts.append(kept if gone else b.texts[i])
-        return pa.table({"row": table.column("row").take(pa.array(b.order)), "text": pa.array(texts, pa.string())})
+        gone = np.diff(np.concatenate([[0], np.cumsum(removed)])[b.offsets]) > 0
+        left = pa.array([x if g else None for x, g in zip(b.kept(removed), gone.tolist(), strict=True)], pa.binary()).cast(pa.string())
+        return pa.table({"row": table.column("row").take(pa.array(b.order)), "text": pc.if_else(pa.array(gone), left, b.text)})
 
     packed = docs.select(F.col("doc_id").cast("long"), "text", F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("row"))
     schema = StructType([packed.schema["row"], StructField("text", StringType())])
