@@ -15,7 +15,7 @@ NAMES = "pair_completeness winnow_jaccard_pairs embedding_cosine_pairs palette_t
 
 def normal(df: pd.DataFrame) -> list[str]:
     df = df[sorted(df.columns)]
-    cell = lambda x: None if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)) else round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
+    cell = lambda x: None if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)) else round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, (bool, np.bool_)) else str(x)
     return sorted(repr([cell(x) for x in row]) for row in df.itertuples(index=False, name=None))
 
 

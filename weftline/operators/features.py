@@ -24,10 +24,14 @@ def normal_html(html: Column) -> Column:
 
 
 def char_shingles(cards: DataFrame, width: int = CHAR_SHINGLE) -> DataFrame:
-    """Distinct ``token`` of each slot: all runs of ``width`` characters."""
-    text = cards.select(*KEY, normal_html(F.col("html")).alias("t")).filter(F.length("t") >= width)
-    runs = F.transform(F.sequence(F.lit(1), F.length("t") - width + 1), lambda i: F.col("t").substr(i, F.lit(width)))
-    return text.select(*KEY, F.explode(F.array_distinct(runs)).alias("token"))
+    """``tokens`` of each slot: the distinct runs of ``width`` characters, as hashes. One pass finds a run at each place."""
+    runs = F.regexp_extract_all(normal_html(F.col("html")), F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))
+    return cards.select(*KEY, hashed(F.array_distinct(runs)).alias("tokens"))
+
+
+def hashed(tokens: Column) -> Column:
+    """64-bit hashes, which intersect faster than strings."""
+    return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
 def lexemes(html: Column) -> Column:
@@ -37,14 +41,56 @@ def lexemes(html: Column) -> Column:
 
 
 def winnowed(cards: DataFrame, k: int = GRAM, w: int = WINDOW) -> DataFrame:
-    """Distinct ``token``: the least hashes of all windows of ``w`` grams of ``k`` lexemes (hex, so that text order is
-    unsigned order)."""
-    t = cards.select(*KEY, lexemes(F.col("html")).alias("t")).filter(F.size("t") >= k)
+    """``tokens`` of each slot: the distinct least hashes of all windows of ``w`` grams of ``k`` lexemes (hex, so that
+    text order is unsigned order), hashed again."""
+    t = cards.select(*KEY, lexemes(F.col("html")).alias("t"))
+    none = F.array().cast("array<string>")
     grams = F.transform(F.sequence(F.lit(1), F.size("t") - k + 1), lambda i: F.substring(F.sha2(F.array_join(F.slice("t", i, F.lit(k)), "\n"), 256), 1, 16))
-    h = t.select(*KEY, grams.alias("h"))
+    h = t.select(*KEY, F.when(F.size("t") >= k, grams).otherwise(none).alias("h"))
     span = F.least(F.lit(w), F.size("h"))
     least = F.transform(F.sequence(F.lit(1), F.size("h") - span + 1), lambda i: F.array_min(F.slice("h", i, span)))
-    return h.select(*KEY, F.explode(F.array_distinct(least)).alias("token"))
+    return h.select(*KEY, hashed(F.array_distinct(F.when(F.size("h") > 0, least).otherwise(none))).alias("tokens"))
+
+
+def token_sets(rows: DataFrame, cards: DataFrame) -> DataFrame:
+    """``tokens`` of each slot of ``cards`` from exploded ``token`` rows."""
+    sets = rows.groupBy("slot").agg(F.collect_set(F.xxhash64("token")).alias("tokens"))
+    return cards.select(*KEY).join(sets, "slot", "left").select(*KEY, F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"))
+
+
+def pairs_of(sets: DataFrame, *columns: str) -> DataFrame:
+    """Each two slots of a batch in order, with ``columns`` of both (``x_a``, ``x_b``): one shuffle by batch, whose size is fixed."""
+    side = lambda s: sets.select("batch", *[F.col(c).alias(f"{c}_{s}") for c in ("config", "config_ord", "slot", *columns)])
+    ordered = (F.col("config_ord_a") < F.col("config_ord_b")) | (F.col("config_ord_a") == F.col("config_ord_b")) & (F.col("slot_a") < F.col("slot_b"))
+    kind = F.when(F.col("config_a") == F.col("config_b"), "self").otherwise("cross")
+    both = side("a").hint("merge").join(side("b"), "batch").filter(ordered)
+    return both.select("batch", "config_a", "config_b", kind.alias("kind"), "slot_a", "slot_b", *[f"{c}_{s}" for c in columns for s in "ab"])
+
+
+def jaccard_pairs(sets: DataFrame) -> DataFrame:
+    """Exact set similarity of each two slots of a batch; null where a side has no token."""
+    shared = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+    p = pairs_of(sets, "tokens").select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", shared.alias("shared"), F.size("tokens_a").cast("long").alias("n_a"), F.size("tokens_b").cast("long").alias("n_b"))
+    return p.withColumn("s", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
+
+
+def dice_pairs(cards: DataFrame, grams: DataFrame) -> DataFrame:
+    """Dice similarity of bags (``slot, token, n``): the k-th of equal grams is a token of its own, so sets will do."""
+    each = grams.select("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "token")
+    p = jaccard_pairs(token_sets(each.select("slot", F.concat_ws("#", "token", "k").alias("token")), cards))
+    some = (F.col("n_a") > 0) & (F.col("n_b") > 0)
+    return p.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "shared", F.when(some, 2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("s"))
+
+
+def overlap_pairs(cards: DataFrame, cells: DataFrame, n_cells: int = 640) -> DataFrame:
+    """Weighted intersection over union of ``slot, token, v`` rows (token below ``n_cells``), as one dense array a slot."""
+    rows = cells.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct(F.col("token").cast("int"), F.col("v").cast("long")))).alias("m"), F.sum("v").cast("long").alias("n"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(n_cells - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0).cast("long")))
+    sets = cards.select(*KEY).join(rows.select("slot", dense.alias("v"), "n"), "slot", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    low = F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
+    p = pairs_of(sets, "v", "n")
+    s = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), low)
+    return p.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "n_a", "n_b", s.alias("low")).select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", (F.col("low") / (F.col("n_a") + F.col("n_b") - F.col("low"))).alias("s"))
 
 
 def text_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
@@ -68,10 +114,12 @@ def dom_nodes(cards: DataFrame) -> DataFrame:
     step = F.when(F.col("closing"), F.when(F.col("void"), 0).otherwise(-1)).when(F.col("void"), 0).otherwise(1)
     before = F.coalesce(F.sum(step).over(Window.partitionBy("slot").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     nodes = tag_tokens(cards).withColumn("depth", before + 1).filter("not closing").select(*KEY, "pos", "tag", "depth", "void")
-    up = nodes.filter("not void").select("slot", (F.col("depth") + 1).alias("depth"), F.col("pos").alias("above"))
-    below = nodes.select("slot", "depth", "pos").join(up, ["slot", "depth"]).filter("above < pos")
-    parent = below.groupBy("slot", "pos").agg(F.max("above").alias("parent"))
-    return nodes.join(parent, ["slot", "pos"], "left").select(*KEY, "pos", "tag", "depth", "void", "parent")
+    # each element also stands on the level below, where the last one before a place is the parent
+    level = F.explode(F.when(F.col("void"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("down")
+    seen = nodes.select("*", level)
+    above = F.last(F.when(F.col("down") == 1, F.col("pos")), ignorenulls=True)
+    before = Window.partitionBy("slot", F.col("depth") + F.col("down")).orderBy("pos", "down").rowsBetween(Window.unboundedPreceding, -1)
+    return seen.withColumn("parent", above.over(before)).filter("down = 0").select(*KEY, "pos", "tag", "depth", "void", "parent")
 
 
 def tag_paths(nodes: DataFrame) -> DataFrame:

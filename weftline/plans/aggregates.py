@@ -32,10 +32,10 @@ VIEW("self_consistency", f"""SELECT m.batch, m.config, m.channel, m.m, coalesce(
 VIEW("cross_means", f"""SELECT c.batch, c.config_a, c.config_b, c.channel, c.n_eff, CASE WHEN {_OK} THEN c.mean END AS mean, CASE WHEN {_OK} THEN c.median END AS median, CASE WHEN {_OK} THEN c.p75 - c.p25 END AS iqr
   FROM {{raw_cells}} c JOIN {{slot_counts}} a ON c.batch = a.batch AND c.config_a = a.config JOIN {{slot_counts}} b ON c.batch = b.batch AND c.config_b = b.config WHERE c.kind = 'cross'""")
 VIEW("cross_cells", "SELECT batch, config_a, config_b, channel, n_eff, round(mean, 6) AS mean, round(median, 6) AS median, round(iqr, 6) AS iqr FROM {cross_means}")
-VIEW("loro_runs", """SELECT batch, config_a AS config, channel, slot, sum(s) AS run_sum, count(s) AS run_n FROM (SELECT batch, config_a, channel, slot_a AS slot, s FROM {pair_scores} WHERE kind = 'self'
+VIEW("loro_runs", """SELECT batch, config_a AS config, channel, slot, sum(CAST(s AS DECIMAL(18, 12))) AS run_sum, count(s) AS run_n FROM (SELECT batch, config_a, channel, slot_a AS slot, s FROM {pair_scores} WHERE kind = 'self'
   UNION ALL SELECT batch, config_a, channel, slot_b, s FROM {pair_scores} WHERE kind = 'self') x GROUP BY batch, config_a, channel, slot""")
-VIEW("loro_ranges", f"""SELECT r.batch, r.config, r.channel, round(min((t.total - r.run_sum) / (t.n - r.run_n)), 6) AS low, round(max((t.total - r.run_sum) / (t.n - r.run_n)), 6) AS high, count(*) AS n_drops
-  FROM {{loro_runs}} r JOIN (SELECT batch, config_a AS config, channel, sum(s) AS total, count(s) AS n FROM {{pair_scores}} WHERE kind = 'self' GROUP BY batch, config_a, channel) t
+VIEW("loro_ranges", f"""SELECT r.batch, r.config, r.channel, round(min(CAST(t.total - r.run_sum AS DOUBLE) / (t.n - r.run_n)), 6) AS low, round(max(CAST(t.total - r.run_sum AS DOUBLE) / (t.n - r.run_n)), 6) AS high, count(*) AS n_drops
+  FROM {{loro_runs}} r JOIN (SELECT batch, config_a AS config, channel, sum(CAST(s AS DECIMAL(18, 12))) AS total, count(s) AS n FROM {{pair_scores}} WHERE kind = 'self' GROUP BY batch, config_a, channel) t
   ON r.batch = t.batch AND r.config = t.config AND r.channel = t.channel WHERE t.n - r.run_n >= {N_EFF_MIN} GROUP BY r.batch, r.config, r.channel""")
 VIEW("mirrored", """SELECT batch, channel, config_a AS config, config_b AS other, mean FROM {cross_means} WHERE mean IS NOT NULL UNION ALL SELECT batch, channel, config_b, config_a, mean FROM {cross_means} WHERE mean IS NOT NULL""")
 VIEW("nearest", """SELECT batch, channel, config, other AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY batch, channel, config ORDER BY round(mean, 9) DESC, other) AS r FROM {mirrored}) x WHERE r = 1""")

@@ -22,13 +22,13 @@ VIEW("pair_completeness", """SELECT coalesce(g.batch, e.batch) AS batch, coalesc
   FULL OUTER JOIN {pair_counts} g ON e.batch = g.batch AND e.config_a = g.config_a AND e.config_b = g.config_b""")
 
 _DUCK_NORMAL = r"""trim(regexp_replace(lower(regexp_replace(html, '(?s)<!--.*?(?:-->|\z)|(:?)/\*.*?(?:\*/|\z)|(:/)|//[^\n]*', '\1\2', 'g')), '[ \t\n\r\f\x0B]+', ' ', 'g'))"""
-FRAME("shingles", lambda s, d, cards: features.char_shingles(cards), f"""SELECT DISTINCT batch, config, config_ord, slot, substr(t, CAST(i AS BIGINT), 5) AS token
-  FROM (SELECT *, unnest(range(1, length(t) - 3)) AS i FROM (SELECT *, {_DUCK_NORMAL} AS t FROM cards) WHERE length(t) >= 5)""", "cards")
+VIEW("shingles", "", duck=f"""SELECT DISTINCT batch, config, config_ord, slot, substr(t, CAST(i AS BIGINT), 5) AS token
+  FROM (SELECT *, unnest(range(1, length(t) - 3)) AS i FROM (SELECT *, {_DUCK_NORMAL} AS t FROM {{cards}}) WHERE length(t) >= 5)""")
 _LEX = features.LEXER.replace("'", "''")
-FRAME("winnow", lambda s, d, cards: features.winnowed(cards), f"""SELECT DISTINCT batch, config, config_ord, slot, unnest(list_transform(range(1, len(h) - least(4, len(h)) + 2), lambda i: list_min(h[i:i + least(4, len(h)) - 1]))) AS token
+VIEW("winnow", "", duck=f"""SELECT DISTINCT batch, config, config_ord, slot, unnest(list_transform(range(1, len(h) - least(4, len(h)) + 2), lambda i: list_min(h[i:i + least(4, len(h)) - 1]))) AS token
   FROM (SELECT *, list_transform(range(1, len(t) - 3), lambda i: substr(sha256(array_to_string(t[i:i + 4], chr(10))), 1, 16)) AS h
     FROM (SELECT batch, config, config_ord, slot, list_transform(regexp_extract_all(html, '{_LEX}'), lambda x: CASE WHEN length(x) > 1 AND regexp_full_match(x, '(?s)".*"|''.*''') THEN 'STR'
-      WHEN regexp_matches(x, '^\\.?\\d') THEN 'NUM' WHEN regexp_matches(x, '^\\.[A-Za-z_-]') THEN 'CLS' WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'ID' ELSE x END) AS t FROM cards) WHERE len(t) >= 5)""", "cards")
+      WHEN regexp_matches(x, '^\\.?\\d') THEN 'NUM' WHEN regexp_matches(x, '^\\.[A-Za-z_-]') THEN 'CLS' WHEN regexp_matches(x, '^[A-Za-z_]') THEN 'ID' ELSE x END) AS t FROM {{cards}}) WHERE len(t) >= 5)""")
 _VOID = ", ".join(f"'{x}'" for x in features.VOID)
 FRAME("tags", lambda s, d, cards: features.tag_tokens(cards), f"""SELECT batch, config, config_ord, slot, CAST(pos AS INT) AS pos, tag, closing, tag IN ({_VOID}) AS void FROM
   (SELECT *, lower(regexp_replace(raw, '^</?', '')) AS tag, starts_with(raw, '</') AS closing FROM
@@ -40,15 +40,17 @@ VIEW("levels", """SELECT * FROM (SELECT *, 1 + coalesce(CAST(sum(CASE WHEN void
   OVER (PARTITION BY slot ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS depth FROM {tags}) WHERE NOT closing""")
 
 
-def jaccard(name: str, features_view: str, slots: str = "cards") -> None:
-    """Exact set similarity of all pairs by an inverted index; null where a side has no feature."""
+def jaccard(name: str, features_view: str, frame) -> None:
+    """Exact set similarity of all pairs: intersections of one array a slot in Spark (``frame`` gives them from cards), an
+    inverted index in the oracle; null where a side has no feature."""
+    FRAME(f"{features_view}_sets", frame, f"SELECT batch, config, config_ord, slot, list(token) AS tokens FROM {{{features_view}}} GROUP BY ALL", "cards" if features_view in ("shingles", "winnow") else f"cards {features_view}")
     VIEW(f"{name}_sizes", f"SELECT slot, count(*) AS n FROM {{{features_view}}} GROUP BY slot")
     VIEW(f"{name}_shared", f"""SELECT a.slot AS slot_a, b.slot AS slot_b, count(*) AS shared FROM {{{features_view}}} a JOIN {{{features_view}}} b
       ON a.batch = b.batch AND a.token = b.token AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot""")
-    VIEW(name, f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, coalesce(s.shared, 0) AS shared, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b,
+    FRAME(name, lambda s, d, sets: features.jaccard_pairs(sets), f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, coalesce(s.shared, 0) AS shared, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b,
       CASE WHEN a.n > 0 AND b.n > 0 THEN coalesce(s.shared, 0) / (a.n + b.n - coalesce(s.shared, 0)) END AS s
       FROM {{slot_pairs}} p LEFT JOIN {{{name}_sizes}} a ON p.slot_a = a.slot LEFT JOIN {{{name}_sizes}} b ON p.slot_b = b.slot
-      LEFT JOIN {{{name}_shared}} s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""")
+      LEFT JOIN {{{name}_shared}} s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""", f"{features_view}_sets")
 
 
 def cosine(name: str, vectors: str) -> None:
@@ -63,8 +65,8 @@ def cosine(name: str, vectors: str) -> None:
       LEFT JOIN {{{name}_dots}} d ON p.slot_a = d.slot_a AND p.slot_b = d.slot_b""")
 
 
-jaccard("shingle_jaccard_pairs", "shingles")
-jaccard("winnow_jaccard_pairs", "winnow")
+jaccard("shingle_jaccard_pairs", "shingles", lambda s, d, cards: features.char_shingles(cards))
+jaccard("winnow_jaccard_pairs", "winnow", lambda s, d, cards: features.winnowed(cards))
 
 # feature sets of tags and classes
 FRAME("feature_set", lambda s, d, cards, nodes: _feature_set(cards, nodes), r"""SELECT DISTINCT batch, config, config_ord, slot, 'tag:' || tag AS token FROM nodes
@@ -87,14 +89,14 @@ def _feature_set(cards, nodes):
     return tags.union(classes).union(styles).union(api).distinct()
 
 
-jaccard("feature_jaccard_pairs", "feature_set")
+jaccard("feature_jaccard_pairs", "feature_set", lambda s, d, cards, rows: features.token_sets(rows, cards))
 
 # root-to-leaf paths
 VIEW("inner_nodes", "SELECT DISTINCT slot, parent AS pos FROM {nodes} WHERE parent IS NOT NULL")
 FRAME("tag_paths", lambda s, d, nodes: features.tag_paths(nodes), """WITH RECURSIVE paths AS (SELECT batch, config, config_ord, slot, pos, tag AS path FROM nodes WHERE parent IS NULL
   UNION ALL SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, p.path || '>' || n.tag FROM nodes n JOIN paths p ON n.slot = p.slot AND n.parent = p.pos)
   SELECT DISTINCT p.batch, p.config, p.config_ord, p.slot, p.path AS token FROM paths p WHERE NOT EXISTS (SELECT 1 FROM {inner_nodes} i WHERE p.slot = i.slot AND p.pos = i.pos)""", "nodes")
-jaccard("tagpath_jaccard_pairs", "tag_paths")
+jaccard("tagpath_jaccard_pairs", "tag_paths", lambda s, d, cards, rows: features.token_sets(rows, cards))
 
 # pq-grams (p = 2, q = 3) as multisets and their Dice similarity
 VIEW("siblings", """SELECT n.*, coalesce(p.tag, '*') AS up, coalesce(lag(n.tag, 2) OVER w, '*') AS t1, coalesce(lag(n.tag, 1) OVER w, '*') AS t2,
@@ -107,10 +109,10 @@ VIEW("pq_grams", """SELECT batch, config, config_ord, slot, gram AS token, count
   UNION ALL SELECT s.batch, s.config, s.config_ord, s.slot, s.up || '|' || s.tag || '|*|*|*' FROM {siblings} s LEFT JOIN {inner_nodes} i ON s.slot = i.slot AND s.pos = i.pos WHERE i.pos IS NULL) x
   GROUP BY batch, config, config_ord, slot, gram""")
 VIEW("pq_sizes", "SELECT slot, CAST(sum(n) AS BIGINT) AS n FROM {pq_grams} GROUP BY slot")
-VIEW("pqgram_dice_pairs", """SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, coalesce(s.shared, 0) AS shared,
+FRAME("pqgram_dice_pairs", lambda s, d, cards, grams: features.dice_pairs(cards, grams), """SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, coalesce(s.shared, 0) AS shared,
   CASE WHEN a.n > 0 AND b.n > 0 THEN 2 * coalesce(s.shared, 0) / (a.n + b.n) END AS s FROM {slot_pairs} p LEFT JOIN {pq_sizes} a ON p.slot_a = a.slot LEFT JOIN {pq_sizes} b ON p.slot_b = b.slot
   LEFT JOIN (SELECT a.slot AS slot_a, b.slot AS slot_b, CAST(sum(least(a.n, b.n)) AS BIGINT) AS shared FROM {pq_grams} a JOIN {pq_grams} b ON a.batch = b.batch AND a.token = b.token
-    AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot) s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""")
+    AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot) s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""", "cards pq_grams")
 
 # sparse vectors of the extended channels
 _SEMANTIC = "header nav main section article aside footer figure figcaption h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th button label time address mark details summary fieldset legend output progress meter".split()
@@ -182,10 +184,10 @@ VIEW("cells_xy", "SELECT *, cy FROM {cells_x} LATERAL VIEW explode(sequence(CAST
 VIEW("occupancy", """SELECT batch, config, config_ord, slot, cy * 32 + cx AS token, least(CAST(1600 AS BIGINT), CAST(sum((least(x + w, (cx + 1) * 40) - greatest(x, cx * 40)) * (least(y + h, (cy + 1) * 40) - greatest(y, cy * 40))) AS BIGINT)) AS v
   FROM {cells_xy} WHERE cx < 32 AND cy < 20 GROUP BY batch, config, config_ord, slot, cy * 32 + cx""")
 VIEW("occupancy_sums", "SELECT slot, CAST(sum(v) AS BIGINT) AS n FROM {occupancy} GROUP BY slot")
-VIEW("layout_iou_pairs", """SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, CASE WHEN a.n > 0 AND b.n > 0 THEN coalesce(s.low, 0) / (a.n + b.n - coalesce(s.low, 0)) END AS s
+FRAME("layout_iou_pairs", lambda s, d, cards, cells: features.overlap_pairs(cards, cells), """SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b, CASE WHEN a.n > 0 AND b.n > 0 THEN coalesce(s.low, 0) / (a.n + b.n - coalesce(s.low, 0)) END AS s
   FROM {slot_pairs} p LEFT JOIN {occupancy_sums} a ON p.slot_a = a.slot LEFT JOIN {occupancy_sums} b ON p.slot_b = b.slot
   LEFT JOIN (SELECT a.slot AS slot_a, b.slot AS slot_b, CAST(sum(least(a.v, b.v)) AS BIGINT) AS low FROM {occupancy} a JOIN {occupancy} b ON a.batch = b.batch AND a.token = b.token
-    AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot) s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""")
+    AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot) s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""", "cards occupancy")
 
 QUERIES = """pair_counts pair_completeness shingle_jaccard_pairs winnow_jaccard_pairs feature_jaccard_pairs tagpath_jaccard_pairs pqgram_dice_pairs semantics_cosine_pairs
  css_value_profile naming_style text_shingle_pairs embedding_cosine_pairs palette_top palette_kernel layout_iou_pairs""".split()
