@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -319,17 +319,26 @@ def complete_links(texts: DataFrame, large: DataFrame, links: DataFrame, idf: np
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id, n_links``: each document with the least doc_id of its group of near duplicates.
+    """``doc_id, class_id``: each document with the least doc_id of its group of near duplicates.
 
-    Exact copies of a text with words are in its class. Null texts, and texts without words, are alone. n_links counts
-    the document's links in the forests found (its copies share one text's). A null doc_id is the least one; rows that
-    share doc_id and text are one document of the class; an empty table gives an empty result.
+    Exact copies of a text with words are in its class. Null texts, and texts without words, are alone. A null doc_id is
+    the least one. Rows that share a doc_id and not the text are documents of their own, each in its text's class; an
+    empty table gives an empty result.
     """
-    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    ids = docs.select(known.alias("doc_id"), F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
-    ids = keep(ids, "text-ids")
-    first = keep(ids.filter("worded").groupBy("h1", "h2").agg(F.min("doc_id").alias("first")), "first")
-    rows = docs.select(known.alias("doc_id"), "text")
+    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
+    return classified(docs, least).select(back("doc_id"), back("class_id"))
+
+
+def classified(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """``doc_id, h1, h2, worded, class_id, head``: each row, by the hashes of its text, with its class; ``head`` is true
+    for the text of a class with the least (doc_id, h1, h2). Null ids are NO_ID."""
+    known, hashes = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), text_hashes()
+    ids = keep(docs.select(known.alias("doc_id"), *hashes, F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded")), "text-ids")
+    repeated = _repeated(ids)  # then texts go by a number of their own, else by their doc_id
+    number = F.xxhash64("doc_id", "h1", "h2") if repeated else F.col("doc_id")
+    lead = F.min(F.struct("doc_id", number.alias("number"))).alias("x")
+    first = keep(ids.filter("worded").groupBy("h1", "h2").agg(lead).select("h1", "h2", "x.doc_id", F.col("x.number").alias("first")), "first")
+    rows = docs.select(known.alias("doc_id"), "text", *hashes).select(number.alias("doc_id"), "text")
     df, n = frequencies(rows)
     idf = idf_table(df, n)
     texts = first.select(F.col("first").alias("doc_id"))
@@ -337,17 +346,19 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     keys = keep(keys, "band-keys")
     whole = whole_buckets(keys)
     found = keep(buckets(keys, BUCKET, whole), "found")
-    single = rows.dropDuplicates(["doc_id"]) if _repeated(ids) else rows
+    single = rows.dropDuplicates(["doc_id"]) if repeated else rows
     links = keep(verified_links(single, found, idf, least), "links")
     links = complete_links(single, whole.filter(F.col("n") > BUCKET), links, idf, least)
     classes = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("first")).groupBy("first").agg(F.count(F.lit(1)).alias("n_links"))
-    heads = first.join(classes.withColumnRenamed("doc_id", "first"), "first", "left").join(degree, "first", "left")
-    heads = heads.select("h1", "h2", F.coalesce("class_id", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    alone = ids.filter("not worded").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    done = ids.filter("worded").join(heads, ["h1", "h2"]).select("doc_id", "class_id", "n_links").union(alone)
-    back = lambda c: F.nullif(F.col(c), F.lit(NO_ID)).alias(c)
-    return done.select(back("doc_id"), back("class_id"), "n_links")
+    heads = first.join(classes.withColumnRenamed("doc_id", "first"), "first", "left").withColumn("class_id", F.coalesce("class_id", "first"))
+    leads = heads.groupBy("class_id").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("lead"))
+    heads = heads.join(leads, "class_id").select("h1", "h2", F.col("lead.doc_id").alias("class_id"), (F.col("lead") == F.struct("doc_id", "h1", "h2")).alias("head"))
+    alone = ids.filter("not worded").withColumn("class_id", F.col("doc_id")).withColumn("head", F.lit(True))
+    return ids.filter("worded").join(heads, ["h1", "h2"]).select(*alone.columns).union(alone)
+
+
+def text_hashes() -> list[Column]:
+    return [F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2")]
 
 
 def _repeated(ids: DataFrame) -> bool:
@@ -355,10 +366,18 @@ def _repeated(ids: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``docs`` in all columns with one document of each class: the one with the least doc_id, once."""
-    heads = near_duplicates(docs, least).filter("doc_id <=> class_id").select(F.col("doc_id").alias("head")).distinct()
-    if not _repeated(docs.select("doc_id")):
-        return docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    numbered = docs.withColumn("_weftline_nth", F.row_number().over(order)).filter("_weftline_nth = 1").drop("_weftline_nth")
-    return numbered.join(heads, numbered["doc_id"].eqNullSafe(heads["head"]), "left_semi")
+    """``docs`` in all columns with one document of each class: the one with the least doc_id, once.
+
+    Of rows with that doc_id and different texts of the class the one with the least hash stays; rows without words all
+    stay. Columns of any name are kept.
+    """
+    rows = classified(docs, least)
+    heads = keep(rows.filter("head and doc_id = class_id").select("doc_id", "h1", "h2", "worded").distinct(), "heads")
+    known = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+    packed = docs.select(known, *text_hashes(), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    on = [packed["doc_id"] == heads["doc_id"], packed["h1"].eqNullSafe(heads["h1"]), packed["h2"].eqNullSafe(heads["h2"])]
+    kept = packed.join(heads, on).select(packed["doc_id"], packed["h1"], packed["h2"], "worded", "row")
+    if _repeated(packed.select("doc_id")):
+        same = Window.partitionBy("doc_id", "h1", "h2").orderBy(F.lit(0))
+        kept = kept.withColumn("nth", F.row_number().over(same)).filter("nth = 1 or not worded")
+    return kept.select("row.*")
