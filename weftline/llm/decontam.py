@@ -6,13 +6,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._words import MULT, hash_words, inside, mix, owner, slices, split_words, window_hashes
+from weftline.llm._store import keep
+from weftline.llm._words import hash_words, inside, owner, slices, split_words, window_hashes
 
 #: Shortest tile in tokens, and the share of an item's tokens that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.6
@@ -31,15 +31,15 @@ def tokens(text) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(keep)])[offsets], hashes
 
 
-def seeds(text, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, hash)``: the runs of ``width`` tokens in each text, each hash once for each text."""
-    offsets, h = tokens(text)
+def seeds(offsets: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, hash, n)``: the runs of ``width`` tokens in each text, each hash once for each text, and how often."""
     ok = inside(offsets, width)
     got = window_hashes(h, width)[ok]
     rows = owner(offsets)[: len(ok)][ok]
-    with np.errstate(over="ignore"):
-        first = ~pd.Series(got + mix(rows.astype(np.uint64)) * MULT).duplicated().to_numpy(bool)
-    return rows[first], got[first]
+    order = np.lexsort((got, rows))
+    rows, got = rows[order], got[order]
+    first = np.flatnonzero(np.concatenate([[True], (got[1:] != got[:-1]) | (rows[1:] != rows[:-1])])) if len(got) else np.empty(0, np.int64)
+    return rows[first], got[first], np.diff(np.append(first, len(got)))
 
 
 def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -63,20 +63,28 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[t
                     free_text[j : j + length] = False
                     found.append((i, j, length))
                     break
-        length = _longest(item, text, free_item, free_text, least, length)
+        length = _longest(item, text, free_item, free_text, least, length - 1)
     return found
 
 
 def _longest(item: np.ndarray, text: np.ndarray, free_item: np.ndarray, free_text: np.ndarray, least: int, most: int) -> int:
-    """The length of the longest match of unmarked tokens, at most ``most``; 0 where none has ``least``."""
-    lengths = np.zeros(len(text) + 1, np.int64)
-    best = 0
-    for i in range(len(item)):
-        same = free_text & (text == item[i]) if free_item[i] else np.zeros(len(text), bool)
-        lengths[1:] = np.where(same, lengths[:-1] + 1, 0)
-        best = max(best, int(lengths.max()))
-    best = min(best, most)
-    return best if best >= least else 0
+    """The length of the longest match of unmarked tokens, at most ``most``; 0 where none has ``least``.
+
+    Hashes of runs tell whether a length has a match; where it has, so has each shorter one.
+    """
+
+    def hashes(values: np.ndarray, free: np.ndarray, length: int) -> np.ndarray:
+        taken = np.concatenate([[0], np.cumsum(~free)])
+        return window_hashes(values, length)[taken[length:] == taken[:-length]]
+
+    low, high = least - 1, most
+    while low < high:
+        mid = (low + high + 1) // 2
+        if np.isin(hashes(item, free_item, mid), hashes(text, free_text, mid)).any():
+            low = mid
+        else:
+            high = mid - 1
+    return low if low >= least else 0
 
 
 @lru_cache(maxsize=4096)
@@ -87,44 +95,51 @@ def _item_tokens(text: str) -> np.ndarray:
 def candidate_pairs(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, most_sent: int = MOST_SENT) -> DataFrame:
     """``doc_id, item_id`` that share enough seeds to reach ``coverage``.
 
-    A tile of L tokens has at least L / least seeds in it, so fewer shared seeds than coverage x tokens / least
-    can't do. Items of fewer than ``least`` tokens have no seed and are not searched for.
+    A tile of L tokens has at least L / least seeds in it, so an item with fewer places whose seed the document has
+    than coverage x tokens / least can't do. The seed of an item of fewer than ``least`` tokens is all of it.
     """
     spark = docs.sparkSession
 
     def item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, h = seeds(batch.column("text"), least)
-            n = np.diff(tokens(batch.column("text"))[0])
-            yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(rows)), pa.array(h.view(np.int64)), pa.array(n[rows])], ["item_id", "seed", "n"])
-
-    of_items = items.select("item_id", "text").mapInArrow(item_seeds, "item_id long, seed long, n long").distinct()
-    kinds = of_items.select("seed").distinct()
+            offsets, tokens_of = tokens(batch.column("text"))
+            n = np.diff(offsets)
+            for width in np.unique(np.minimum(n[n > 0], least)).tolist():
+                rows, h, places = seeds(offsets, tokens_of, width)
+                own = np.minimum(n[rows], least) == width
+                rows = rows[own]
+                yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(rows)), pa.array(h[own].view(np.int64)), pa.array(n[rows]), pa.array(places[own]), pa.array(np.full(len(rows), width))], ["item_id", "seed", "n", "places", "width"])
+
+    of_items = keep(items.select("item_id", "text").mapInArrow(item_seeds, "item_id long, seed long, n long, places long, width long").distinct(), "item-seeds")
+    widths = sorted(r.width for r in of_items.select("width").distinct().collect())  # 1 to ``least``
     known = None
-    if kinds.count() <= most_sent:
-        known = spark.sparkContext.broadcast(np.sort(kinds.toPandas()["seed"].to_numpy(np.int64)))
+    if of_items.count() <= most_sent:
+        known = spark.sparkContext.broadcast(np.unique(of_items.select("seed").toPandas()["seed"].to_numpy(np.int64)))
+        of_items = F.broadcast(of_items)
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows, h = seeds(batch.column("text"), least)
-            h = h.view(np.int64)
-            if known is not None:
-                at = np.searchsorted(known.value, h)
-                at[at == len(known.value)] = 0
-                hit = known.value[at] == h if len(known.value) else np.zeros(len(h), bool)
-                rows, h = rows[hit], h[hit]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(h)], ["doc_id", "seed"])
+            offsets, tokens_of = tokens(batch.column("text"))
+            for width in widths:
+                ok = inside(offsets, width)
+                h, rows = window_hashes(tokens_of, width)[ok].view(np.int64), owner(offsets)[: len(ok)][ok]
+                if known is not None:
+                    at = np.searchsorted(known.value, h)
+                    at[at == len(known.value)] = 0
+                    hit = known.value[at] == h if len(known.value) else np.zeros(len(h), bool)
+                    rows, h = rows[hit], h[hit]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(h)], ["doc_id", "seed"])
 
     of_docs = docs.select("doc_id", "text").mapInArrow(doc_seeds, "doc_id long, seed long").distinct()
-    shared = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id", "n").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.filter(F.col("shared") * least >= F.col("n") * coverage).select("doc_id", "item_id")
+    shared = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id", "n").agg(F.sum("places").alias("shared"))
+    return shared.filter(F.col("shared") * F.least(F.lit(least), "n") >= F.col("n") * coverage).select("doc_id", "item_id")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, item_id, n_tokens, n_covered, n_tiles, coverage`` of the pairs in which tiles cover enough of the item.
 
-    Reordered passages are several tiles and count alike. Null texts have no tokens; items whose text is null or
-    shorter than ``least`` tokens are never found; of rows that share a doc_id any may match; repeated items are one.
+    Reordered passages are several tiles and count alike. Null texts have no tokens; items without tokens are
+    never found, and those of fewer than ``least`` only as a whole; of rows that share a doc_id any may match; repeated items are one.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").filter("text is not null")
     items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct()
@@ -138,8 +153,8 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, cov
             n, covered, count = [], [], []
             for k, item in enumerate(batch.column("item").to_pylist()):
                 want, text = _item_tokens(item), h[offsets[k] : offsets[k + 1]]
-                near = _around(want, text, least)
-                got = tiles(want, near, least)
+                shortest = min(least, len(want))
+                got = tiles(want, _around(want, text, shortest), shortest)
                 n.append(len(want))
                 covered.append(sum(x[2] for x in got))
                 count.append(len(got))
