@@ -15,6 +15,8 @@ SAMPLES_PER_RANGE = 40
 #: Bytes of documents in one range at most; with at least RANGES_PER_SHARD ranges a shard.
 RANGE_BYTES = 1 << 30
 RANGES_PER_SHARD = 16
+#: Share of a shard up to which a group of equal texts stays together.
+WHOLE = 0.05
 
 
 def _sample(keyed: DataFrame, rate: float, where=None) -> pd.DataFrame:
@@ -57,12 +59,16 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, text: str = "text", samp
 
     Records are ordered by (hash of the text, ``doc_id``), so that equal texts are neighbours; boundaries are quantiles
     of a size-weighted sample; ranges that hold more than twice their share are divided by splitters of their own.
-    Each record then takes the shard in which the middle of its bytes falls, so that shards differ by one record at
-    most. Slots count from 0 in key order. A null text has no bytes (size 16) and the checksum 0; null ``doc_id``
-    sorts first; repeated rows each take a slot; an empty table gives an empty result.
+    A group of equal texts of at most WHOLE of a shard's share stays together and takes the shard in which the middle of
+    its bytes falls; each record of a larger group does so by itself. So shards differ by such a group at most. Slots
+    count from 0 in key order. A null text has no bytes (size 16) and the checksum 0; null ``doc_id`` sorts first;
+    repeated rows each take a slot; an empty table gives an empty result. Columns of these names in ``docs`` must be
+    renamed before (ValueError).
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    extra = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    clash = {"size", "text_crc32", "shard", "slot"} & set(docs.columns)
+    if keep_columns and clash:
+        raise ValueError(f"docs has columns named {sorted(clash)}")
     ids = docs.select(
         F.col("doc_id"), F.xxhash64(body).alias("k1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k2"),
         (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"),
@@ -75,9 +81,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, text: str = "text", samp
     same = Window.partitionBy("doc_id", "text_crc32").orderBy("slot", "shard")
     numbered = thin.withColumn("nth", F.row_number().over(same))
     again = Window.partitionBy("doc_id", "text_crc32").orderBy(F.lit(0))
-    rest = docs.select(*extra).withColumn("text_crc32", F.crc32(body.cast("binary"))).withColumn("nth", F.row_number().over(again))
+    packed = docs.select(F.col("doc_id"), F.crc32(body.cast("binary")).alias("text_crc32"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rest = packed.withColumn("nth", F.row_number().over(again))
     on = rest["doc_id"].eqNullSafe(numbered["doc_id"]) & (rest["text_crc32"] == numbered["text_crc32"]) & (rest["nth"] == numbered["nth"])
-    return rest.join(numbered, on).select(*[rest[c] for c in extra], "size", numbered["text_crc32"], "shard", "slot")
+    return rest.join(numbered, on).select("row.*", "size", numbered["text_crc32"], "shard", "slot")
 
 
 def shard_keys(keyed: DataFrame, n_shards: int, samples: int = SAMPLES_PER_RANGE) -> DataFrame:
@@ -85,6 +92,10 @@ def shard_keys(keyed: DataFrame, n_shards: int, samples: int = SAMPLES_PER_RANGE
     spark = keyed.sparkSession
     total = keyed.agg(F.sum("size").alias("b")).first().b or 0
     n_ranges = max(n_shards * RANGES_PER_SHARD, -(-total // RANGE_BYTES))
+    large = keyed.groupBy("k1").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > WHOLE * total / n_shards)
+    large = F.broadcast(large.select("k1", F.lit(True).alias("large")))  # fewer than n_shards / WHOLE
+    marked = keyed.join(large, "k1", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    keyed = keep(marked.withColumn("own", F.col("k2")).withColumn("k2", F.when(F.col("large"), F.col("k2")).otherwise(F.lit(0))), "shard-groups")
     share = max(total / n_ranges, 1)
     bounds = _quantiles(_sample(keyed, n_ranges * samples / max(total, 1)), n_ranges)
     while True:
@@ -102,15 +113,17 @@ def shard_keys(keyed: DataFrame, n_shards: int, samples: int = SAMPLES_PER_RANGE
     sizes = sizes.sort_values("range")
     sizes["before"] = sizes["bytes"].cumsum() - sizes["bytes"]
     starts = spark.createDataFrame([(int(r), int(b)) for r, b in zip(sizes["range"], sizes["before"], strict=True)], "range int, before long")
-    order = Window.partitionBy("range").orderBy("k1", "k2", "size")
-    begun = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    middle = F.coalesce(begun, F.col("before")) + F.col("size") / 2
+    order = Window.partitionBy("range").orderBy("k1", "own", "size")
+    begun = F.col("before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    group = Window.partitionBy("range", "k1")
+    middle = F.when(F.col("large"), F.col("begun") + F.col("size") / 2).otherwise(F.min("begun").over(group) + F.sum("size").over(group) / 2)
     cut = (
         ranged.join(F.broadcast(starts), "range")  # a row for each range
         .withColumn("row", F.row_number().over(order))
+        .withColumn("begun", begun)
         .withColumn("shard", F.least(F.lit(n_shards - 1), F.floor(middle * F.lit(n_shards / max(total, 1)))).cast("int"))
     )
-    cut = keep(cut.drop("before"), "shard-cut")
+    cut = keep(cut.drop("before", "begun"), "shard-cut")
     pieces = cut.groupBy("range", "shard").agg(F.count(F.lit(1)).alias("n"), F.min("row").alias("first")).toPandas()
     pieces = pieces.sort_values(["shard", "range"])
     pieces["base"] = pieces.groupby("shard")["n"].cumsum() - pieces["n"] - pieces["first"]
