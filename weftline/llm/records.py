@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm._store import filesystem, fresh_path, keep
+from weftline.llm._store import filesystem, fresh_path, keep, qualified
 from weftline.llm._words import slices
 from weftline.llm.tokens import default_tokenizer, encoder, with_end
 
@@ -66,7 +66,7 @@ def write_records(docs: DataFrame, path: str | None = None, tokenizer: str | Non
     and no wrong record. Null texts are empty, a null doc_id comes first, repeated rows are records of their own.
     """
     spark, tokenizer = docs.sparkSession, tokenizer or default_tokenizer()
-    path = path or fresh_path(spark, "records")
+    path = qualified(spark, path) if path else fresh_path(spark, "records")
     if n_files is None:
         n_files = max(1, -(-(docs.agg(F.sum(F.octet_length("text")).alias("b")).first().b or 0) // FILE_BYTES))
 
