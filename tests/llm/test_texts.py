@@ -167,6 +167,17 @@ def test_components(spark):
     assert {r.doc_id: r.class_id for r in neardup.components(chain).collect()} == {**{i: 0 for i in range(41)}, 98: 98, 99: 98, 100: 98}
 
 
+def test_rows_that_share_a_doc_id_are_documents_of_their_own(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, a, "x"), (5, b, "y"), (7, b, "z"), (8, a, "w"), (None, a, "n"), (9, None, "p"), (9, None, "q"), (9, "", "r"), (7, b, "z")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, nth string").withColumn("head", F.lit(1)).withColumn("h1", F.lit(2))
+    got = collections.Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(data).collect())
+    assert got == {(5, None): 1, (5, 5): 1, (7, 5): 2, (8, None): 1, (None, None): 1, (9, 9): 3}
+    kept = neardup.keep_one(data)
+    assert kept.columns == data.columns
+    assert sorted((r.doc_id or 0, r.nth) for r in kept.collect()) == [(0, "n"), (5, "y"), (9, "p"), (9, "q"), (9, "r")]
+
+
 def test_neardup_without_rows(empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
@@ -178,6 +189,33 @@ def test_tiles_catch_reordered_passages():
     assert decontam.tiles(np.array([1, 2, 3, 4, 5, 1, 2, 3, 4, 5], np.uint64), np.array([1, 2, 3, 4, 5], np.uint64)) == [(0, 0, 5)]
 
 
+def test_longest_matches_equal_a_table():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        a, b = (rng.integers(0, 3, rng.integers(1, 25)).astype(np.uint64) for _ in range(2))
+        free_a, free_b = rng.random(len(a)) > 0.2, rng.random(len(b)) > 0.2
+        best = max((k for i in range(len(a)) for j in range(len(b)) for k in range(1, 1 + min(len(a) - i, len(b) - j)) if free_a[i : i + k].all() and free_b[j : j + k].all() and (a[i : i + k] == b[j : j + k]).all()), default=0)
+        assert decontam._longest(a, b, free_a, free_b, 2, min(len(a), len(b))) == (best if best >= 2 else 0)
+
+
+@pytest.mark.parametrize("most_sent", [0, 1_000_000])
+def test_decontamination_equals_brute_force(spark, most_sent, monkeypatch):
+    monkeypatch.setattr(decontam.candidate_pairs, "__defaults__", (decontam.LEAST_TILE, decontam.COVERAGE, most_sent))
+    rng = np.random.default_rng(7)
+    items = [(0, "ha " * 20), (1, "la di " * 10), (2, "one two"), (3, ""), (4, None)] + [(10 + i, " ".join(rng.choice(list("abcdef"), rng.integers(3, 30)))) for i in range(20)]
+    docs = [(1, "so ha " + "ha " * 25), (2, "la di " * 12), (3, "zero one two three"), (4, "one three two"), (5, None), (6, "ha ha"), (6, "la di " * 30), (None, "la di " * 11)]
+    docs += [(100 + i, " ".join(rng.choice(list("abcdef"), rng.integers(3, 60)))) for i in range(30)]
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            a, b = (decontam.tokens(pa.array([x], pa.string()))[1] for x in (item, text))
+            covered = sum(x[2] for x in decontam.tiles(a, b, min(5, len(a)))) if len(a) and len(b) else 0
+            if len(a) and covered >= 0.6 * len(a):
+                want.add((d, i))
+    got = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want and {(1, 0), (2, 1), (3, 2), (6, 1), (None, 1)} <= want and (4, 2) not in want
+
+
 @pytest.mark.parametrize("most_sent", [0, 1_000_000])
 def test_decontamination(spark, docs, empty, most_sent, monkeypatch):
     words = [f"w{i}" for i in range(40)]
@@ -187,7 +225,7 @@ def test_decontamination(spark, docs, empty, most_sent, monkeypatch):
     data = docs.select("doc_id", "text").union(planted)
     monkeypatch.setattr(decontam.candidate_pairs, "__defaults__", (decontam.LEAST_TILE, decontam.COVERAGE, most_sent))
     got = {(r.doc_id, r.item_id): (r.n_covered, r.n_tiles) for r in decontam.contaminated(data, items).collect()}
-    assert got == {(900, 1): (40, 1), (901, 1): (40, 2)}
+    assert got == {(900, 1): (40, 1), (901, 1): (40, 2)}, got
     assert {r.doc_id for r in decontam.remove_contaminated(data, items).collect()} == {r.doc_id for r in data.collect()} - {900, 901}
     assert decontam.contaminated(empty, items).count() == 0 and decontam.remove_contaminated(docs, items.limit(0)).count() == docs.count()
 
@@ -237,7 +275,7 @@ def test_language_accuracy_held_out(spark, empty):
     rng = np.random.default_rng(2)
     sounds = {"aa": ["ka", "lo", "mi"], "bb": ["str", "och", "ung"], "cc": ["ção", "é", "ñu"]}
     rows = [(i, " ".join("".join(rng.choice(sounds[x], 3)) for _ in range(rng.integers(3, 200))), x) for i, x in enumerate(rng.choice(list(sounds), 600))]
-    rows += [(1000, None, "aa"), (1001, "12 34 !", "bb"), (1002, "kalomi kakalo", None)]
+    rows += [(1000, None, "aa"), (1001, "12 ½ ② !", "bb"), (1002, "kalomi kakalo", None)]
     data = spark.createDataFrame([(int(i), None if t is None else str(t), None if x is None else str(x)) for i, t, x in rows], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in langid.language_report(data).collect()}
     truth = {int(i): x for i, _, x in rows[:600]}

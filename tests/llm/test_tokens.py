@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import packing, records, sharding
@@ -125,5 +126,23 @@ def test_overfull_ranges_are_divided(spark):
     assert len(sizes) == 10 and max(sizes) - min(sizes) <= 100
 
 
+def test_equal_texts_stay_together_where_they_fit(spark):
+    data = spark.createDataFrame([(i, f"text {i % 700} " + "x" * (i % 40)) for i in range(7000)] + [(10_000 + i, "hot") for i in range(3500)], "doc_id long, text string")
+    out = sharding.shard_by_bytes(data.withColumn("nth", F.lit(1)), 8, samples=2)
+    assert "nth" in out.columns
+    rows = out.collect()
+    assert len(rows) == 10_500
+    where = collections.defaultdict(set)
+    for r in rows:
+        where[r.text].add(r.shard)
+    assert len(where.pop("hot")) > 1 and all(len(x) == 1 for x in where.values())
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) <= 0.1 * sum(sizes.values()) / 8
+    with pytest.raises(ValueError):
+        sharding.shard_by_bytes(data.withColumn("slot", F.lit(1)))
+
+
 def test_shared_folder_is_used(spark):
     assert "weftline" in fresh_path(spark, "x")
