@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from weftline.llm import decontam, langid, licenses, lmscore, neardup, packing, quality, records, sharding, substring
 
 
@@ -60,6 +59,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it reads this subpackage
+
     return corpus_pipeline.run(spark, sf_dir)
 
 
