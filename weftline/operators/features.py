@@ -59,25 +59,34 @@ def token_sets(rows: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def pairs_of(sets: DataFrame, *columns: str) -> DataFrame:
-    """Each two slots of a batch in order, with ``columns`` of both (``x_a``, ``x_b``): one shuffle by batch, whose size is fixed."""
-    side = lambda s: sets.select("batch", *[F.col(c).alias(f"{c}_{s}") for c in ("config", "config_ord", "slot", *columns)])
+    """Each two slots of a batch in order, with ``columns`` of both (``x_a``, ``x_b``): one shuffle by batch, whose size is fixed.
+
+    Where ``sets`` has several channels, pairs are of one channel.
+    """
+    by = ["batch", "channel"] if "channel" in sets.columns else ["batch"]
+    side = lambda s: sets.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("config", "config_ord", "slot", *columns)])
     ordered = (F.col("config_ord_a") < F.col("config_ord_b")) | (F.col("config_ord_a") == F.col("config_ord_b")) & (F.col("slot_a") < F.col("slot_b"))
     kind = F.when(F.col("config_a") == F.col("config_b"), "self").otherwise("cross")
-    both = side("a").hint("merge").join(side("b"), "batch").filter(ordered)
-    return both.select("batch", "config_a", "config_b", kind.alias("kind"), "slot_a", "slot_b", *[f"{c}_{s}" for c in columns for s in "ab"])
+    both = side("a").hint("merge").join(side("b"), by).filter(ordered)
+    return both.select(*by, "config_a", "config_b", kind.alias("kind"), "slot_a", "slot_b", *[f"{c}_{s}" for c in columns for s in "ab"])
 
 
 def jaccard_pairs(sets: DataFrame) -> DataFrame:
     """Exact set similarity of each two slots of a batch; null where a side has no token."""
     shared = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
-    p = pairs_of(sets, "tokens").select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", shared.alias("shared"), F.size("tokens_a").cast("long").alias("n_a"), F.size("tokens_b").cast("long").alias("n_b"))
+    by = ["channel"] if "channel" in sets.columns else []
+    p = pairs_of(sets, "tokens").select(*by, "batch", "config_a", "config_b", "kind", "slot_a", "slot_b", shared.alias("shared"), F.size("tokens_a").cast("long").alias("n_a"), F.size("tokens_b").cast("long").alias("n_b"))
     return p.withColumn("s", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))))
 
 
+def bag_sets(cards: DataFrame, grams: DataFrame) -> DataFrame:
+    each = grams.select("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "token")
+    return token_sets(each.select("slot", F.concat_ws("#", "token", "k").alias("token")), cards)
+
+
 def dice_pairs(cards: DataFrame, grams: DataFrame) -> DataFrame:
     """Dice similarity of bags (``slot, token, n``): the k-th of equal grams is a token of its own, so sets will do."""
-    each = grams.select("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "token")
-    p = jaccard_pairs(token_sets(each.select("slot", F.concat_ws("#", "token", "k").alias("token")), cards))
+    p = jaccard_pairs(bag_sets(cards, grams))
     some = (F.col("n_a") > 0) & (F.col("n_b") > 0)
     return p.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "shared", F.when(some, 2 * F.col("shared") / (F.col("n_a") + F.col("n_b"))).alias("s"))
 
@@ -93,6 +102,24 @@ def overlap_pairs(cards: DataFrame, cells: DataFrame, n_cells: int = 640) -> Dat
     return p.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "n_a", "n_b", s.alias("low")).select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", (F.col("low") / (F.col("n_a") + F.col("n_b") - F.col("low"))).alias("s"))
 
 
+def cosine_pairs(cards: DataFrame, rows: DataFrame, channels: tuple[str, ...] = ()) -> DataFrame:
+    """Cosine of sparse vectors (``slot, token, value``), equal ones exactly 1, clamped to [0, 1]; null for an empty side.
+
+    Sums run over sorted keys, so that they don't depend on the order of rows.
+    """
+    by = ["channel"] if "channel" in rows.columns else []
+    if by:  # a row for each slot and channel
+        cards = cards.withColumn("channel", F.explode(F.array(*[F.lit(c) for c in channels])))
+    sets = rows.filter("value <> 0").groupBy("slot", *by).agg(F.array_sort(F.collect_list(F.struct("token", "value"))).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x["value"] * x["value"])
+    sets = cards.select(*KEY, *by).join(sets.withColumn("q", square).withColumn("m", F.map_from_entries("v")), ["slot", *by], "left")
+    p = pairs_of(sets, "v", "q", "m")
+    dot = F.aggregate("v_a", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.col("m_b")[x["token"]], F.lit(0.0)))
+    s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.sqrt(F.col("q_a") * F.col("q_b")))), 6)
+    alike = F.when(F.col("v_a").isNull() | F.col("v_b").isNull(), F.lit(None).cast("double")).when(F.col("v_a") == F.col("v_b"), 1.0).otherwise(s)
+    return p.select(*by, "batch", "config_a", "config_b", "kind", "slot_a", "slot_b", alike.alias("s"))
+
+
 def text_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
     """Distinct ``token``: runs of ``k`` words in lower case, words with a digit as #."""
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.when(x.rlike(r"\p{Nd}"), "#").otherwise(x))

@@ -2,15 +2,55 @@
 
 from __future__ import annotations
 
-from weftline.plans import similarity  # noqa: F401  its views
-from weftline.plans.views import VIEW
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from weftline.operators import features
+from weftline.plans import channels, similarity  # noqa: F401  their views
+from weftline.plans.views import FRAME, VIEW
 
 #: Gates of eligible cells, of the common scale and of the findings.
-N_EFF_MIN, M_CROSS_MIN, LOCK_VALUES, LOCK_SPAN, CONSENSUS_CHANNELS = 4, 2, 8, 0.02, 3
-CHANNELS = {"c-shingle": "shingle_jaccard_pairs", "c-winnow": "winnow_jaccard_pairs", "c-feature": "feature_jaccard_pairs", "d-tagpath": "tagpath_jaccard_pairs",
-            "d-pqgram": "pqgram_dice_pairs", "x-semantics": "semantics_cosine_pairs", "d-geom": "layout_iou_pairs"}
+N_EFF_MIN, M_CROSS_MIN, LOCK_VALUES, LOCK_SPAN, CONSENSUS_CHANNELS = 4, 2, 8, 0.02, 6
+DIVERGENCE_MIN, COHESION_MIN, REACH_MIN, LOWEST = 30, 10, 100, 8
+#: All channels in their order, those that are shown and never counted, and those of the hypotheses.
+REGISTRY = """v-phash v-dhash v-color v-palette v-layout v-edge v-ssim c-shingle c-winnow c-feature c-ast-js c-css-prop c-ncd d-geom d-text d-pqgram d-tagpath
+ x-color x-css-values x-layout x-naming x-semantics""".split()
+DIAGNOSTIC = ("c-ncd", "d-tagpath")
+SCALARS = "colorfulness brightness contrast whitespace_ratio frame_change_median".split()
+#: The channels that have scores of all slot pairs.
+CHANNELS = {
+    "c-shingle": "shingle_jaccard_pairs", "c-winnow": "winnow_jaccard_pairs", "c-feature": "feature_jaccard_pairs", "c-ast-js": "c_script_tokens_pairs", "c-css-prop": "c_css_prop_pairs",
+    "d-geom": "layout_iou_pairs", "d-pqgram": "pqgram_dice_pairs", "d-tagpath": "tagpath_jaccard_pairs", "x-color": "x_color_pairs", "x-css-values": "x_css_values_pairs",
+    "x-layout": "x_layout_pairs", "x-naming": "x_naming_pairs", "x-semantics": "x_semantics_pairs",
+}
+_FORMAL = ", ".join(f"'{c}'" for c in CHANNELS if c not in DIAGNOSTIC)
+_ROWS = ", ".join(f"('{c}', {i}, '{c[0]}', {str(c not in DIAGNOSTIC).lower()}, {str(c not in DIAGNOSTIC and c[0] != 'x').lower()}, {str(c in CHANNELS).lower()})" for i, c in enumerate(REGISTRY))
+VIEW("channel_registry", f"SELECT * FROM (VALUES {_ROWS}) AS t(channel, ord, family, is_formal, in_hypotheses, has_scores)")
+_L1 = ", ".join(f"('{c}', {100 + i})" for i, c in enumerate(SCALARS))
+VIEW("hypothesis_family", f"""SELECT 'H-pooled-channel-' || channel AS hypothesis_id, 'channel' AS kind, channel AS target, ord FROM {{channel_registry}} WHERE in_hypotheses
+  UNION ALL SELECT 'H-pooled-l1-' || scalar, 'l1-scalar', scalar, ord FROM (VALUES {_L1}) AS s(scalar, ord)""")
+
+#: Which of them are sets or bags, and which are vectors, with the views that hold those.
+SETS = {"c-shingle": "shingles_sets", "c-winnow": "winnow_sets", "c-feature": "feature_set_sets", "d-tagpath": "tag_paths_sets"}
+VECTORS = {"c-ast-js": "script_bigrams", "c-css-prop": "css_properties", "x-color": "color_buckets", "x-css-values": "css_units", "x-layout": "layout_values", "x-naming": "naming_values", "x-semantics": "semantic_values"}
+
+
+def pair_scores(spark, sf_dir, cards, layout, grams, *views):
+    """The scores of all channels and slot pairs: one join for all sets, one for all vectors and one for the layout."""
+    named = dict(zip([*SETS, *VECTORS], views, strict=True))
+    union = lambda frames: reduce(lambda x, y: x.unionByName(y), frames)
+    sets = union([named[c].select(*features.KEY, F.lit(c).alias("channel"), "tokens") for c in SETS] + [features.bag_sets(cards, grams).withColumn("channel", F.lit("d-pqgram"))])
+    found = features.jaccard_pairs(sets)
+    dice = F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), 2 * F.col("shared") / (F.col("n_a") + F.col("n_b")))
+    found = found.withColumn("s", F.when(F.col("channel") == "d-pqgram", dice).otherwise(F.col("s")))
+    vectors = union([named[c].select(*features.KEY, F.lit(c).alias("channel"), "token", "value") for c in VECTORS])
+    found = [found, features.cosine_pairs(cards, vectors, tuple(VECTORS)), layout.withColumn("channel", F.lit("d-geom"))]
+    return union([x.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "channel", "s") for x in found])
+
 
-VIEW("pair_scores", " UNION ALL ".join(f"SELECT batch, config_a, config_b, kind, slot_a, slot_b, '{c}' AS channel, s FROM {{{v}}}" for c, v in CHANNELS.items()))
+FRAME("pair_scores", pair_scores, " UNION ALL ".join(f"SELECT batch, config_a, config_b, kind, slot_a, slot_b, '{c}' AS channel, s FROM {{{v}}}" for c, v in CHANNELS.items()),
+      " ".join(["cards", "layout_iou_pairs", "pq_grams", *SETS.values(), *VECTORS.values()]))
 VIEW("raw_cells", """SELECT batch, config_a, config_b, kind, channel, PCT(s, 0.5) AS median, PCT(s, 0.25) AS p25, PCT(s, 0.75) AS p75, count(s) AS n_eff, avg(s) AS mean FROM {pair_scores} GROUP BY batch, config_a, config_b, kind, channel""")
 _OK = f"c.n_eff >= {N_EFF_MIN} AND (c.kind = 'self' OR a.m >= {M_CROSS_MIN} AND b.m >= {M_CROSS_MIN})"
 VIEW("cells", f"""SELECT c.batch, c.config_a, c.config_b, c.kind, c.channel, CASE WHEN {_OK} THEN c.median END AS median, CASE WHEN {_OK} THEN c.p25 END AS p25, CASE WHEN {_OK} THEN c.p75 END AS p75,
@@ -44,7 +84,7 @@ VIEW("separation_distinctiveness", """SELECT s.batch, s.config, s.channel, CASE
   JOIN (SELECT batch, count(*) AS n FROM {slot_counts} GROUP BY batch) t ON s.batch = t.batch JOIN {nearest} n ON s.batch = n.batch AND s.channel = n.channel AND s.config = n.config""")
 
 # the common scale of channels and what is built on it
-VIEW("lock", f"""SELECT batch, channel, PCT(median, 0.01) AS lo, PCT(median, 0.99) AS hi, count(*) AS n_cross FROM {{cells}} WHERE kind = 'cross' AND median IS NOT NULL GROUP BY batch, channel
+VIEW("lock", f"""SELECT batch, channel, PCT(median, 0.01) AS lo, PCT(median, 0.99) AS hi, count(*) AS n_cross FROM {{cells}} WHERE kind = 'cross' AND median IS NOT NULL AND channel IN ({_FORMAL}) GROUP BY batch, channel
   HAVING count(*) >= {LOCK_VALUES} AND PCT(median, 0.99) - PCT(median, 0.01) >= {LOCK_SPAN}""")
 VIEW("merge_domain", "SELECT batch, channel, round(lo, 6) AS lo, round(hi, 6) AS hi, n_cross FROM {lock}")
 VIEW("stretched", """SELECT c.batch, c.config_a, c.config_b, c.kind, c.channel, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), (c.median - l.lo) / (l.hi - l.lo))) AS v, c.median <= l.lo OR c.median >= l.hi AS clamped
@@ -57,8 +97,14 @@ VIEW("merged_families", """SELECT m.batch, m.kind, m.merged, m.config_a, m.confi
 VIEW("midranks", """SELECT batch, fa = fb AS within, rank() OVER (PARTITION BY batch ORDER BY round(merged, 9)) + (count(*) OVER (PARTITION BY batch, round(merged, 9)) - 1) / 2 AS midrank FROM {merged_families} WHERE kind = 'cross'""")
 VIEW("family_auc", """SELECT batch, n1, n0, round((r1 - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM (SELECT batch, count(*) FILTER (WHERE within) AS n1, count(*) FILTER (WHERE NOT within) AS n0, sum(midrank) FILTER (WHERE within) AS r1
   FROM {midranks} GROUP BY batch) x WHERE n1 > 0 AND n0 > 0""")
-VIEW("findings_report", """SELECT batch, CASE WHEN fa = fb THEN 'within' ELSE 'between' END AS relation, least(fa, fb) AS family_a, greatest(fa, fb) AS family_b, count(*) AS n, round(avg(merged), 6) AS mean FROM {merged_families}
-  WHERE kind = 'cross' GROUP BY batch, CASE WHEN fa = fb THEN 'within' ELSE 'between' END, least(fa, fb), greatest(fa, fb) HAVING count(*) >= 2""")
+VIEW("merged_sides", """SELECT config_a AS config, fa AS family, fa = fb AS same, merged FROM {merged_families} WHERE kind = 'cross' UNION ALL SELECT config_b, fb, fa = fb, merged FROM {merged_families} WHERE kind = 'cross'""")
+VIEW("divergence", f"""SELECT config, n, mean FROM (SELECT *, row_number() OVER (ORDER BY mean, config) AS r FROM (SELECT config, count(*) AS n, round(avg(merged), 6) AS mean FROM {{merged_sides}} GROUP BY config HAVING count(*) >= {DIVERGENCE_MIN}) x) y WHERE r <= {LOWEST}""")
+VIEW("least_consistent", f"""SELECT config, n, mean FROM (SELECT *, row_number() OVER (ORDER BY mean, config) AS r FROM (SELECT config_a AS config, count(*) AS n, round(avg(merged), 6) AS mean FROM {{merged_families}} WHERE kind = 'self' GROUP BY config_a) x) y WHERE r <= {LOWEST}""")
+VIEW("findings_report", f"""SELECT CASE WHEN fa = fb THEN 'within family' ELSE 'between families' END AS section, 'all' AS name, count(*) AS n, round(avg(merged), 6) AS mean FROM {{merged_families}} WHERE kind = 'cross' GROUP BY fa = fb
+  UNION ALL SELECT 'self-consistency', 'all', count(*), round(avg(merged), 6) FROM {{merged_families}} WHERE kind = 'self' HAVING count(*) > 0
+  UNION ALL SELECT 'most divergent', config, n, mean FROM {{divergence}} UNION ALL SELECT 'least self-consistent', config, n, mean FROM {{least_consistent}}
+  UNION ALL SELECT 'cohesion', fa, count(*), round(avg(merged), 6) FROM {{merged_families}} WHERE kind = 'cross' AND fa = fb GROUP BY fa HAVING count(*) >= {COHESION_MIN}
+  UNION ALL SELECT 'reach', family, count(*), round(avg(merged), 6) FROM {{merged_sides}} WHERE NOT same GROUP BY family HAVING count(*) >= {REACH_MIN}""")
 VIEW("most_divergent", "SELECT batch, config_a, config_b, round(merged, 6) AS merged FROM {merged} WHERE kind = 'cross' ORDER BY round(merged, 6), batch, config_a, config_b LIMIT 8")
 VIEW("neighbor_ranks", """SELECT *, row_number() OVER (PARTITION BY batch, channel, config ORDER BY round(mean, 9) DESC, other) AS near, row_number() OVER (PARTITION BY batch, channel, config ORDER BY round(mean, 9), other) AS far,
   count(*) OVER (PARTITION BY batch, channel, config) AS n FROM {mirrored}""")
@@ -72,5 +118,5 @@ VIEW("display_contrast", """SELECT batch, channel, CASE WHEN count(*) >= 8 AND P
 VIEW("mirrored_lookup", """SELECT config_a AS row_config, config_b AS column_config, batch, channel, median FROM {summary_cells}
   UNION ALL SELECT config_b, config_a, batch, channel, median FROM {summary_cells} WHERE kind = 'cross'""")
 
-QUERIES = """summary_cells sufficient_cells compact_summary flagship_sync self_consistency cross_cells loro_ranges separation_distinctiveness merge_domain merged_consensus clamp_rate
+QUERIES = """channel_registry hypothesis_family summary_cells sufficient_cells compact_summary flagship_sync self_consistency cross_cells loro_ranges separation_distinctiveness merge_domain merged_consensus clamp_rate
  family_auc findings_report most_divergent neighbors_head_tail cluster_runs display_contrast mirrored_lookup""".split()

@@ -58,23 +58,31 @@ def cosine(name: str, vectors: str) -> None:
     VIEW(f"{name}_norms", f"SELECT slot, sum(value * value) AS q, count(*) AS n FROM {{{vectors}}} WHERE value <> 0 GROUP BY slot")
     VIEW(f"{name}_dots", f"""SELECT a.slot AS slot_a, b.slot AS slot_b, sum(a.value * b.value) AS dot, sum(CASE WHEN a.value = b.value THEN 1 ELSE 0 END) AS same FROM {{{vectors}}} a JOIN {{{vectors}}} b
       ON a.batch = b.batch AND a.token = b.token AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) WHERE a.value <> 0 AND b.value <> 0 GROUP BY a.slot, b.slot""")
-    VIEW(name, f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b,
+    FRAME(name, lambda s, d, cards, rows: features.cosine_pairs(cards, rows), f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b,
       CASE WHEN a.n IS NULL OR b.n IS NULL THEN NULL WHEN d.same = a.n AND d.same = b.n THEN CAST(1 AS DOUBLE)
         ELSE round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(d.dot, CAST(0 AS DOUBLE)) / sqrt(a.q * b.q))), 6) END AS s
       FROM {{slot_pairs}} p LEFT JOIN {{{name}_norms}} a ON p.slot_a = a.slot LEFT JOIN {{{name}_norms}} b ON p.slot_b = b.slot
-      LEFT JOIN {{{name}_dots}} d ON p.slot_a = d.slot_a AND p.slot_b = d.slot_b""")
+      LEFT JOIN {{{name}_dots}} d ON p.slot_a = d.slot_a AND p.slot_b = d.slot_b""", f"cards {vectors}")
 
 
 jaccard("shingle_jaccard_pairs", "shingles", lambda s, d, cards: features.char_shingles(cards))
 jaccard("winnow_jaccard_pairs", "winnow", lambda s, d, cards: features.winnowed(cards))
 
-# feature sets of tags and classes
+# feature sets of tags, classes, style properties (in braces) and script words
+#: The words of scripts that count.
+JS_API = """AbortController Array Date IntersectionObserver JSON Map Math MutationObserver Number Object Promise Set URL URLSearchParams WebSocket XMLHttpRequest addEventListener appendChild async
+ await cancelAnimationFrame classList clearInterval clearTimeout console createElement dataset document fetch getAttribute getContext getElementById getElementsByClassName getElementsByTagName
+ innerHTML insertAdjacentHTML localStorage matchMedia navigator querySelector querySelectorAll removeChild removeEventListener requestAnimationFrame sessionStorage setAttribute setInterval
+ setTimeout textContent then window""".split()
+_API = rf"\b({'|'.join(JS_API)})\b"
+_PROPERTY = r"^\s*(-{0,2}[A-Za-z_][A-Za-z0-9_-]*)\s*:"
 FRAME("feature_set", lambda s, d, cards, nodes: _feature_set(cards, nodes), r"""SELECT DISTINCT batch, config, config_ord, slot, 'tag:' || tag AS token FROM nodes
   UNION SELECT DISTINCT batch, config, config_ord, slot, 'class:' || c FROM (SELECT *, unnest(string_split_regex(v, '\s+')) AS c FROM
     (SELECT *, unnest(regexp_extract_all(html, '\bclass\s*=\s*"([^"]*)"', 1)) AS v FROM cards)) WHERE c <> ''
-  UNION SELECT DISTINCT batch, config, config_ord, slot, 'css:' || lower(p) FROM (SELECT *, unnest(regexp_extract_all(v, '([a-zA-Z-]+)\s*:', 1)) AS p FROM
-    (SELECT *, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1)) AS v FROM cards))
-  UNION SELECT DISTINCT batch, config, config_ord, slot, 'jsapi:' || w FROM (SELECT *, unnest(regexp_extract_all(html, '\b(track|document|window|fetch|console)\b', 1)) AS w FROM cards)""", "cards nodes")
+  UNION SELECT DISTINCT batch, config, config_ord, slot, 'css:' || lower(p) FROM (SELECT *, regexp_extract(d, 'PROPERTY', 1) AS p FROM (SELECT *, unnest(regexp_extract_all(v, '[^{};]*[;}]')) AS d FROM
+    (SELECT *, unnest(regexp_extract_all(html, '(?is)<style\b[^>]*>(.*?)</style>', 1)) AS v FROM cards))) WHERE p <> ''
+  UNION SELECT DISTINCT batch, config, config_ord, slot, 'jsapi:' || w FROM (SELECT *, unnest(regexp_extract_all(v, 'API', 1)) AS w FROM
+    (SELECT *, unnest(regexp_extract_all(html, '(?is)<script\b[^>]*>(.*?)</script>', 1)) AS v FROM cards))""".replace("PROPERTY", _PROPERTY).replace("API", _API), "cards nodes")
 
 
 def _feature_set(cards, nodes):
@@ -84,8 +92,10 @@ def _feature_set(cards, nodes):
     group = lambda column, pattern, prefix: cards.select(*key, F.explode(F.regexp_extract_all(column, F.lit(pattern), F.lit(1))).alias("v"))
     tags = nodes.select(*key, F.concat(F.lit("tag:"), "tag").alias("token"))
     classes = group("html", r'\bclass\s*=\s*"([^"]*)"', "").select(*key, F.explode(F.split("v", r"\s+")).alias("c")).filter("c <> ''").select(*key, F.concat(F.lit("class:"), "c"))
-    styles = group("html", r"(?is)<style\b[^>]*>(.*?)</style>", "").select(*key, F.explode(F.regexp_extract_all("v", F.lit(r"([a-zA-Z-]+)\s*:"), F.lit(1))).alias("p")).select(*key, F.concat(F.lit("css:"), F.lower("p")))
-    api = group("html", r"\b(track|document|window|fetch|console)\b", "").select(*key, F.concat(F.lit("jsapi:"), "v"))
+    declared = group("html", r"(?is)<style\b[^>]*>(.*?)</style>", "").select(*key, F.explode(F.regexp_extract_all("v", F.lit(r"[^{};]*[;}]"), F.lit(0))).alias("d"))
+    styles = declared.select(*key, F.regexp_extract("d", _PROPERTY, 1).alias("p")).filter("p <> ''").select(*key, F.concat(F.lit("css:"), F.lower("p")))
+    scripts = group("html", r"(?is)<script\b[^>]*>(.*?)</script>", "")
+    api = scripts.select(*key, F.explode(F.regexp_extract_all("v", F.lit(_API), F.lit(1))).alias("w")).select(*key, F.concat(F.lit("jsapi:"), "w"))
     return tags.union(classes).union(styles).union(api).distinct()
 
 
@@ -115,6 +125,7 @@ FRAME("pqgram_dice_pairs", lambda s, d, cards, grams: features.dice_pairs(cards,
     AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) GROUP BY a.slot, b.slot) s ON p.slot_a = s.slot_a AND p.slot_b = s.slot_b""", "cards pq_grams")
 
 # sparse vectors of the extended channels
+#: Elements with a meaning of their own.
 _SEMANTIC = "header nav main section article aside footer figure figcaption h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tr td th button label time address mark details summary fieldset legend output progress meter".split()
 _SEM = ", ".join(f"'{x}'" for x in _SEMANTIC)
 VIEW("semantics_wide", f"""SELECT batch, config, config_ord, slot, count(*) AS n, sum(CASE WHEN tag IN ({_SEM}) THEN 1 ELSE 0 END) / count(*) AS sem_ratio,

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from weftline.operators import grouped
 from weftline.plans import aggregates, inference, serving, similarity  # noqa: F401  their views
 from weftline.plans.views import FRAME, VIEW, VIEWS
+from weftline.sources.shared import shared_folder
 from weftline.streaming import votes as streams
 
 # attempts of a position until one reaches the model: five unsent ones end it
@@ -35,12 +33,7 @@ VIEW("requests", "SELECT user_id AS voter, event_id, epoch_us(ts) / 1e6::DOUBLE
 VIEWS["token_bucket"].duck = VIEWS["token_bucket"].duck.replace("requests WHERE", "{requests} WHERE", 1)
 
 
-def _shared_folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return f"{root.rstrip('/')}/weftline-stream-{uuid.uuid4().hex}"
-
-
-FRAME("vote_stream", lambda s, d, events: streams.stream_pairs(s, d, _shared_folder(s)), "SELECT DISTINCT user_id AS voter, event_type, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events", "events")
+FRAME("vote_stream", lambda s, d, events: streams.stream_pairs(s, d, shared_folder(s, "stream")), "SELECT DISTINCT user_id AS voter, event_type, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events", "events")
 
 # dates of several spellings, decimals at display precision, binding of labelled values
 VIEW("date_spellings", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)

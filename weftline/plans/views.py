@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.sources.shared import version, written
+
 #: Function names in Spark and in DuckDB.
 NAMES = {"PCT(": ("percentile(", "quantile_cont("), "SHA(": ("sha2_256(", "sha256("), "XOR(": ("bitwise_xor(", "xor(")}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,21 +50,33 @@ def _spark_text(text: str) -> str:
     return text.replace("PCT(", "percentile(")
 
 
-#: Views that many queries read: kept by Spark (memory, then disk) after the first use in a session.
-SHARED = {"nodes", "pair_scores", "cells", "merged"}
-_shared: dict[tuple[str, str, str], DataFrame] = {}
+#: Views that many queries read: written to the shared folder at their first use in a session, and again when a table
+#: below them has changed. Plans end there, too.
+SHARED = {"pair_scores", "cells", "merged"}
+_shared: dict[tuple, DataFrame] = {}
 
 
 def dataframe(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
     made = {} if made is None else made
-    key = (spark.sparkContext.applicationId, sf_dir, name)
     if name in SHARED and name not in made:
+        key = (spark.sparkContext.applicationId, sf_dir, name, *[version(spark, f"{sf_dir}/{t}.parquet") for t in sorted(_tables(name))])
         if key not in _shared:
-            _shared[key] = _build(spark, sf_dir, name, made).persist()
+            _shared[key] = written(_build(spark, sf_dir, name, made), name)
         made[name] = _shared[key]
     return _build(spark, sf_dir, name, made)
 
 
+def _tables(name: str, seen: set[str] | None = None) -> set[str]:
+    """The tables that a view stands on."""
+    seen = set() if seen is None else seen
+    if name in VIEWS:
+        for x in VIEWS[name].inputs:
+            if x not in seen:
+                seen.add(x)
+                _tables(x, seen)
+    return {x for x in seen | {name} if x in TABLES} | ({"pages", "documents"} if seen & {"cards", "texts"} else set())
+
+
 def _build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame]) -> DataFrame:
     if name not in made:
         if name in TABLES and name not in VIEWS:
