@@ -10,7 +10,7 @@ import pytest
 from weftline.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
-NAMES = "pair_completeness winnow_jaccard_pairs embedding_cosine_pairs palette_top winner_per_config facet_values coverage_gap arena_tallies pref_wilson tiered_lookup holm_adjust slot_fsm token_bucket label_binding".split()
+NAMES = "pair_completeness winnow_jaccard_pairs embedding_cosine_pairs palette_top winner_per_config facet_values coverage_gap arena_tallies pref_wilson x_color_pairs x_naming_pairs c_script_tokens_pairs common_ancestors fact_binding board_rows tiered_lookup holm_adjust slot_fsm token_bucket label_binding".split()
 
 
 def normal(df: pd.DataFrame) -> list[str]:

@@ -15,6 +15,7 @@ LEXER = r"""(?s)"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\d+\.\d+|\.\d+|\d+|\.[A-Za-z
 CHAR_SHINGLE, GRAM, WINDOW = 5, 5, 4
 #: Elements without content.
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
+INNER_TEXT = r"(?is)(<script\b[^>]*>).*?(</script>)|(<style\b[^>]*>).*?(</style>)|<!--.*?-->"
 RAW_TEXT = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
 
@@ -129,8 +130,8 @@ def text_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
 
 
 def tag_tokens(cards: DataFrame) -> DataFrame:
-    """``pos, tag, closing, void`` of each tag of a card in order, without script, style and comments."""
-    bare = F.regexp_replace("html", RAW_TEXT, "")
+    """``pos, tag, closing, void`` of each tag of a card in order; what is in scripts, styles and comments has none."""
+    bare = F.regexp_replace("html", INNER_TEXT, "$1$2$3$4")
     t = cards.select(*KEY, F.posexplode(F.regexp_extract_all(bare, F.lit(r"</?[a-zA-Z][a-zA-Z0-9]*"), F.lit(0))).alias("pos", "raw"))
     tag = F.lower(F.regexp_replace("raw", "^</?", ""))
     return t.select(*KEY, "pos", tag.alias("tag"), F.col("raw").startswith("</").alias("closing"), tag.isin(VOID).alias("void"))

@@ -13,12 +13,18 @@ BT_ROUNDS = 200
 
 
 def strengths(wins: np.ndarray, rounds: int = BT_ROUNDS) -> np.ndarray:
-    """Bradley-Terry by minorization, scaled to a geometric mean of 1; wins[i, j] of i over j, a tie half each."""
-    s, games = np.ones(len(wins)), wins + wins.T
-    own = np.maximum(wins.sum(1), 1e-3)
+    """Bradley-Terry by minorization; wins[i, j] of i over j, a tie half each.
+
+    Strengths are scaled to a geometric mean of 1 over those above 0: who never won has 0 and no part in the mean, who
+    met nobody keeps 1 before scaling.
+    """
+    s, games, own = np.ones(len(wins)), wins + wins.T, wins.sum(1)
     for _ in range(rounds):
-        s = own / np.maximum((games / (s[:, None] + s[None, :])).sum(1), 1e-12)
-        s /= np.exp(np.log(s).mean())
+        pair = s[:, None] + s[None, :]
+        met = np.divide(games, pair, out=np.zeros_like(pair), where=(games > 0) & (pair > 0)).sum(1)
+        s = np.where(met > 0, own / np.where(met > 0, met, 1), s)
+        if (s > 0).any():
+            s = s / np.exp(np.log(s[s > 0]).mean())
     return s
 
 
@@ -43,18 +49,17 @@ def bradley_terry(votes: DataFrame) -> DataFrame:
 
 
 def leaf_order(distance: np.ndarray) -> list[int]:
-    """Average-linkage clustering; the leaves in the order of merging, the earlier cluster first."""
-    groups, d = {i: [i] for i in range(len(distance))}, {(i, j): distance[i, j] for i in range(len(distance)) for j in range(i)}
-    while len(groups) > 1:
-        a, b = min(d, key=lambda k: (d[k], min(k), max(k)))
-        a, b = min(a, b), max(a, b)
-        for c in groups:
-            if c not in (a, b):
-                x, y = d.pop((max(a, c), min(a, c))), d.pop((max(b, c), min(b, c)))
-                d[max(a, c), min(a, c)] = (len(groups[a]) * x + len(groups[b]) * y) / (len(groups[a]) + len(groups[b]))
-        d.pop((b, a))
-        groups[a] = groups[a] + groups.pop(b)
-    return next(iter(groups.values()), [])
+    """Average-linkage clustering; a merged cluster goes behind all others, and of equal distances the first pair wins."""
+    leaves, d = [[i] for i in range(len(distance))], np.array(distance, float)
+    while len(leaves) > 1:
+        upper = np.where(np.triu(np.ones(d.shape, bool), 1), d, np.inf)
+        a, b = divmod(int(upper.argmin()), len(leaves))
+        rest = [k for k in range(len(leaves)) if k not in (a, b)]
+        n, m = len(leaves[a]), len(leaves[b])
+        merged = (n * d[a, rest] + m * d[b, rest]) / (n + m)
+        d = np.block([[d[np.ix_(rest, rest)], merged[:, None]], [merged[None], np.zeros((1, 1))]])
+        leaves = [leaves[k] for k in rest] + [leaves[a] + leaves[b]]
+    return leaves[0] if leaves else []
 
 
 def upgma_order(cells: DataFrame, missing: float = 0.6) -> DataFrame:
@@ -90,18 +95,34 @@ def compression_distance(pairs: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def pooled_permutation(blocks: DataFrame, draws: int = 10_000, seed: int = 20_240_101) -> DataFrame:
-    """``family, t_obs, p``: signs of block differences drawn anew ``draws`` times; p = (hits + 1) / (draws + 1)."""
+    """``family, t_obs, p``: signs of block differences drawn anew ``draws`` times; p = (hits + 1) / (draws + 1).
 
-    def test(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["unit", "block"])
-        d = (rows["run_q"] - rows["run_min"]).to_numpy(float)
-        rng = np.random.Generator(np.random.PCG64(seed))
-        t = np.array([(rng.integers(0, 2, len(d)) * 2 - 1) @ d for _ in range(draws)]) / len(d)
-        p = (int((np.abs(t) >= abs(d.mean()) - 1e-12).sum()) + 1) / (draws + 1)
-        return pd.DataFrame({"family": [rows["family"].iloc[0]], "t_obs": [round(d.mean(), 6)], "p": [round(p, 6)]})
+    A sign is a bit of a hash of seed, draw, unit and block, so that each task adds up its own blocks and only a sum for
+    each family and draw is shuffled.
+    """
+    odd = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
-    families = blocks.withColumn("family", F.col("unit") % 16)
-    return families.groupBy("family").applyInPandas(test, "family long, t_obs double, p double")
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(30))) * odd[1]
+        x = (x ^ (x >> np.uint64(27))) * odd[2]
+        return x ^ (x >> np.uint64(31))
+
+    def sums(frames):
+        for rows in frames:
+            with np.errstate(over="ignore"):
+                each = mixed(rows["unit"].to_numpy(np.uint64) * odd[0] + rows["block"].to_numpy(np.uint64) + np.uint64(seed))
+                for family, at in rows.groupby("family").indices.items():
+                    d, t = rows["d"].to_numpy(float)[at], np.empty(draws)
+                    for i in range(0, draws, 250):
+                        sign = mixed(each[at][None] + mixed(np.arange(i, min(i + 250, draws), dtype=np.uint64) * odd[0])[:, None]) >> np.uint64(63)
+                        t[i : i + 250] = sign.astype(float) @ (2 * d) - d.sum()
+                    yield pd.DataFrame({"family": family, "draw": np.arange(-1, draws), "t": np.append(d.sum(), t), "n": len(d)})
+
+    parts = blocks.select((F.col("unit") % 16).alias("family"), "unit", "block", (F.col("run_q") - F.col("run_min")).alias("d")).filter("d is not null")
+    total = parts.mapInPandas(sums, "family long, draw long, t double, n long").groupBy("family", "draw").agg(F.round(F.sum("t"), 9).alias("t"), F.sum("n").alias("n"))
+    seen = total.filter("draw < 0").select("family", F.col("t").alias("t_obs"), "n")
+    hits = total.filter("draw >= 0").select("family", F.abs("t").alias("t")).join(seen, "family").groupBy("family", "t_obs", "n").agg(F.sum((F.col("t") >= F.abs("t_obs") - 1e-9).cast("int")).alias("hits"))
+    return hits.select("family", F.round(F.col("t_obs") / F.col("n"), 6).alias("t_obs"), F.round((F.col("hits") + 1) / (draws + 1), 6).alias("p"))
 
 
 def assignment(cost: np.ndarray) -> list[int]:
@@ -136,10 +157,15 @@ def assignment(cost: np.ndarray) -> list[int]:
 
 
 def hourly_assignment(points: DataFrame) -> DataFrame:
-    """``unit, point, hour, cost``: each point of a unit to an hour of its own, with the least sum of squares."""
+    """``unit, point, hour, cost``: each point of a unit to an hour of its own, with the least sum of squares.
+
+    A unit of more than 24 points has no such assignment: an error.
+    """
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("point", ignore_index=True).head(24)
+        rows = rows.sort_values("point", ignore_index=True)
+        if len(rows) > 24:
+            raise ValueError(f"unit {rows['unit'].iloc[0]} has {len(rows)} points for 24 hours")
         cost = (rows["value"].to_numpy(float)[:, None] - np.linspace(0, 97, 24)[None]) ** 2
         hour = assignment(cost)
         return pd.DataFrame({"unit": rows["unit"], "point": rows["point"], "hour": hour, "cost": np.round(cost[np.arange(len(hour)), hour], 6)})

@@ -6,13 +6,13 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import aggregates, channels, inference, serving, similarity, stateful, views
+from weftline.plans import aggregates, channels, facts, inference, serving, similarity, stateful, views
 
 
 def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.dataframe(spark, sf_dir, name)
 
 
-_WITH_SQL = [*similarity.QUERIES, *channels.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES, *stateful.QUERIES]
+_WITH_SQL = [*similarity.QUERIES, *channels.QUERIES, *facts.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES, *stateful.QUERIES]
 QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY]}
 ORACLE_SQL = {name: views.oracle(name) for name in _WITH_SQL}

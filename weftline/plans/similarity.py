@@ -33,7 +33,7 @@ _VOID = ", ".join(f"'{x}'" for x in features.VOID)
 FRAME("tags", lambda s, d, cards: features.tag_tokens(cards), f"""SELECT batch, config, config_ord, slot, CAST(pos AS INT) AS pos, tag, closing, tag IN ({_VOID}) AS void FROM
   (SELECT *, lower(regexp_replace(raw, '^</?', '')) AS tag, starts_with(raw, '</') AS closing FROM
     (SELECT batch, config, config_ord, slot, unnest(x) AS raw, unnest(range(0, len(x))) AS pos FROM
-      (SELECT *, regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->', '', 'g'), '</?[a-zA-Z][a-zA-Z0-9]*') AS x FROM cards)))""", "cards")
+      (SELECT *, regexp_extract_all(regexp_replace(html, '(?is)(<script\\b[^>]*>).*?(</script>)|(<style\\b[^>]*>).*?(</style>)|<!--.*?-->', '\\1\\2\\3\\4', 'g'), '</?[a-zA-Z][a-zA-Z0-9]*') AS x FROM cards)))""", "cards")
 FRAME("nodes", lambda s, d, cards: features.dom_nodes(cards), """SELECT n.batch, n.config, n.config_ord, n.slot, n.pos, n.tag, n.depth, n.void,
   (SELECT max(u.pos) FROM levels u WHERE u.slot = n.slot AND u.depth = n.depth - 1 AND u.pos < n.pos AND NOT u.void) AS parent FROM {levels} n""", "cards")
 VIEW("levels", """SELECT * FROM (SELECT *, 1 + coalesce(CAST(sum(CASE WHEN void THEN 0 WHEN closing THEN -1 ELSE 1 END)
