@@ -10,16 +10,28 @@ SCHEMAS = {
     "index": "batches array<struct<id string, date string, event string, created_at string, variants array<string>, n_configs int, manifest_hash string, merged_into string>>",
     "manifest": "prompt_min_sha256 string, prompt_q_sha256 string, snapshot_sha256 string, cities array<struct<city string, date string, lat string, lon string>>, config_ids array<string>, N int, env_digest string, pipeline_commit string",
     "config": "config_id string, family string, model_id string, effort string, protocol string, billing string, served_model string, m struct<min int, q int>, N int",
-    "slot": "slot_index long, state string, telemetry map<string, double>, flags array<string>",
+    "slot": "batch_id string, config_id string, slot_index long, state string, telemetry map<string, double>, flags array<string>",
     "pairs": "batch_id string, variant string, config_a string, config_b string, kind string, channels array<string>, pairs array<struct<slot_a long, slot_b long, s map<string, double>, diagnostics map<string, double>>>",
     "send_log": "batch_id string, config_id string, N int, positions array<struct<variant string, slot_index long, block_index long, terminal_state string, attempts array<struct<attempt_index int, outcome string, reached_model boolean, reason string, backoff_ms long>>>>",
     "snapshot": "locations array<struct<city string, date string, lat string, lon string, canary struct<daily map<string, string>, hourly array<string>>>>",
 }
 
 
-def read_documents(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    """One row for each JSON file with the file's path; a malformed file is an error."""
-    return spark.read.schema(SCHEMAS[kind]).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
+def read_documents(spark: SparkSession, kind: str, path: str, lines: bool = False) -> DataFrame:
+    """One row for each JSON file, or for each line of files with ``lines``, with the file's path; a malformed document is
+    an error."""
+    return spark.read.schema(SCHEMAS[kind]).option("multiLine", not lines).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
+
+
+def readable(index: DataFrame, manifests: DataFrame) -> DataFrame:
+    """The batches of an index that have a manifest; ``manifests`` has ``batch_id``."""
+    return index.join(manifests.select(F.col("batch_id").alias("id")).distinct(), "id", "left_semi")
+
+
+def slot_inventory(slots: DataFrame) -> DataFrame:
+    """``batch_id, config_id, slot_index, digest`` of the valid slots; the digest is of what the slot's document says."""
+    valid = slots.filter("state = 'valid'")
+    return valid.select("batch_id", "config_id", "slot_index", F.sha2(F.concat_ws("|", "batch_id", "config_id", F.col("slot_index").cast("string"), F.array_join("flags", ",")), 256).alias("digest"))
 
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
