@@ -122,11 +122,21 @@ def cosine_pairs(cards: DataFrame, rows: DataFrame, channels: tuple[str, ...] =
 
 
 def text_shingles(texts: DataFrame, k: int = 5) -> DataFrame:
-    """Distinct ``token``: runs of ``k`` words in lower case, words with a digit as #."""
+    """``tokens``: hashes of the distinct runs of ``k`` words in lower case, words with a digit as #."""
     words = F.transform(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda x: F.when(x.rlike(r"\p{Nd}"), "#").otherwise(x))
     t = texts.select("batch", "variant", "config", "slot", words.alias("w")).filter(F.size("w") >= k)
     runs = F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-    return t.select("batch", "variant", "config", "slot", F.explode(F.array_distinct(runs)).alias("token"))
+    return t.select("batch", "variant", "config", "slot", hashed(F.array_distinct(runs)).alias("tokens"))
+
+
+def text_pairs(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """``shared, n_a, n_b, s`` of each two texts of a batch and variant; a text of fewer words has no size."""
+    rows = texts.select("batch", "variant", "slot").join(sets.select("slot", "tokens"), "slot", "left")
+    side = lambda s: rows.select("batch", "variant", F.col("slot").alias(f"slot_{s}"), F.col("tokens").alias(f"tokens_{s}"))
+    both = side("a").hint("merge").join(side("b"), ["batch", "variant"]).filter("slot_a < slot_b")
+    shared, size = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long"), lambda s: F.when(F.col(f"tokens_{s}").isNotNull(), F.size(f"tokens_{s}").cast("long")).alias(f"n_{s}")
+    p = both.select("batch", "variant", "slot_a", "slot_b", F.when(F.col("tokens_a").isNotNull() & F.col("tokens_b").isNotNull(), shared).alias("shared"), size("a"), size("b"))
+    return p.withColumn("s", F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared")))
 
 
 def tag_tokens(cards: DataFrame) -> DataFrame:

@@ -89,18 +89,9 @@ VIEW("voter_maps", """SELECT voter, map_keys(m) AS kinds, aggregate(map_values(m
 FRAME("voter_kinds", lambda s, d, m: m.select("voter", F.array_join("kinds", ",").alias("kinds"), "n"), "SELECT voter, array_to_string(kinds, ',') AS kinds, n FROM voter_maps", "voter_maps")
 
 # words of the same variant and batch: all pairs, also those that share nothing; null where a side has no shingle
-FRAME("d_text_pairs", lambda s, d, texts, tokens: _text_pairs(texts, tokens), """SELECT a.batch, a.variant, a.slot AS slot_a, b.slot AS slot_b, CASE WHEN x.n > 0 AND y.n > 0 THEN coalesce(s.shared, 0) / (x.n + y.n - coalesce(s.shared, 0)) END AS s FROM texts a
-  JOIN texts b ON a.batch = b.batch AND a.variant = b.variant AND a.slot < b.slot LEFT JOIN {text_sizes} x ON a.slot = x.slot LEFT JOIN {text_sizes} y ON b.slot = y.slot
-  LEFT JOIN (SELECT a.slot AS slot_a, b.slot AS slot_b, count(*) AS shared FROM {text_tokens} a JOIN {text_tokens} b ON a.batch = b.batch AND a.variant = b.variant AND a.token = b.token AND a.slot < b.slot GROUP BY a.slot, b.slot) s ON a.slot = s.slot_a AND b.slot = s.slot_b""", "texts text_tokens")
-
-
-def _text_pairs(texts, tokens):
-    sets = tokens.groupBy("slot").agg(F.collect_set(F.xxhash64("token")).alias("t"))
-    rows = texts.select("batch", "variant", "slot").join(sets, "slot", "left")
-    side = lambda s: rows.select("batch", "variant", F.col("slot").alias(f"slot_{s}"), F.col("t").alias(f"t_{s}"))
-    both = side("a").hint("merge").join(side("b"), ["batch", "variant"]).filter("slot_a < slot_b")
-    shared = F.size(F.array_intersect("t_a", "t_b"))
-    return both.select("batch", "variant", "slot_a", "slot_b", F.when(F.col("t_a").isNotNull() & F.col("t_b").isNotNull(), shared / (F.size("t_a") + F.size("t_b") - shared)).alias("s"))
+FRAME("d_text_pairs", lambda s, d, p: p.select("batch", "variant", "slot_a", "slot_b", "s"), """SELECT a.batch, a.variant, a.slot AS slot_a, b.slot AS slot_b, CASE WHEN x.n > 0 AND y.n > 0 THEN coalesce(s.shared, 0) / (x.n + y.n - coalesce(s.shared, 0)) END AS s FROM {texts} a
+  JOIN {texts} b ON a.batch = b.batch AND a.variant = b.variant AND a.slot < b.slot LEFT JOIN {text_sizes} x ON a.slot = x.slot LEFT JOIN {text_sizes} y ON b.slot = y.slot
+  LEFT JOIN (SELECT a.slot AS slot_a, b.slot AS slot_b, count(*) AS shared FROM {text_tokens} a JOIN {text_tokens} b ON a.batch = b.batch AND a.variant = b.variant AND a.token = b.token AND a.slot < b.slot GROUP BY a.slot, b.slot) s ON a.slot = s.slot_a AND b.slot = s.slot_b""", "text_sets")
 
 
 QUERIES = """visible_elements visible_texts common_ancestors fact_hits hour_order fact_binding expected_facts frame_changes telemetry_sums region_class first_representative catalog_page compare_set board_rows double_render

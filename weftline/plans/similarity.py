@@ -166,12 +166,13 @@ VIEW("naming_style", r"""SELECT batch, config, slot, c AS class_token, CASE WHEN
   WHEN regexp_matches(c, '^[a-z0-9]+(-[a-z0-9]+)+$') THEN CASE WHEN regexp_matches(c, '(^|-)([0-9]+|[a-z0-9][a-z0-9]?[a-z0-9]?)(-|$)') THEN 'utility' ELSE 'kebab' END WHEN regexp_matches(c, '^[a-z0-9]+$') THEN 'single' ELSE 'other' END AS style FROM {classes}""")
 
 # texts
-FRAME("text_tokens", lambda s, d, texts: features.text_shingles(texts), r"""SELECT DISTINCT batch, variant, config, slot, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS token FROM
-  (SELECT *, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: CASE WHEN regexp_matches(x, '\p{Nd}') THEN '#' ELSE x END) AS w FROM texts) WHERE len(w) >= 5""", "texts")
+FRAME("text_sets", lambda s, d, texts: features.text_pairs(texts, features.text_shingles(texts)), "SELECT slot FROM texts", "texts")
+VIEW("text_tokens", "", duck=r"""SELECT DISTINCT batch, variant, config, slot, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS token FROM
+  (SELECT *, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: CASE WHEN regexp_matches(x, '\p{Nd}') THEN '#' ELSE x END) AS w FROM {texts}) WHERE len(w) >= 5""")
 VIEW("text_sizes", "SELECT slot, count(*) AS n FROM {text_tokens} GROUP BY slot")
-VIEW("text_shingle_pairs", """SELECT s.batch, s.variant, s.slot_a, s.slot_b, s.shared, a.n AS n_a, b.n AS n_b, s.shared / (a.n + b.n - s.shared) AS s FROM
+FRAME("text_shingle_pairs", lambda s, d, p: p.filter("shared > 0"), """SELECT s.batch, s.variant, s.slot_a, s.slot_b, s.shared, a.n AS n_a, b.n AS n_b, s.shared / (a.n + b.n - s.shared) AS s FROM
   (SELECT a.batch, a.variant, a.slot AS slot_a, b.slot AS slot_b, count(*) AS shared FROM {text_tokens} a JOIN {text_tokens} b ON a.batch = b.batch AND a.variant = b.variant AND a.token = b.token AND a.slot < b.slot
-   GROUP BY a.batch, a.variant, a.slot, b.slot) s JOIN {text_sizes} a ON s.slot_a = a.slot JOIN {text_sizes} b ON s.slot_b = b.slot""")
+   GROUP BY a.batch, a.variant, a.slot, b.slot) s JOIN {text_sizes} a ON s.slot_a = a.slot JOIN {text_sizes} b ON s.slot_b = b.slot""", "text_sets")
 
 # dense vectors
 VIEW("vectors", "SELECT vec_id, label, embedding FROM {embeddings}")
