@@ -1,5 +1,6 @@
 """Channels and grouped operators against values made by hand or by brute force."""
 
+import hashlib
 import itertools
 import json
 import time
@@ -85,3 +86,15 @@ def test_registry():
     assert len(aggregates.REGISTRY) == 22 and set(aggregates.CHANNELS) <= set(aggregates.REGISTRY)
     assert set(aggregates.SETS) | set(aggregates.VECTORS) | {"d-pqgram", "d-geom"} == set(aggregates.CHANNELS)
     assert json.dumps(channels.JS_WORDS)
+
+
+def test_assignments_follow_their_rule(spark):
+    rows = [("ab" * 32, i, f"config {i}", 4) for i in range(5)] + [("ab" * 32, 5, "u\u0308", 3), ("ab" * 32, 6, "\u00fc", 3)]
+    got = {r.config_ord: r for r in grouped.assignment_table(spark.createDataFrame(rows, "manifest_hash string, config_ord int, config_id string, n int")).collect()}
+    for r in got.values():
+        n = 3 if r.config_ord > 4 else 4
+        allowed = [x for x in range(2**n) if abs(bin(x).count("1") * 2 - n) <= 1]
+        assert (r.omega_size, r.omega_value) == (len(allowed), allowed[r["rank"]]) and int(r.bits, 2) == r.omega_value and len(r.bits) == n
+    assert got[5].seed_assign == got[6].seed_assign and len({r.seed_assign for r in got.values()}) == 6
+    digest = hashlib.sha256(b"assign\0" + b"\xab" * 32 + b"\0config 0\0\x04").digest()
+    assert got[0].seed_assign == str(sum(b << 8 * i for i, b in enumerate(digest[:8])))

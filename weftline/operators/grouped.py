@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import lzma
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -125,6 +127,33 @@ def pooled_permutation(blocks: DataFrame, draws: int = 10_000, seed: int = 20_24
     return hits.select("family", F.round(F.col("t_obs") / F.col("n"), 6).alias("t_obs"), F.round((F.col("hits") + 1) / (draws + 1), 6).alias("p"))
 
 
+def balanced(n: int) -> list[int]:
+    """The bit strings of ``n`` blocks, ascending, in which both orders are as frequent or differ by one."""
+    if not 0 < n <= 20:
+        raise ValueError("1 to 20 blocks")
+    return [x for x in range(1 << n) if abs(n - 2 * x.bit_count()) <= 1]
+
+
+def assignment_table(configs: DataFrame) -> DataFrame:
+    """``config_ord, config_id, seed_assign, omega_size, rank, omega_value, bits`` of ``manifest_hash, config_ord, config_id, n``.
+
+    The seed is the first eight bytes, little-endian, of SHA-256 over the separated fields; each configuration draws one
+    rank from a PCG64 stream of its own. bits has the leading bit of the value first.
+    """
+
+    def draw(frames):
+        for rows in frames:
+            out = []
+            for r in rows.itertuples(index=False):
+                payload = b"\0".join((b"assign", bytes.fromhex(r.manifest_hash), unicodedata.normalize("NFC", r.config_id).encode(), bytes([r.n])))
+                seed, omega = int.from_bytes(hashlib.sha256(payload).digest()[:8], "little"), balanced(r.n)
+                rank = int(np.random.Generator(np.random.PCG64(seed)).integers(0, len(omega)))
+                out.append((r.manifest_hash, r.config_ord, r.config_id, str(seed), len(omega), rank, omega[rank], f"{omega[rank]:0{r.n}b}"))
+            yield pd.DataFrame(out, columns=["manifest_hash", "config_ord", "config_id", "seed_assign", "omega_size", "rank", "omega_value", "bits"])
+
+    return configs.select("manifest_hash", "config_ord", "config_id", "n").mapInPandas(draw, "manifest_hash string, config_ord int, config_id string, seed_assign string, omega_size int, rank int, omega_value int, bits string")
+
+
 def assignment(cost: np.ndarray) -> list[int]:
     """The column of each row in a least-cost assignment (shortest augmenting paths); rows at most columns."""
     n, m = cost.shape

@@ -88,6 +88,12 @@ VIEW("voter_maps", """SELECT voter, map_keys(m) AS kinds, aggregate(map_values(m
   "SELECT user_id AS voter, list_sort(list(DISTINCT event_type)) AS kinds, count(*) AS n FROM {events} GROUP BY user_id")
 FRAME("voter_kinds", lambda s, d, m: m.select("voter", F.array_join("kinds", ",").alias("kinds"), "n"), "SELECT voter, array_to_string(kinds, ',') AS kinds, n FROM voter_maps", "voter_maps")
 
+VIEW("share_reveal", "SELECT conv_id, count(*) AS n, array_join(transform(array_sort(collect_list(struct(turn, role))), x -> x.role), ',') AS reveal FROM {conversations} GROUP BY conv_id",
+  "SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn, role) AS reveal FROM {conversations} GROUP BY conv_id")
+VIEW("valid_items", "SELECT event_id, CAST(get_json_object(props, '$.k') AS INT) AS k, event_type FROM {events} WHERE get_json_object(props, '$.k') IS NOT NULL AND event_type <> 'error' AND value > 0",
+  "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_type FROM {events} WHERE json_extract_string(props, '$.k') IS NOT NULL AND event_type <> 'error' AND value > 0")
+VIEW("request_fields", "SELECT o_orderkey, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'reasoning_effort=high' WHEN '2' THEN 'reasoning_effort=medium' WHEN '3' THEN 'reasoning_effort=low' WHEN '4' THEN 'thinking.budget_tokens=4096' ELSE 'none' END AS field FROM {orders}")
+
 # words of the same variant and batch: all pairs, also those that share nothing; null where a side has no shingle
 FRAME("d_text_pairs", lambda s, d, p: p.select("batch", "variant", "slot_a", "slot_b", "s"), """SELECT a.batch, a.variant, a.slot AS slot_a, b.slot AS slot_b, CASE WHEN x.n > 0 AND y.n > 0 THEN coalesce(s.shared, 0) / (x.n + y.n - coalesce(s.shared, 0)) END AS s FROM {texts} a
   JOIN {texts} b ON a.batch = b.batch AND a.variant = b.variant AND a.slot < b.slot LEFT JOIN {text_sizes} x ON a.slot = x.slot LEFT JOIN {text_sizes} y ON b.slot = y.slot
@@ -95,4 +101,4 @@ FRAME("d_text_pairs", lambda s, d, p: p.select("batch", "variant", "slot_a", "sl
 
 
 QUERIES = """visible_elements visible_texts common_ancestors fact_hits hour_order fact_binding expected_facts frame_changes telemetry_sums region_class first_representative catalog_page compare_set board_rows double_render
- env_digest five_minute_stats boot_reconcile voter_kinds d_text_pairs""".split()
+ env_digest five_minute_stats share_reveal valid_items request_fields boot_reconcile voter_kinds d_text_pairs""".split()

@@ -54,6 +54,7 @@ FRAME("bradley_terry", lambda s, d, accepted: grouped.bradley_terry(accepted), "
 FRAME("upgma_order", lambda s, d, cells: grouped.upgma_order(cells), "", "cells")
 FRAME("ncd_pairs", lambda s, d, pairs, cards: grouped.compression_distance(pairs, cards), "", "slot_pairs cards")
 FRAME("pooled_permutation", lambda s, d, blocks: grouped.pooled_permutation(blocks), "", "block_groups")
+FRAME("assignment_table", lambda s, d, cards: grouped.assignment_table(cards.select(F.sha2(F.col("batch").cast("string"), 256).alias("manifest_hash"), "config_ord", F.col("config").alias("config_id"), F.lit(5).alias("n")).distinct()), "", "cards")
 FRAME("hourly_assignment", lambda s, d, blocks: grouped.hourly_assignment(blocks.select("unit", F.col("block").cast("long").alias("point"), F.col("run_min").alias("value"))), "", "block_groups")
 FRAME("visual_signatures", lambda s, d, e: grouped.visual_signatures(e.select("vec_id", "embedding")), "", "embeddings")
 FRAME("ssim_pairs", lambda s, d, e: grouped.structural_similarity(_vector_pairs(e)), "", "embeddings")
@@ -66,4 +67,4 @@ def _vector_pairs(e):
 
 
 QUERIES = "slot_fsm stream_folds sessions token_bucket vote_stream judge_date value_state field_states label_binding text_base terminal_states".split()
-ROWS_ONLY = "bradley_terry upgma_order ncd_pairs pooled_permutation hourly_assignment visual_signatures ssim_pairs".split()
+ROWS_ONLY = "assignment_table bradley_terry upgma_order ncd_pairs pooled_permutation hourly_assignment visual_signatures ssim_pairs".split()
