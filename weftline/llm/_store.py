@@ -38,6 +38,11 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def on_driver(df: DataFrame):
+    """A result of bounded size as a pandas table, by way of Arrow: rows as Python objects take ten times as much."""
+    return df.toArrow().to_pandas()
+
+
 def filesystem(path: str):
     """(pyarrow filesystem, path inside it) for a URI or a plain path; used inside tasks."""
     from pyarrow import fs

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm._store import keep
+from weftline.llm._store import keep, on_driver
 from weftline.llm._words import hash_words, inside, owner, slices, split_words, window_hashes
 
 #: Shortest tile in tokens, and the share of an item's tokens that tiles must cover.
@@ -114,7 +114,7 @@ def candidate_pairs(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE,
     widths = sorted(r.width for r in of_items.select("width").distinct().collect())  # 1 to ``least``
     known = None
     if of_items.count() <= most_sent:
-        known = spark.sparkContext.broadcast(np.unique(of_items.select("seed").toPandas()["seed"].to_numpy(np.int64)))
+        known = spark.sparkContext.broadcast(np.unique(on_driver(of_items.select("seed"))["seed"].to_numpy(np.int64)))
         of_items = F.broadcast(of_items)
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

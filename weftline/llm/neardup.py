@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm._store import keep
+from weftline.llm._store import keep, on_driver
 from weftline.llm._words import inside, mix, owner, slices, window_hashes, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -75,7 +75,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(total[at], rows))], ["bucket", "n"])
 
-    got = docs.select("text").distinct().mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    got = on_driver(docs.select("text").distinct().mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
     df, at = np.zeros(1 << DF_BITS, np.int64), got["bucket"].to_numpy()
     df[at[at >= 0]] = got["n"][at >= 0]
     return df, int(got["n"][at < 0].sum())
