@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import json
+import lzma
 import time
 
 import numpy as np
@@ -98,3 +99,19 @@ def test_assignments_follow_their_rule(spark):
     assert got[5].seed_assign == got[6].seed_assign and len({r.seed_assign for r in got.values()}) == 6
     digest = hashlib.sha256(b"assign\0" + b"\xab" * 32 + b"\0config 0\0\x04").digest()
     assert got[0].seed_assign == str(sum(b << 8 * i for i, b in enumerate(digest[:8])))
+
+
+def test_compression_distance(spark):
+    texts = {0: "abc " * 200, 1: "abc " * 190 + "xyz", 2: "".join(chr(97 + i * i % 23) for i in range(900)), 3: None, 4: ""}
+    cards = spark.createDataFrame(list(texts.items()), "slot long, html string")
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts if a < b], "slot_a long, slot_b long")
+    got = {(r.slot_a, r.slot_b): r.s for r in grouped.compression_distance(pairs, cards).collect()}
+    size = lambda x: len(lzma.compress(x.encode(), preset=6))
+    for (a, b), s in got.items():
+        x, y = texts[a], texts[b]
+        if not x or not y:
+            assert s is None
+        else:
+            d = sum((size(p) - min(size(x), size(y))) / max(size(x), size(y)) for p in (x + y, y + x)) / 2
+            assert s == pytest.approx(1 - min(max(d, 0), 1), abs=1e-6)
+    assert len(got) == 10 and got[0, 1] > got[0, 2]

@@ -83,17 +83,24 @@ def compression_distance(pairs: DataFrame, cards: DataFrame) -> DataFrame:
     """``slot_a, slot_b, s``: one less the normalized compression distance, the mean of both orders."""
     size = lambda x: len(lzma.compress(x.encode(), preset=6))
 
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    def alone(a: pd.Series) -> pd.Series:
+        return a.map(lambda x: size(unicodedata.normalize("NFC", x)) if x else None).astype("Int64")
+
+    def similarity(a: pd.Series, b: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(a, b, strict=True):
-            cx, cy = size(x), size(y)
+        for x, y, cx, cy in zip(a, b, n, m, strict=True):
+            if not x or not y:
+                out.append(None)
+                continue
+            x, y = unicodedata.normalize("NFC", x), unicodedata.normalize("NFC", y)
             d = np.mean([(size(p + q) - min(cx, cy)) / max(cx, cy) for p, q in ((x, y), (y, x))])
-            out.append(None if not x or not y else round(1 - float(min(max(d, 0.0), 1.0)), 6))
+            out.append(round(1 - float(min(max(d, 0.0), 1.0)), 6))
         return pd.Series(out, dtype="float64")
 
-    text = cards.select("slot", "html")
-    joined = pairs.join(text.withColumnsRenamed({"slot": "slot_a", "html": "a"}), "slot_a").join(text.withColumnsRenamed({"slot": "slot_b", "html": "b"}), "slot_b")
-    return joined.select("slot_a", "slot_b", F.pandas_udf(similarity, "double")("a", "b").alias("s"))
+    text = cards.select("slot", "html", F.pandas_udf(alone, "long")("html").alias("n"))  # each text alone once
+    side = lambda s: text.select(F.col("slot").alias(f"slot_{s}"), F.col("html").alias(s), F.col("n").alias(f"n_{s}"))
+    joined = pairs.join(side("a"), "slot_a").join(side("b"), "slot_b")
+    return joined.select("slot_a", "slot_b", F.pandas_udf(similarity, "double")("a", "b", "n_a", "n_b").alias("s"))
 
 
 def pooled_permutation(blocks: DataFrame, draws: int = 10_000, seed: int = 20_240_101) -> DataFrame:
