@@ -76,9 +76,10 @@ def text_bytes(text) -> tuple[np.ndarray, np.ndarray]:
     return flat, bounds - bounds[0]
 
 
-def word_spans(flat: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(offsets, start, end)``: text i has the words offsets[i] to offsets[i + 1], each from start to end."""
-    solid = ~_SPACE[flat]
+def word_spans(flat: np.ndarray, bounds: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(offsets, start, end)``: text i has the words offsets[i] to offsets[i + 1], each from start to end; ``space`` says
+    which of the 256 bytes part them."""
+    solid = ~space[flat]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, langid, licenses, lmscore, neardup, packing, quality, records, sharding, substring
+from weftline.llm import decontam, langid, licenses, lmscore, mixing, neardup, packing, quality, records, resampling, sharding, sql, substring, tries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,11 +58,30 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(found, 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native: DataFrame functions only."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it reads this subpackage
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bestfit_packing, op6_substring_dedup, op7_language_id, op8_binary_records, op9_sharding, op10_lm_scoring, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_dedup, op2_decontamination, op3_license_scan, op4_quality_rules, op5_bestfit_packing, op6_substring_dedup, op7_language_id, op8_binary_records, op9_sharding, op10_lm_scoring,
+        op11_importance_resampling, op12_prefix_trie, op13_source_mixing, pipeline,
+    )
+}
+ORACLE_SQL: dict[str, str] = {"op11_importance_resampling": sql.OP11, "op12_prefix_trie": sql.OP12}
