@@ -25,7 +25,7 @@ from weftline.llm._store import keep
 #: Of each FAMILY conversations, c - c % FAMILY (floored) lends its beginning to the others: up to MOST_HEAD - 1 turns.
 FAMILY, MOST_HEAD = 5, 9
 #: Turns below a node from which on it is merged above; at most UPPER_WIDTH nodes of a level are.
-LIGHT, UPPER_WIDTH = 20_000, 65_536
+LIGHT, UPPER_WIDTH = 2_000, 65_536
 #: Shared nodes aimed at in one shard, and shards at least.
 SHARD_NODES, LEAST_SHARDS = 50_000, 256
 #: Bytes of joined ids that one row of a long list has.
