@@ -11,7 +11,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, langid, licenses, lmscore, neardup, quality, substring
+from weftline.llm import decontam, langid, licenses, lmscore, neardup, packing, quality, substring
+from weftline.llm._blocks import in_blocks
+from weftline.llm._store import keep
 from weftline.llm._words import hash_words, inside, split_words, window_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,8 +49,9 @@ def test_substring_dedup_equals_brute_force(spark, docs, block_bytes, most):
     line = " ".join(f"line{k}" for k in range(14))  # a common line in different company
     rows += [(1000 + i, f"a{i} b{i} c{i} d{i} e{i} {line} f{i % 4} g{i} h{i} i{i} j{i}") for i in range(40)]
     data = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = {(r.doc_id, r.text): r.key for r in data.select("doc_id", "text", substring.row_key().alias("key")).collect()}
     seen, want = set(), collections.Counter()
-    for i, text in sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or "")):
+    for i, text in sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], keys[r])):
         w = WORD.findall(text or "")
         gone = [False] * len(w)
         for k in range(len(w) - 19):
@@ -230,6 +233,27 @@ def test_decontamination(spark, docs, empty, most_sent, monkeypatch):
     assert decontam.contaminated(empty, items).count() == 0 and decontam.remove_contaminated(docs, items.limit(0)).count() == docs.count()
 
 
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark):
+    item, rows = " ".join(f"w{i}" for i in range(30)), []
+    for i in (6, None):
+        rows += [(i, "clean words of its own", 1), (i, f"before {item} after", 2), (i, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int")
+    left = decontam.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert collections.Counter(map(tuple, left.collect())) == collections.Counter(r for r in rows if r[2] != 2)
+
+
+def test_rows_without_ids_are_dealt_and_drawn_by_their_texts(spark):
+    texts = [f"line {k} of words\nand more {k * k}" for k in range(3000)]
+    rows = spark.createDataFrame([(None if k % 2 else 5, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    assert 350 <= len(licenses.corpus_paragraphs(rows, 400)) <= 400
+    assert 350 <= len(langid.training_sample(rows, 400)) <= 450
+    blocks = [r["count"] for r in in_blocks(rows, 16).groupBy("block").count().collect()]
+    assert len(blocks) == 16 and max(blocks) < 2 * 3000 / 16
+    same = spark.createDataFrame([(None, "one text")] * 20_000, "doc_id long, text string").withColumn("piece", F.lit(0)).withColumn("length", F.lit(2).cast("long"))
+    groups = [r["count"] for r in packing.place(keep(same, "same"), group_pieces=4000).groupBy(F.shiftright("sequence_id", 32)).count().collect()]
+    assert len(groups) == 5 and max(groups) < 4400
+
+
 def test_base_counts():
     text = "a b c\na b c\nd # e\n\n  \nd # e a b c"
     found = quality.base_counts(pa.array([text, None, "", "x " * 10])).to_dict("list")

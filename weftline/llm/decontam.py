@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm._store import keep, on_driver
@@ -17,6 +17,7 @@ from weftline.llm._words import hash_words, inside, owner, slices, split_words,
 #: Shortest tile in tokens, and the share of an item's tokens that tiles must cover.
 LEAST_TILE, COVERAGE = 5, 0.6
 #: Distinct seeds of a benchmark up to which they are sent to all tasks (8 bytes each); beyond, seeds are joined.
+NO_ID = -(1 << 63)
 MOST_SENT = 1_000_000
 _OTHER = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -93,7 +94,7 @@ def _item_tokens(text: str) -> np.ndarray:
 
 
 def candidate_pairs(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE, most_sent: int = MOST_SENT) -> DataFrame:
-    """``doc_id, item_id`` that share enough seeds to reach ``coverage``.
+    """``doc_id, key, item_id`` that share enough seeds to reach ``coverage``; ``docs`` has ``doc_id, key, text``.
 
     A tile of L tokens has at least L / least seeds in it, so an item with fewer places whose seed the document has
     than coverage x tokens / least can't do. The seed of an item of fewer than ``least`` tokens is all of it.
@@ -128,24 +129,25 @@ def candidate_pairs(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE,
                     at[at == len(known.value)] = 0
                     hit = known.value[at] == h if len(known.value) else np.zeros(len(h), bool)
                     rows, h = rows[hit], h[hit]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), pa.array(h)], ["doc_id", "seed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows)), batch.column("key").take(pa.array(rows)), pa.array(h)], ["doc_id", "key", "seed"])
 
-    of_docs = docs.select("doc_id", "text").mapInArrow(doc_seeds, "doc_id long, seed long").distinct()
-    shared = of_docs.join(of_items, "seed").groupBy("doc_id", "item_id", "n").agg(F.sum("places").alias("shared"))
-    return shared.filter(F.col("shared") * F.least(F.lit(least), "n") >= F.col("n") * coverage).select("doc_id", "item_id")
+    of_docs = docs.select("doc_id", "key", "text").mapInArrow(doc_seeds, "doc_id long, key long, seed long").distinct()
+    shared = of_docs.join(of_items, "seed").groupBy("doc_id", "key", "item_id", "n").agg(F.sum("places").alias("shared"))
+    return shared.filter(F.col("shared") * F.least(F.lit(least), "n") >= F.col("n") * coverage).select("doc_id", "key", "item_id")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
-    """``doc_id, item_id, n_tokens, n_covered, n_tiles, coverage`` of the pairs in which tiles cover enough of the item.
+def _row(docs: DataFrame) -> list[Column]:
+    """What tells a row's text from others: its id, and a hash for rows that share one."""
+    return [F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(docs["text"]).alias("key")]
 
-    Reordered passages are several tiles and count alike. Null texts have no tokens; items without tokens are
-    never found, and those of fewer than ``least`` only as a whole; of rows that share a doc_id any may match; repeated items are one.
-    """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text").filter("text is not null")
+
+def found_rows(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
+    """``doc_id, key, item_id, n_tokens, n_covered, n_tiles, coverage`` of texts and the items that tiles cover enough of."""
+    rows = docs.select(*_row(docs), "text").filter("text is not null").dropDuplicates(["doc_id", "key"])
     items = items.select(F.col("item_id").cast("long"), "text").filter("text is not null").distinct()
     pairs = candidate_pairs(rows, items, least, coverage)
-    texts = pairs.join(rows, "doc_id").join(items.withColumnRenamed("text", "item"), "item_id")
-    schema = "doc_id long, item_id long, n_tokens long, n_covered long, n_tiles long"
+    texts = pairs.join(rows, ["doc_id", "key"]).join(items.withColumnRenamed("text", "item"), "item_id")
+    schema = "doc_id long, key long, item_id long, n_tokens long, n_covered long, n_tiles long"
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2 << 20):
@@ -158,12 +160,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, cov
                 n.append(len(want))
                 covered.append(sum(x[2] for x in got))
                 count.append(len(got))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("item_id"), pa.array(n, pa.int64()), pa.array(covered, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "item_id", "n_tokens", "n_covered", "n_tiles"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), batch.column("item_id"), pa.array(n, pa.int64()), pa.array(covered, pa.int64()), pa.array(count, pa.int64())], ["doc_id", "key", "item_id", "n_tokens", "n_covered", "n_tiles"])
+
+    found = texts.select("doc_id", "key", "item_id", "text", "item").mapInArrow(tile, schema)
+    return found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).filter(F.col("coverage") >= coverage)
+
 
-    found = texts.select("doc_id", "item_id", "text", "item").mapInArrow(tile, schema)
-    found = found.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).filter(F.col("coverage") >= coverage)
+def contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
+    """``doc_id, item_id, n_tokens, n_covered, n_tiles, coverage`` of the pairs in which tiles cover enough of the item.
+
+    Reordered passages are several tiles and count alike. Null texts have no tokens; items without tokens are
+    never found, and those of fewer than ``least`` only as a whole; of rows that share a doc_id any may match; repeated items are one.
+    """
+    found = found_rows(docs, items, least, coverage)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_covered", "n_tokens", "n_tiles", "coverage")).alias("x"))
-    return best.select(F.nullif("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "item_id", "x.n_tokens", "x.n_covered", "x.n_tiles", "x.coverage")
+    return best.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "item_id", "x.n_tokens", "x.n_covered", "x.n_tiles", "x.coverage")
 
 
 def _around(item: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
@@ -182,6 +193,11 @@ def _around(item: np.ndarray, text: np.ndarray, least: int) -> np.ndarray:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, least: int = LEAST_TILE, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, in all their columns, in which no item was found."""
-    found = contaminated(docs, items, least, coverage).select(F.col("doc_id").alias("found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["found"]), "left_anti")
+    """The rows of ``docs``, in all their columns, in whose own text no item was found.
+
+    Of rows that share a doc_id, null among them, each goes or stays by its text; repeated rows do so together; rows
+    with a null text stay.
+    """
+    found = found_rows(docs, items, least, coverage).select(F.col("doc_id").alias("found_id"), F.col("key").alias("found_key")).distinct()
+    doc_id, key = _row(docs)
+    return docs.join(found, (doc_id == F.col("found_id")) & (key == F.col("found_key")) & docs["text"].isNotNull(), "left_anti")

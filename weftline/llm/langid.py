@@ -21,6 +21,8 @@ WINDOW = 256
 WIDTHS, FILTERS, DEPTH = (2, 3, 4), 16, 8
 #: Labelled documents that training takes of each language at about most, and windows of each.
 TRAIN_DOCS, TRAIN_WINDOWS = 1500, 3
+#: Documents that the driver trains on at most, whatever the number of languages.
+MOST_TRAIN = 60_000
 _LETTER = regex.compile(r"\p{L}")
 #: Languages up to which their counts are sent to all tasks.
 MOST_LANGS = 10_000
@@ -117,13 +119,14 @@ def byte_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_sample(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS) -> list[tuple[str, str]]:
-    """``(text part, lang)`` from about ``docs_per_lang`` documents of each language, drawn by a hash of doc_id."""
+    """``(text part, lang)`` from about ``docs_per_lang`` documents of each language, drawn by a hash of id and text; of
+    MOST_TRAIN documents at most."""
     counts = keep(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
     counts = F.broadcast(counts) if counts.count() <= MOST_LANGS else counts
-    u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    at = (F.pmod(F.xxhash64("doc_id", F.lit("place")), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.greatest(F.length("text") - WINDOW * TRAIN_WINDOWS, F.lit(0))).cast("int")
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit("langid")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    at = (F.pmod(F.xxhash64("doc_id", "text", F.lit("place")), F.lit(1 << 20)) / F.lit(float(1 << 20)) * F.greatest(F.length("text") - WINDOW * TRAIN_WINDOWS, F.lit(0))).cast("int")
     parts = labelled.select("lang", u.alias("u"), F.col("text").substr(at + 1, F.lit(WINDOW * TRAIN_WINDOWS)).alias("part"))
-    rows = parts.join(counts, "lang").filter(F.col("u") * F.col("n") < docs_per_lang).select("part", "lang").collect()
+    rows = parts.join(counts, "lang").filter(F.col("u") * F.col("n") < docs_per_lang).orderBy("u", "part").limit(MOST_TRAIN).select("part", "lang").collect()
     return sorted((r.part, r.lang) for r in rows)
 
 

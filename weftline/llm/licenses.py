@@ -166,12 +166,13 @@ def fit(corpus: list[str], seed: int = 5, epochs: int = 12) -> Classifier:
 
 
 def corpus_paragraphs(docs: DataFrame, most: int = CORPUS_SAMPLE) -> list[str]:
-    """One line of each of about ``most`` documents at most, both drawn by a hash."""
+    """One line of each of ``most`` documents at most, both drawn by a hash of id and text."""
     n = max(docs.count(), 1)
-    u = F.pmod(F.xxhash64("doc_id", F.lit("licence")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.pmod(F.xxhash64("doc_id", "text", F.lit("licence")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     lines = F.split("text", "\n")
-    line = F.get(lines, F.pmod(F.xxhash64("doc_id", F.lit("line")), F.size(lines)).cast("int"))
-    rows = docs.filter("text is not null").filter(u < most / n).select(F.substring(line, 1, 2000).alias("line")).collect()
+    line = F.substring(F.get(lines, F.pmod(F.xxhash64("doc_id", "text", F.lit("line")), F.size(lines)).cast("int")), 1, 2000)
+    drawn = docs.filter("text is not null").filter(u < 1.2 * most / n).select(u.alias("u"), line.alias("line"))
+    rows = drawn.orderBy("u", "line").limit(most).collect()
     return sorted(r.line for r in rows if r.line and r.line.strip())
 
 

@@ -80,11 +80,12 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 def place(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``sequence_id, offset`` for a stored table of (``doc_id``, ``piece``, ``length``, ...).
 
-    Pieces are dealt by a hash into groups of about ``group_pieces``, each packed by one task, longest first: that
+    Pieces are dealt by a hash of id and row into groups of about ``group_pieces``, each packed by one task, longest first: that
     order leaves the short pieces to fill the gaps. The bins that a group leaves open waste under one in a thousand.
     """
     n_groups = max(1, round(pieces.count() / group_pieces))
-    keyed = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.lit("pack")), F.lit(n_groups)).cast("long"))
+    row = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())  # of a stored table, so that it stays the same
+    keyed = pieces.withColumn("group", F.pmod(row, F.lit(n_groups)).cast("long"))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id long, offset long"
     columns = pieces.columns
 
@@ -97,7 +98,10 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 1, with_ids: bool = True) -> DataFrame:
-    """Every piece of every document with its ``sequence_id`` and ``offset``; ``ids`` too unless ``with_ids`` is false."""
+    """Every piece of every document with its ``sequence_id`` and ``offset``; ``ids`` too unless ``with_ids`` is false.
+
+    Repeated rows, and rows without an id, are documents of their own. Columns but ``doc_id`` and ``text`` are left out.
+    """
     pieces = cut_pieces(docs, capacity, tokenizer, end_id).withColumn("ids_crc32", F.crc32("ids"))
     return place(keep(pieces if with_ids else pieces.drop("ids"), "pieces"), capacity)
 

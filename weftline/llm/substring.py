@@ -21,11 +21,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from weftline.llm._blocks import BLOCK_BYTES, block_count, in_blocks
+from weftline.llm._blocks import BLOCK_BYTES, block_count, in_blocks, row_key
 from weftline.llm._words import first_places, gather, inside, owner, span_hashes, text_bytes, window_hashes, word_spans
 
 WIDTH = 20
@@ -58,19 +58,15 @@ def _joined(left: np.ndarray, right: np.ndarray, gap: int) -> np.ndarray:
 
 
 class _Block:
-    """The texts of one block in ascending order (doc_id, text); windows of copies of earlier documents are known."""
+    """The texts of one block in ascending order (doc_id, key); windows of copies of earlier documents are known."""
 
     def __init__(self, table: pa.Table, notes: pa.Table, width: int):
-        ids = pc.fill_null(table.column("doc_id"), NO_ID).to_numpy()
-        order = np.argsort(ids, kind="stable")
-        same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-        if len(same):
-            texts = table.column("text").to_pylist()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], texts[i] or "")), np.int64)
-        self.order, self.ids = order, ids[order]
+        ids, keys = pc.fill_null(table.column("doc_id"), NO_ID).to_numpy(), table.column("key").to_numpy()
+        order = np.lexsort((keys, ids))
+        self.order, self.ids, self.keys = order, ids[order], keys[order]
         self.text = table.column("text").combine_chunks().take(pa.array(order))
         kinds, values = notes.column("kind").to_numpy(), notes.column("value").to_numpy()
-        self.copy = np.isin(table.column("key").to_numpy()[order], values[kinds == COPY]) & self.text.is_valid().to_numpy(zero_copy_only=False)
+        self.copy = np.isin(self.keys, values[kinds == COPY]) & self.text.is_valid().to_numpy(zero_copy_only=False)
         self.values = np.unique(values[kinds == VALUE])
         self.width = width
         self.flat, bounds = text_bytes(self.text)
@@ -125,13 +121,9 @@ def _parts(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
 
 
-def _row_key() -> Column:
-    return F.xxhash64(F.coalesce("doc_id", F.lit(NO_ID)), "text")
-
-
 def find_copies(docs: DataFrame) -> DataFrame:
     """``doc_id, key`` of the rows whose whole text a smaller doc_id has too."""
-    ids = docs.filter("text is not null").select("doc_id", _row_key().alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("h3"))
+    ids = docs.filter("text is not null").select("doc_id", row_key().alias("key"), F.coalesce("doc_id", F.lit(NO_ID)).alias("at"), F.xxhash64("text").alias("h1"), F.hash("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("h3"))
     first = ids.groupBy("h1", "h2", "h3").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first < last").drop("last")
     return ids.join(first, ["h1", "h2", "h3"]).filter("at > first").select("doc_id", "key")
 
@@ -140,9 +132,9 @@ def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WI
     """Apply ``out(block, removed, table)`` to each block of ``docs``, where ``removed`` tells which words go."""
     n_blocks = block_count(docs, block_bytes)
     n_parts = max(32, 2 * n_blocks)
-    blocks = in_blocks(docs.withColumn("key", _row_key()), n_blocks).repartition(n_blocks, "block")
+    blocks = in_blocks(docs.withColumn("key", row_key()), n_blocks, "key").repartition(n_blocks, "block")
     notes = "block int, kind int, value long"
-    copies = in_blocks(find_copies(docs), n_blocks).select("block", F.lit(COPY).alias("kind"), F.col("key").alias("value"))
+    copies = in_blocks(find_copies(docs), n_blocks, "key").select("block", F.lit(COPY).alias("kind"), F.col("key").alias("value"))
     join = lambda right, f, to: blocks.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(f, to)
 
     def send_anchors(table: pa.Table, right: pa.Table) -> pa.Table:
@@ -174,12 +166,12 @@ def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WI
         n = np.diff(np.append(run, len(place))) + width - 1
         ends, words = gather(b.words, place[run], n)
         sent = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(run), [None, pa.py_buffer(8 * ends.astype(np.int64)), pa.py_buffer(words.tobytes())])
-        doc = b.ids[np.searchsorted(b.offsets, place[run], "right") - 1] if len(run) else np.empty(0, np.int64)
-        return pa.table({"part": _parts(lead[run], n_parts), "block": _number(table, len(run)), "at": place[run].astype(np.int32), "doc_id": doc, "words": sent.cast(pa.binary())})
+        of = np.searchsorted(b.offsets, place[run], "right") - 1
+        return pa.table({"part": _parts(lead[run], n_parts), "block": _number(table, len(run)), "at": place[run].astype(np.int32), "doc_id": b.ids[of], "key": b.keys[of], "words": sent.cast(pa.binary())})
 
     def grow_trees(table: pa.Table) -> pa.Table:
         """The leaves, but for the earliest, below each node of full depth."""
-        doc, at, block = (table.column(c).to_numpy() for c in ("doc_id", "at", "block"))
+        doc, key, at, block = (table.column(c).to_numpy() for c in ("doc_id", "key", "at", "block"))
         sent = table.column("words").combine_chunks()
         size = pc.binary_length(sent).to_numpy().astype(np.int64) // 8
         begin = np.cumsum(size) - size
@@ -188,7 +180,7 @@ def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WI
         row = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         node, place = name[begin[row] + step], at[row] + step
-        order = np.lexsort((place, doc[row], node))  # a doc_id has its rows in one block, where they are in order
+        order = np.lexsort((place, key[row], doc[row], node))  # rows alike in id and text are in one block, in order
         later = order[1:][node[order][1:] == node[order][:-1]]
         return pa.table({"block": block[row[later]], "kind": pa.array(np.full(len(later), VALUE), pa.int32()), "value": place[later].astype(np.int64)})
 
@@ -198,7 +190,7 @@ def mark_repeats(docs: DataFrame, out, schema: str | StructType, width: int = WI
 
     anchors = join(copies, send_anchors, "part int, block int, value long, n int")
     shared = anchors.groupBy("part").applyInArrow(match_anchors, notes)
-    suffixes = join(copies.union(shared), send_suffixes, "part int, block int, at int, doc_id long, words binary")
+    suffixes = join(copies.union(shared), send_suffixes, "part int, block int, at int, doc_id long, key long, words binary")
     repeats = suffixes.groupBy("part").applyInArrow(grow_trees, notes)
     return join(copies.union(repeats), finish, schema)
 
@@ -222,8 +214,8 @@ def _digest(b: _Block, removed: np.ndarray, table: pa.Table) -> pa.Table:
 def substring_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document.
 
-    Null texts have no words. Of rows with one doc_id, those with the smaller text come first, and each loses only what
-    an earlier row, or an earlier place of its own, has. An empty table gives an empty result.
+    Null texts have no words. Rows with one doc_id, null among them, come in the order of a hash of their texts, and each
+    loses only what an earlier row, or an earlier place of its own, has. An empty table gives an empty result.
     """
     thin = docs.select(F.col("doc_id").cast("long"), "text")
     return mark_repeats(thin, _digest, "doc_id long, n_words long, n_removed long, kept_sha256 string", width)
