@@ -59,12 +59,19 @@ def token_sets(rows: DataFrame, cards: DataFrame) -> DataFrame:
     return cards.select(*KEY).join(sets, "slot", "left").select(*KEY, F.coalesce("tokens", F.array().cast("array<bigint>")).alias("tokens"))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows in as many partitions as the session shuffles to, by key: pairs are far more work than the bytes of their sides
+    tell, by which Spark would put them into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def pairs_of(sets: DataFrame, *columns: str) -> DataFrame:
     """Each two slots of a batch in order, with ``columns`` of both (``x_a``, ``x_b``): one shuffle by batch, whose size is fixed.
 
     Where ``sets`` has several channels, pairs are of one channel.
     """
     by = ["batch", "channel"] if "channel" in sets.columns else ["batch"]
+    sets = dealt(sets, *by)
     side = lambda s: sets.select(*by, *[F.col(c).alias(f"{c}_{s}") for c in ("config", "config_ord", "slot", *columns)])
     ordered = (F.col("config_ord_a") < F.col("config_ord_b")) | (F.col("config_ord_a") == F.col("config_ord_b")) & (F.col("slot_a") < F.col("slot_b"))
     kind = F.when(F.col("config_a") == F.col("config_b"), "self").otherwise("cross")
@@ -103,10 +110,11 @@ def overlap_pairs(cards: DataFrame, cells: DataFrame, n_cells: int = 640) -> Dat
     return p.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "n_a", "n_b", s.alias("low")).select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", (F.col("low") / (F.col("n_a") + F.col("n_b") - F.col("low"))).alias("s"))
 
 
-def cosine_pairs(cards: DataFrame, rows: DataFrame, channels: tuple[str, ...] = ()) -> DataFrame:
+def cosine_pairs(cards: DataFrame, rows: DataFrame, channels: tuple[str, ...] = (), digits: int | None = None) -> DataFrame:
     """Cosine of sparse vectors (``slot, token, value``), equal ones exactly 1, clamped to [0, 1]; null for an empty side.
 
-    Sums run over sorted keys, so that they don't depend on the order of rows.
+    Sums run over sorted keys, so that they don't depend on the order of rows. ``digits`` rounds what is shown; what is
+    summed up further is not rounded, as medians and means of rounded numbers lie on ties.
     """
     by = ["channel"] if "channel" in rows.columns else []
     if by:  # a row for each slot and channel
@@ -116,9 +124,9 @@ def cosine_pairs(cards: DataFrame, rows: DataFrame, channels: tuple[str, ...] =
     sets = cards.select(*KEY, *by).join(sets.withColumn("q", square).withColumn("m", F.map_from_entries("v")), ["slot", *by], "left")
     p = pairs_of(sets, "v", "q", "m")
     dot = F.aggregate("v_a", F.lit(0.0), lambda s, x: s + x["value"] * F.coalesce(F.col("m_b")[x["token"]], F.lit(0.0)))
-    s = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.sqrt(F.col("q_a") * F.col("q_b")))), 6)
+    s = F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot / F.sqrt(F.col("q_a") * F.col("q_b"))))
     alike = F.when(F.col("v_a").isNull() | F.col("v_b").isNull(), F.lit(None).cast("double")).when(F.col("v_a") == F.col("v_b"), 1.0).otherwise(s)
-    return p.select(*by, "batch", "config_a", "config_b", "kind", "slot_a", "slot_b", alike.alias("s"))
+    return p.select(*by, "batch", "config_a", "config_b", "kind", "slot_a", "slot_b", (alike if digits is None else F.round(alike, digits)).alias("s"))
 
 
 def text_shingles(texts: DataFrame, k: int = 5) -> DataFrame:

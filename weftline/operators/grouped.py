@@ -162,12 +162,15 @@ def assignment_table(configs: DataFrame) -> DataFrame:
 
 
 def assignment(cost: np.ndarray) -> list[int]:
-    """The column of each row in a least-cost assignment (shortest augmenting paths); rows at most columns."""
+    """The column of each row in a least-cost assignment (shortest augmenting paths); rows at most columns.
+
+    Costs may be whole numbers of any size (an array of objects), and are exact then.
+    """
     n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    u, v, match = np.zeros(n + 1, cost.dtype), np.zeros(m + 1, cost.dtype), np.zeros(m + 1, int)
     for i in range(1, n + 1):
         match[0], j0 = i, 0
-        low, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        low, way, used = np.full(m + 1, np.inf, cost.dtype), np.zeros(m + 1, int), np.zeros(m + 1, bool)
         while True:
             used[j0] = True
             i0 = match[j0]
@@ -192,8 +195,19 @@ def assignment(cost: np.ndarray) -> list[int]:
     return out
 
 
+def first_assignment(cost: np.ndarray) -> list[int]:
+    """Among all least-cost assignments the lexicographically least; ``cost`` in whole numbers.
+
+    The columns of an assignment, as digits of one number, are added below the last place of the costs.
+    """
+    n, m = cost.shape
+    base = m + 1
+    return assignment(np.array([[int(cost[i, j]) * base**n + j * base ** (n - 1 - i) for j in range(m)] for i in range(n)], object).reshape(n, m))
+
+
 def hourly_assignment(points: DataFrame) -> DataFrame:
-    """``unit, point, hour, cost``: each point of a unit to an hour of its own, with the least sum of squares.
+    """``unit, point, hour, cost``: each point of a unit to an hour of its own, with the least sum of squares, counted in
+    millionths; of equally good ones the first in the order of points and hours.
 
     A unit of more than 24 points has no such assignment: an error.
     """
@@ -203,7 +217,7 @@ def hourly_assignment(points: DataFrame) -> DataFrame:
         if len(rows) > 24:
             raise ValueError(f"unit {rows['unit'].iloc[0]} has {len(rows)} points for 24 hours")
         cost = (rows["value"].to_numpy(float)[:, None] - np.linspace(0, 97, 24)[None]) ** 2
-        hour = assignment(cost)
+        hour = first_assignment(np.rint(cost * 1e6))
         return pd.DataFrame({"unit": rows["unit"], "point": rows["point"], "hour": hour, "cost": np.round(cost[np.arange(len(hour)), hour], 6)})
 
     return points.groupBy("unit").applyInPandas(solve, "unit long, point long, hour long, cost double")

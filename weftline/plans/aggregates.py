@@ -49,7 +49,7 @@ def pair_scores(spark, sf_dir, cards, layout, grams, *views):
     return union([x.select("batch", "config_a", "config_b", "kind", "slot_a", "slot_b", "channel", "s") for x in found])
 
 
-FRAME("pair_scores", pair_scores, " UNION ALL ".join(f"SELECT batch, config_a, config_b, kind, slot_a, slot_b, '{c}' AS channel, s FROM {{{v}}}" for c, v in CHANNELS.items()),
+FRAME("pair_scores", pair_scores, " UNION ALL ".join(f"SELECT batch, config_a, config_b, kind, slot_a, slot_b, '{c}' AS channel, s FROM {{{v + '_raw' * (c in VECTORS)}}}" for c, v in CHANNELS.items()),
       " ".join(["cards", "layout_iou_pairs", "pq_grams", *SETS.values(), *VECTORS.values()]))
 VIEW("raw_cells", """SELECT batch, config_a, config_b, kind, channel, PCT(s, 0.5) AS median, PCT(s, 0.25) AS p25, PCT(s, 0.75) AS p75, count(s) AS n_eff, avg(s) AS mean FROM {pair_scores} GROUP BY batch, config_a, config_b, kind, channel""")
 _OK = f"c.n_eff >= {N_EFF_MIN} AND (c.kind = 'self' OR a.m >= {M_CROSS_MIN} AND b.m >= {M_CROSS_MIN})"
@@ -66,9 +66,10 @@ VIEW("roster", "SELECT DISTINCT config FROM {cards} WHERE config_ord < 6")
 
 # descriptive statistics: m = 0 has no row, m = 1 has a null row
 VIEW("channel_slots", "SELECT batch, config, channel, max(m) AS m FROM (SELECT m.batch, m.config, p.channel, m.m FROM {slot_counts} m JOIN (SELECT DISTINCT batch, channel FROM {pair_scores}) p ON m.batch = p.batch) x GROUP BY batch, config, channel")
-VIEW("self_consistency", f"""SELECT m.batch, m.config, m.channel, m.m, coalesce(s.n, 0) AS n_eff, CASE WHEN s.n >= {N_EFF_MIN} THEN round(s.mean, 6) END AS self_mean FROM {{channel_slots}} m
+VIEW("self_means", f"""SELECT m.batch, m.config, m.channel, m.m, coalesce(s.n, 0) AS n_eff, CASE WHEN s.n >= {N_EFF_MIN} THEN s.mean END AS mean FROM {{channel_slots}} m
   LEFT JOIN (SELECT batch, config_a, channel, count(s) AS n, avg(s) AS mean FROM {{pair_scores}} WHERE kind = 'self' GROUP BY batch, config_a, channel) s
   ON m.batch = s.batch AND m.config = s.config_a AND m.channel = s.channel""")
+VIEW("self_consistency", "SELECT batch, config, channel, m, n_eff, round(mean, 6) AS self_mean FROM {self_means}")
 VIEW("cross_means", f"""SELECT c.batch, c.config_a, c.config_b, c.channel, c.n_eff, CASE WHEN {_OK} THEN c.mean END AS mean, CASE WHEN {_OK} THEN c.median END AS median, CASE WHEN {_OK} THEN c.p75 - c.p25 END AS iqr
   FROM {{raw_cells}} c JOIN {{slot_counts}} a ON c.batch = a.batch AND c.config_a = a.config JOIN {{slot_counts}} b ON c.batch = b.batch AND c.config_b = b.config WHERE c.kind = 'cross'""")
 VIEW("cross_cells", "SELECT batch, config_a, config_b, channel, n_eff, round(mean, 6) AS mean, round(median, 6) AS median, round(iqr, 6) AS iqr FROM {cross_means}")
@@ -79,8 +80,8 @@ VIEW("loro_ranges", f"""SELECT r.batch, r.config, r.channel, round(min(CAST(t.to
   ON r.batch = t.batch AND r.config = t.config AND r.channel = t.channel WHERE t.n - r.run_n >= {N_EFF_MIN} GROUP BY r.batch, r.config, r.channel""")
 VIEW("mirrored", """SELECT batch, channel, config_a AS config, config_b AS other, mean FROM {cross_means} WHERE mean IS NOT NULL UNION ALL SELECT batch, channel, config_b, config_a, mean FROM {cross_means} WHERE mean IS NOT NULL""")
 VIEW("nearest", """SELECT batch, channel, config, other AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY batch, channel, config ORDER BY round(mean, 9) DESC, other) AS r FROM {mirrored}) x WHERE r = 1""")
-VIEW("separation_distinctiveness", """SELECT s.batch, s.config, s.channel, CASE WHEN o.n * 5 >= (t.n - 1) * 4 THEN round(s.self_mean - o.mean, 5) END AS separation, round(1 - o.most, 6) AS distinctiveness, o.n AS n_others, n.nearest
-  FROM {self_consistency} s JOIN (SELECT batch, channel, config, avg(mean) AS mean, max(mean) AS most, count(*) AS n FROM {mirrored} GROUP BY batch, channel, config) o ON s.batch = o.batch AND s.channel = o.channel AND s.config = o.config
+VIEW("separation_distinctiveness", """SELECT s.batch, s.config, s.channel, CASE WHEN o.n * 5 >= (t.n - 1) * 4 THEN round(s.mean - o.mean, 5) + CAST(0 AS DOUBLE) END AS separation, round(1 - o.most, 6) + CAST(0 AS DOUBLE) AS distinctiveness, o.n AS n_others, n.nearest
+  FROM {self_means} s JOIN (SELECT batch, channel, config, avg(mean) AS mean, max(mean) AS most, count(*) AS n FROM {mirrored} GROUP BY batch, channel, config) o ON s.batch = o.batch AND s.channel = o.channel AND s.config = o.config
   JOIN (SELECT batch, count(*) AS n FROM {slot_counts} GROUP BY batch) t ON s.batch = t.batch JOIN {nearest} n ON s.batch = n.batch AND s.channel = n.channel AND s.config = n.config""")
 
 # the common scale of channels and what is built on it

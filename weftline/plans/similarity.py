@@ -58,11 +58,12 @@ def cosine(name: str, vectors: str) -> None:
     VIEW(f"{name}_norms", f"SELECT slot, sum(value * value) AS q, count(*) AS n FROM {{{vectors}}} WHERE value <> 0 GROUP BY slot")
     VIEW(f"{name}_dots", f"""SELECT a.slot AS slot_a, b.slot AS slot_b, sum(a.value * b.value) AS dot, sum(CASE WHEN a.value = b.value THEN 1 ELSE 0 END) AS same FROM {{{vectors}}} a JOIN {{{vectors}}} b
       ON a.batch = b.batch AND a.token = b.token AND (a.config_ord < b.config_ord OR a.config_ord = b.config_ord AND a.slot < b.slot) WHERE a.value <> 0 AND b.value <> 0 GROUP BY a.slot, b.slot""")
-    FRAME(name, lambda s, d, cards, rows: features.cosine_pairs(cards, rows), f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b,
+    VIEW(f"{name}_raw", "", duck=f"""SELECT p.batch, p.config_a, p.config_b, p.kind, p.slot_a, p.slot_b,
       CASE WHEN a.n IS NULL OR b.n IS NULL THEN NULL WHEN d.same = a.n AND d.same = b.n THEN CAST(1 AS DOUBLE)
-        ELSE round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(d.dot, CAST(0 AS DOUBLE)) / sqrt(a.q * b.q))), 6) END AS s
+        ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(d.dot, CAST(0 AS DOUBLE)) / sqrt(a.q * b.q))) END AS s
       FROM {{slot_pairs}} p LEFT JOIN {{{name}_norms}} a ON p.slot_a = a.slot LEFT JOIN {{{name}_norms}} b ON p.slot_b = b.slot
-      LEFT JOIN {{{name}_dots}} d ON p.slot_a = d.slot_a AND p.slot_b = d.slot_b""", f"cards {vectors}")
+      LEFT JOIN {{{name}_dots}} d ON p.slot_a = d.slot_a AND p.slot_b = d.slot_b""")
+    FRAME(name, lambda s, d, cards, rows: features.cosine_pairs(cards, rows, digits=6), f"SELECT * REPLACE (round(s, 6) AS s) FROM {{{name}_raw}}", f"cards {vectors}")
 
 
 jaccard("shingle_jaccard_pairs", "shingles", lambda s, d, cards: features.char_shingles(cards))
