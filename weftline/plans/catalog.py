@@ -14,5 +14,5 @@ def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WITH_SQL = [*similarity.QUERIES, *channels.QUERIES, *facts.QUERIES, *trees.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES, *stateful.QUERIES]
-QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY, *visual.ROWS_ONLY]}
+QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY, *facts.ROWS_ONLY, *visual.ROWS_ONLY]}
 ORACLE_SQL = {name: views.oracle(name) for name in _WITH_SQL}

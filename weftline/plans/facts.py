@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from weftline.operators import spans
 from weftline.plans import channels, mapping, similarity  # noqa: F401  their views
 from weftline.plans.views import FRAME, VIEW
 
@@ -63,6 +64,13 @@ VIEW("fact_binding", """SELECT l_orderkey, l_linenumber, CASE WHEN n_max = 1 AND
   CASE WHEN n_max = 1 THEN high END AS high, CASE WHEN n_min = 1 THEN low END AS low, n_void FROM (SELECT l_orderkey, l_linenumber, count(DISTINCT CASE WHEN kind = 'max' THEN value END) AS n_max, count(DISTINCT CASE WHEN kind = 'min' THEN value END) AS n_min,
   max(CASE WHEN kind = 'max' THEN value END) AS high, max(CASE WHEN kind = 'min' THEN value END) AS low, count(CASE WHEN kind = 'void' THEN 1 END) AS n_void FROM {fact_hits} GROUP BY l_orderkey, l_linenumber) x""")
 
+# the same with several patterns that overlap, as spans, and what the labels of an order bind
+VIEW("fact_notes", """SELECT l_orderkey, l_linenumber, CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'High ' || q || '.5°C at ' || h || ':00, low −' || r || '°' WHEN 1 THEN 'max ' || q || '°c / min ' || r || '℃ by ' || l_linenumber || ' pm'
+  WHEN 2 THEN 'Today ' || r || '–' || q || '° hi ' || h || 'h' WHEN 3 THEN 'maximum' WHEN 4 THEN '-' || r || '.25 °f at ' || h || ':30°' WHEN 5 THEN 'lo ' || q || ' degrees, minimum' ELSE q || '°' END AS line
+  FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS STRING) AS q, CAST(CAST(l_quantity AS INT) % 17 AS STRING) AS r, CAST(10 + l_linenumber AS STRING) AS h FROM {lineitem})""")
+FRAME("note_spans", lambda s, d, lines: spans.fact_spans(lines, ["l_orderkey", "l_linenumber"]), "", "fact_notes")
+FRAME("note_bindings", lambda s, d, found, lines: spans.bound_extremes(found, lines, "l_orderkey", "l_linenumber"), "", "note_spans fact_notes")
+
 # expected facts of a snapshot: decimals as strings become numbers of display precision
 VIEW("expected_facts", """SELECT n.n_name AS name, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS day, CAST(CAST(CAST(max(o.o_totalprice) AS DECIMAL(18, 2)) / 10000 AS DECIMAL(9, 1)) AS DOUBLE) AS temp_max, CAST(CAST(CAST(min(o.o_totalprice) AS DECIMAL(18, 2)) / 10000 AS DECIMAL(9, 1)) AS DOUBLE) AS temp_min FROM {orders} o
   JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, CAST(o.o_orderdate AS DATE)""")
@@ -100,5 +108,6 @@ FRAME("d_text_pairs", lambda s, d, p: p.select("batch", "variant", "slot_a", "sl
   LEFT JOIN (SELECT a.slot AS slot_a, b.slot AS slot_b, count(*) AS shared FROM {text_tokens} a JOIN {text_tokens} b ON a.batch = b.batch AND a.variant = b.variant AND a.token = b.token AND a.slot < b.slot GROUP BY a.slot, b.slot) s ON a.slot = s.slot_a AND b.slot = s.slot_b""", "text_sets")
 
 
+ROWS_ONLY = "note_spans note_bindings".split()
 QUERIES = """visible_elements visible_texts common_ancestors fact_hits hour_order fact_binding expected_facts frame_changes telemetry_sums region_class first_representative catalog_page compare_set board_rows double_render
  env_digest five_minute_stats share_reveal valid_items request_fields boot_reconcile voter_kinds d_text_pairs""".split()

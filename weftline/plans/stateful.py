@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.operators import grouped
-from weftline.plans import aggregates, inference, serving, similarity  # noqa: F401  their views
+from weftline.plans import aggregates, facts, inference, serving, similarity  # noqa: F401  their views
 from weftline.plans.views import FRAME, VIEW, VIEWS
 from weftline.sources.shared import shared_folder
+from weftline.streaming import positions
 from weftline.streaming import votes as streams
 
 # attempts of a position until one reaches the model: five unsent ones end it
@@ -35,6 +36,12 @@ VIEWS["token_bucket"].duck = VIEWS["token_bucket"].duck.replace("requests WHERE"
 
 FRAME("vote_stream", lambda s, d, events: streams.stream_pairs(s, d, shared_folder(s, "stream")), "SELECT DISTINCT user_id AS voter, event_type, strftime(ts, '%Y-%m-%d %H:%M') AS minute FROM events", "events")
 
+# the same rules as streams: positions by timers, votes in time by an interval join, tallies kept up to date by batch
+FRAME("position_stream", lambda s, d, events: positions.position_table(s, f"{d}/events.parquet", shared_folder(s, "positions")), "SELECT * FROM {slot_fsm} WHERE CAST(day AS TIMESTAMP) + INTERVAL 1 DAY < (SELECT max(ts) - INTERVAL 15 MINUTE FROM events)", "events")
+FRAME("votes_in_time", lambda s, d, events: positions.votes_in_time(s, f"{d}/events.parquet", shared_folder(s, "in-time")), """SELECT p.event_id AS issue, v.event_id AS vote, p.user_id AS voter FROM events p JOIN events v ON p.user_id = v.user_id AND p.event_type = 'view' AND v.event_type = 'click'
+  AND v.ts >= p.ts + INTERVAL 2500 MILLISECONDS AND v.ts <= p.ts + INTERVAL 600 SECONDS""", "events")
+FRAME("tally_stream", lambda s, d, events: positions.tally_table(s, f"{d}/events.parquet", shared_folder(s, "tallies")), "SELECT * FROM {five_minute_stats}", "events")
+
 # dates of several spellings, decimals at display precision, binding of labelled values
 VIEW("date_spellings", """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
   WHEN 1 THEN CAST(day(o_orderdate) AS STRING) || '.' || CAST(month(o_orderdate) AS STRING) || '.' || CAST(year(o_orderdate) AS STRING) ELSE CAST(month(o_orderdate) AS STRING) || '/' || CAST(day(o_orderdate) AS STRING) || '/' || CAST(year(o_orderdate) AS STRING) END AS shown FROM {orders}""")
@@ -66,5 +73,5 @@ def _vector_pairs(e):
     return near.select("g", F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(b, "g").filter("a < b").select("a", "b", "x", "y")
 
 
-QUERIES = "slot_fsm stream_folds sessions token_bucket vote_stream judge_date value_state field_states label_binding text_base terminal_states".split()
+QUERIES = "position_stream votes_in_time tally_stream slot_fsm stream_folds sessions token_bucket vote_stream judge_date value_state field_states label_binding text_base terminal_states".split()
 ROWS_ONLY = "assignment_table bradley_terry upgma_order ncd_pairs pooled_permutation hourly_assignment visual_signatures ssim_pairs".split()

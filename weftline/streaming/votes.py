@@ -18,11 +18,12 @@ def single_use(votes: DataFrame, key: str = "pair_id", ts: str = "ts", delay: st
     return votes.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def in_time(pairs: DataFrame, votes: DataFrame, least_ms: int = 2500, most_ms: int = 600_000) -> DataFrame:
-    """Votes joined to the issue of their pair, if they come between ``least_ms`` and ``most_ms`` after it."""
+def in_time(pairs: DataFrame, votes: DataFrame, *more: str, least_ms: int = 2500, most_ms: int = 600_000) -> DataFrame:
+    """Votes joined to the issue of their pair, if they come between ``least_ms`` and ``most_ms`` after it; ``more``: further
+    columns of the issue."""
     p, v = pairs.withWatermark("issued", "15 minutes").alias("p"), votes.withWatermark("ts", "15 minutes").alias("v")
     on = F.expr(f"p.pair_id = v.pair_id AND v.ts >= p.issued + INTERVAL {least_ms} MILLISECONDS AND v.ts <= p.issued + INTERVAL {most_ms} MILLISECONDS")
-    return p.join(v, on).select("v.*", "p.issued")
+    return p.join(v, on).select("v.*", "p.issued", *more)
 
 
 def take(rows: pd.DataFrame, tokens: float, last: float | None) -> tuple[pd.DataFrame, float, float | None]:
