@@ -117,6 +117,7 @@ def pooled_permutation(blocks: DataFrame, draws: int = 10_000, seed: int = 20_24
         return x ^ (x >> np.uint64(31))
 
     def sums(frames):
+        held: dict = {}  # of all that the task reads: a sum for each family and draw
         for rows in frames:
             with np.errstate(over="ignore"):
                 each = mixed(rows["unit"].to_numpy(np.uint64) * odd[0] + rows["block"].to_numpy(np.uint64) + np.uint64(seed))
@@ -125,7 +126,10 @@ def pooled_permutation(blocks: DataFrame, draws: int = 10_000, seed: int = 20_24
                     for i in range(0, draws, 250):
                         sign = mixed(each[at][None] + mixed(np.arange(i, min(i + 250, draws), dtype=np.uint64) * odd[0])[:, None]) >> np.uint64(63)
                         t[i : i + 250] = sign.astype(float) @ (2 * d) - d.sum()
-                    yield pd.DataFrame({"family": family, "draw": np.arange(-1, draws), "t": np.append(d.sum(), t), "n": len(d)})
+                    so_far, n = held.get(family, (np.zeros(draws + 1), 0))
+                    held[family] = so_far + np.append(d.sum(), t), n + len(d)
+        for family, (t, n) in held.items():
+            yield pd.DataFrame({"family": family, "draw": np.arange(-1, draws), "t": t, "n": n})
 
     parts = blocks.select((F.col("unit") % 16).alias("family"), "unit", "block", (F.col("run_q") - F.col("run_min")).alias("d")).filter("d is not null")
     total = parts.mapInPandas(sums, "family long, draw long, t double, n long").groupBy("family", "draw").agg(F.round(F.sum("t"), 9).alias("t"), F.sum("n").alias("n"))

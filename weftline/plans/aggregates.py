@@ -26,10 +26,12 @@ CHANNELS = {
 }
 _FORMAL = ", ".join(f"'{c}'" for c in CHANNELS if c not in DIAGNOSTIC)
 _ROWS = ", ".join(f"('{c}', {i}, '{c[0]}', {str(c not in DIAGNOSTIC).lower()}, {str(c not in DIAGNOSTIC and c[0] != 'x').lower()}, {str(c in CHANNELS).lower()})" for i, c in enumerate(REGISTRY))
-VIEW("channel_registry", f"SELECT * FROM (VALUES {_ROWS}) AS t(channel, ord, family, is_formal, in_hypotheses, has_scores)")
+VIEW("channel_list", f"SELECT * FROM (VALUES {_ROWS}) AS t(channel, ord, family, is_formal, in_hypotheses, in_summary)")
+VIEW("channel_registry", """SELECT l.channel, l.ord, l.family, l.is_formal, l.in_hypotheses, l.in_summary, coalesce(n.n_scores, 0) AS n_scores, coalesce(n.n_null, 0) AS n_null FROM {channel_list} l
+  LEFT JOIN (SELECT channel, count(s) AS n_scores, count(*) - count(s) AS n_null FROM {pair_scores} GROUP BY channel) n ON l.channel = n.channel""")
 _L1 = ", ".join(f"('{c}', {100 + i})" for i, c in enumerate(SCALARS))
-VIEW("hypothesis_family", f"""SELECT 'H-pooled-channel-' || channel AS hypothesis_id, 'channel' AS kind, channel AS target, ord FROM {{channel_registry}} WHERE in_hypotheses
-  UNION ALL SELECT 'H-pooled-l1-' || scalar, 'l1-scalar', scalar, ord FROM (VALUES {_L1}) AS s(scalar, ord)""")
+VIEW("hypothesis_family", f"""SELECT 'H-pooled-channel-' || channel AS hypothesis_id, 'channel' AS kind, channel AS target, ord, n_scores FROM {{channel_registry}} WHERE in_hypotheses
+  UNION ALL SELECT 'H-pooled-l1-' || scalar, 'l1-scalar', scalar, ord, n FROM (VALUES {_L1}) AS s(scalar, ord), (SELECT count(*) AS n FROM {{cards}}) c""")
 
 #: Which of them are sets or bags, and which are vectors, with the views that hold those.
 SETS = {"c-shingle": "shingles_sets", "c-winnow": "winnow_sets", "c-feature": "feature_set_sets", "d-tagpath": "tag_paths_sets"}
