@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators import spans
+from weftline.operators import phrases, spans
 from weftline.plans import channels, mapping, similarity  # noqa: F401  their views
 from weftline.plans.views import FRAME, VIEW
 
@@ -71,6 +71,19 @@ VIEW("fact_notes", """SELECT l_orderkey, l_linenumber, CASE CAST(l_partkey % 7 A
 FRAME("note_spans", lambda s, d, lines: spans.fact_spans(lines, ["l_orderkey", "l_linenumber"]), "", "fact_notes")
 FRAME("note_bindings", lambda s, d, found, lines: spans.bound_extremes(found, lines, "l_orderkey", "l_linenumber"), "", "note_spans fact_notes")
 
+# conditions by the longest phrase at each place; SQL tries all phrases at all places
+VIEW("sky_notes", """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 11 = 0 THEN NULL WHEN l_partkey % 11 = 1 THEN l_returnflag ELSE 'Day ' || CAST(l_linenumber AS STRING) || ':  ' || a || ' ' || b || CASE WHEN l_quantity > 30 THEN ', then ' || c ELSE '.' END END AS line FROM
+  (SELECT *, CASE CAST(l_suppkey % 8 AS INT) WHEN 0 THEN 'Light' WHEN 1 THEN 'HEAVY' WHEN 2 THEN 'moderate' WHEN 3 THEN 'mostly' WHEN 4 THEN 'light freezing' WHEN 5 THEN 'no' WHEN 6 THEN 'depositing rime' ELSE 'Thunderstorm with heavy' END AS a,
+  CASE CAST(l_partkey % 7 AS INT) WHEN 0 THEN 'rain showers' WHEN 1 THEN 'snow' WHEN 2 THEN 'Fog' WHEN 3 THEN 'drizzle' WHEN 4 THEN 'sunny' WHEN 5 THEN 'hail' ELSE 'rains' END AS b,
+  CASE CAST(l_linenumber % 4 AS INT) WHEN 0 THEN 'clear  sky' WHEN 1 THEN 'partly cloudy' WHEN 2 THEN 'snow grains' ELSE 'wind' END AS c FROM {lineitem})""")
+VIEW("sky_expected", "SELECT o_orderkey AS l_orderkey, CASE CAST(o_custkey % 6 AS INT) WHEN 0 THEN 0 WHEN 1 THEN 80 WHEN 2 THEN 48 WHEN 3 THEN 71 WHEN 4 THEN 99 ELSE 61 END AS expected FROM {orders}")
+_PHRASES = ", ".join(f"('{p}', {c})" for p, c in phrases.VOCABULARY)
+FRAME("condition_hits", lambda s, d, lines: phrases.condition_hits(lines, ["l_orderkey", "l_linenumber"]), f"""SELECT l_orderkey, l_linenumber, CAST(i AS INT) AS start, CAST(i + max(length(p)) AS INT) AS stop, arg_max(p, length(p)) AS phrase, arg_max(code, length(p)) AS code FROM
+  (SELECT *, unnest(range(length(line))) AS i FROM (SELECT row_number() OVER () AS r, l_orderkey, l_linenumber, trim(regexp_replace(lower(line), '\\s+', ' ', 'g')) AS line FROM sky_notes)) n JOIN (VALUES {_PHRASES}) v(p, code) ON substr(line, i + 1, length(p)) = p GROUP BY r, l_orderkey, l_linenumber, i""", "sky_notes")
+FRAME("condition_verdicts", lambda s, d, hits, expected: phrases.condition_verdicts(hits, expected, "l_orderkey", "l_linenumber"), """SELECT l_orderkey, expected, CASE WHEN first_line IS NOT NULL THEN 'match' WHEN n > 0 THEN 'mismatch' ELSE 'not-found' END AS state, first_line, CASE WHEN first_line IS NULL AND n > 0 THEN others END AS others FROM
+  (SELECT e.l_orderkey, e.expected, min(CASE WHEN h.code = e.expected THEN h.l_linenumber END) AS first_line, count(h.code) AS n, array_to_string(list_sort(list(DISTINCT h.code)), ',') AS others FROM sky_expected e LEFT JOIN
+   (SELECT l_orderkey, l_linenumber, code FROM condition_hits QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY stop - start DESC, code) = 1) h ON e.l_orderkey = h.l_orderkey GROUP BY e.l_orderkey, e.expected)""", "condition_hits sky_expected")
+
 # expected facts of a snapshot: decimals as strings become numbers of display precision
 VIEW("expected_facts", """SELECT n.n_name AS name, CAST(CAST(o.o_orderdate AS DATE) AS STRING) AS day, CAST(CAST(CAST(max(o.o_totalprice) AS DECIMAL(18, 2)) / 10000 AS DECIMAL(9, 1)) AS DOUBLE) AS temp_max, CAST(CAST(CAST(min(o.o_totalprice) AS DECIMAL(18, 2)) / 10000 AS DECIMAL(9, 1)) AS DOUBLE) AS temp_min FROM {orders} o
   JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, CAST(o.o_orderdate AS DATE)""")
@@ -110,4 +123,4 @@ FRAME("d_text_pairs", lambda s, d, p: p.select("batch", "variant", "slot_a", "sl
 
 ROWS_ONLY = "note_spans note_bindings".split()
 QUERIES = """visible_elements visible_texts common_ancestors fact_hits hour_order fact_binding expected_facts frame_changes telemetry_sums region_class first_representative catalog_page compare_set board_rows double_render
- env_digest five_minute_stats share_reveal valid_items request_fields boot_reconcile voter_kinds d_text_pairs""".split()
+ condition_hits condition_verdicts env_digest five_minute_stats share_reveal valid_items request_fields boot_reconcile voter_kinds d_text_pairs""".split()
