@@ -131,3 +131,15 @@ def test_near_signatures_are_all_pairs_within_the_radius(spark, digits, radius):
     count = {k: sum(r[0] == k for r in rows) for k in kinds}
     want = {(a, b): (count[a], count[b], d) for i, a in enumerate(kinds) for b in kinds[i + 1 :] if (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
     assert got == want and len(want) > 50
+
+
+def test_scalars_of_painted_pages():
+    table = pa.table({"slot": [1, 2, 3], "boxes": [None, [[0, 0, 1280, 400, 255, 0, 0]], [[0, 0, 640, 800, 0, 0, 0]]]})
+    rows = raster.page_scalars(table).to_pylist()
+    got = {(r["slot"], r["scalar"]): r["v"] for r in rows}
+    assert len(got) == 12 and [got[1, s] for s in ("colorfulness", "brightness", "contrast", "whitespace_ratio")] == pytest.approx([0, 255, 0, 1], abs=1e-6)
+    # half red, half white, but for the rows that resampling blends at the border
+    assert got[2, "brightness"] == pytest.approx((0.299 * 255 + 255) / 2, rel=5e-3) and got[2, "whitespace_ratio"] == pytest.approx(0.5, abs=0.03)
+    red = np.hypot(127.5, 63.75) + 0.3 * np.hypot(127.5, 63.75)
+    assert got[2, "colorfulness"] == pytest.approx(red, rel=2e-2)
+    assert got[3, "contrast"] == pytest.approx(127.5, rel=1e-2) and got[3, "colorfulness"] == pytest.approx(0, abs=1e-6)

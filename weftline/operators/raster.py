@@ -14,6 +14,8 @@ import pyarrow as pa
 #: The viewport, gray weights in 65536ths, the sizes of the channels' pictures.
 WIDTH, HEIGHT = 1280, 800
 GRAY = (19595, 38470, 7471)
+#: The weights of colours in gray, as shares.
+REC601 = (0.299, 0.587, 0.114)
 HASH_SIDE, HASH_BLOCK, NEIGHBOURS, GRAYS, GRID, COLOURS = 32, 8, (17, 16), (320, 200), (32, 20), (128, 80)
 #: Cells and directions of edges, window and constants of structural similarity.
 CELLS, DIRECTIONS = (4, 4), 8
@@ -215,3 +217,20 @@ def batch_pairs(table: pa.Table) -> pa.Table:
             "kind": pa.array(np.where(config[a] == config[b], "self", "cross"), pa.string()), "slot_a": slot[a], "slot_b": slot[b], "channel": pa.array([c] * len(a), pa.string()), "s": pa.array(s, mask=np.isnan(s)),
         }))
     return pa.concat_tables(out)
+
+
+def page_scalars(table: pa.Table) -> pa.Table:
+    """``slot, scalar, v`` of pages ``slot, boxes``: colourfulness by the spread and the mean of both opponent colours, mean
+    and deviation of gray, and the share of the most frequent of 64 colours."""
+    slots, names, values = [], [], []
+    for slot, boxes in zip(table.column("slot").to_pylist(), _boxes(table.column("boxes")), strict=True):
+        rgb = Picture(boxes).rgb_sized(COLOURS).reshape(-1, 3)
+        rg, yb, gray = rgb[:, 0] - rgb[:, 1], (rgb[:, 0] + rgb[:, 1]) / 2 - rgb[:, 2], rgb @ np.array(REC601)
+        bins = np.bincount((rgb.astype(np.int64) >> 6) @ np.array([16, 4, 1]), minlength=64)
+        found = {
+            "colorfulness": np.hypot(rg.std(), yb.std()) + 0.3 * np.hypot(rg.mean(), yb.mean()), "brightness": gray.mean(), "contrast": gray.std(), "whitespace_ratio": bins.max() / len(rgb),
+        }
+        slots += [slot] * len(found)
+        names += found
+        values += [float(x) for x in found.values()]
+    return pa.table({"slot": pa.array(slots, pa.int64()), "scalar": pa.array(names, pa.string()), "v": pa.array(values, pa.float64())})

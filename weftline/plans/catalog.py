@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import aggregates, channels, documents, facts, inference, serving, similarity, sources, stateful, trees, views, visual
+from weftline.plans import aggregates, channels, documents, facts, hypotheses, inference, serving, similarity, sources, stateful, trees, views, visual
 
 
 def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,5 +14,5 @@ def _query(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WITH_SQL = [*similarity.QUERIES, *channels.QUERIES, *facts.QUERIES, *trees.QUERIES, *aggregates.QUERIES, *serving.QUERIES, *inference.QUERIES, *stateful.QUERIES, *sources.QUERIES, *documents.QUERIES]
-QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY, *facts.ROWS_ONLY, *sources.ROWS_ONLY, *visual.ROWS_ONLY]}
+QUERIES = {name: partial(_query, name) for name in [*_WITH_SQL, *stateful.ROWS_ONLY, *facts.ROWS_ONLY, *sources.ROWS_ONLY, *hypotheses.ROWS_ONLY, *visual.ROWS_ONLY]}
 ORACLE_SQL = {name: views.oracle(name) for name in _WITH_SQL}
