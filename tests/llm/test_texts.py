@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -280,6 +281,64 @@ def test_perplexity_probabilities_sum_to_one_and_bands_reject(spark):
     assert out.columns == ["doc_id", "text", "lang", "kept"]
 
 
+def plain_kneser_ney(texts):
+    """log10 of a character after three others, by dictionaries and one gram after the other."""
+    order, grams = 4, collections.Counter()
+    for t in set(texts):
+        chars = quality.PAD * 3 + " ".join(t.split()) + quality.END
+        grams.update(chars[i : i + 4] for i in range(len(chars) - 3))
+    counts = {order: grams}
+    for k in (3, 2, 1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+
+    def discount(k, n):
+        of = collections.Counter(counts[k].values())
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+        i = min(n, 3)
+        d = i - (i + 1) * y * of[i + 1] / of[i] if of[i] and of[i + 1] else 0.5
+        return min(max(d, 0.05), i - 0.05)
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        k, n = len(g), counts[len(g)].get(g, 0)
+        beside = [m for h, m in counts[k].items() if h[:-1] == g[:-1]]
+        if not beside:
+            return p(g[1:])
+        left = sum(discount(k, m) for m in beside) / sum(beside)
+        return (n - discount(k, n) if n else 0) / sum(beside) + left * p(g[1:])
+
+    known = {}
+    return lambda g: known.setdefault(g, math.log10(p(g)))
+
+
+def test_perplexity_equals_plain_kneser_ney(spark):
+    rng = random.Random(3)
+    words = ["Aa", "bab.", "cab", "abba", "Ca", "b", "éa", "日本", "a,"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 30))) for _ in range(25)]
+    data = spark.createDataFrame([(t, "en") for t in texts + texts[:5]], "text string, lang string")
+    plain, asked = plain_kneser_ney(texts), [*texts[:6], "Unseen XY words", "", "cab  Ca\n\nabba"]
+    want = []
+    for t in asked:
+        chars = quality.PAD * 3 + " ".join(t.split()) + quality.END
+        want.append(-np.mean([plain(chars[i : i + 4]) for i in range(len(chars) - 3)]))
+    assert quality.train(data).log_perplexity(asked, "en") == pytest.approx(want, abs=1e-5)
+
+
+def test_shuffled_words_are_rejected_and_sound_text_is_kept(spark):
+    rng = random.Random(4)
+    vocab = ["".join(rng.choice(["ba", "de", "ki", "lo", "mu", "n", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(500)]
+    sentence = lambda: " ".join(rng.choice(vocab) for _ in range(rng.randint(4, 10))).capitalize() + "."
+    rows = [(i if i % 3 else None, " ".join(sentence() for _ in range(rng.randint(15, 30))), "en", "sound") for i in range(300)]
+    for i, (_, text, _, _) in enumerate(rows[:60]):
+        words = text.split()
+        rng.shuffle(words)
+        rows.append((1000 + i, " ".join(words), "en", "salad"))
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string, kind string")
+    kept = {r.kind: r["count"] for r in quality.filter_documents(data).groupBy("kind").count().collect()}
+    assert kept["sound"] > 0.95 * 300 and kept.get("salad", 0) < 0.5 * 60
+
+
 def test_copies_of_one_text_do_not_narrow_the_band(spark):
     rng = np.random.default_rng(5)
     words = {x: ["".join(rng.choice(list(x), rng.integers(3, 9))) for _ in range(300)] for x in ("abcdefgh", "nopqrstu")}
