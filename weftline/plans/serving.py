@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from weftline.operators import draws
 from weftline.plans import mapping
 from weftline.plans.views import FRAME, VIEW
 
@@ -61,6 +64,17 @@ VIEW("pref_wilson", f"""SELECT variant, config, n, CASE WHEN ok THEN round(p, 6)
 VIEW("leaderboard", "SELECT variant, config, pref_rate, row_number() OVER (PARTITION BY variant ORDER BY CASE WHEN pref_rate IS NULL THEN 1 ELSE 0 END, pref_rate DESC, config) AS place FROM {pref_wilson}")
 VIEW("vote_counts", "SELECT config, count(*) AS n_all, count(*) FILTER (WHERE variant = 'min') AS n_min, count(*) FILTER (WHERE variant = 'q') AS n_q FROM {sides} GROUP BY config")
 VIEW("issue_weights", "SELECT config, n_all, round(1 / (1 + n_all) / sum(CAST(1 AS DOUBLE) / (1 + n_all)) OVER (), 6) AS weight FROM {vote_counts}")
+VIEW("pool", "SELECT variant, config, count(*) AS votes FROM {sides} GROUP BY variant, config")
+VIEW("asks", "SELECT event_id AS ask, CASE WHEN user_id % 3 = 0 THEN 'min' ELSE 'q' END AS variant FROM {events} WHERE event_type = 'view'")
+FRAME("issued_pairs", lambda s, d, asks, pool: draws.issue_pairs(asks, pool), """WITH line AS (SELECT variant, config, w, row_number() OVER o - 1 AS nth, sum(w) OVER o - w AS below, count(*) OVER (PARTITION BY variant) AS n, sum(w) OVER (PARTITION BY variant) AS total
+    FROM (SELECT variant, config, greatest(1, 1000000000 // (1 + votes)) AS w FROM {pool}) x WINDOW o AS (PARTITION BY variant ORDER BY substr(sha256(config), 1, 2), config)),
+  drawn AS (SELECT ask, variant, ('0x' || substr(sha256('issue:a:' || ask), 1, 15))::HUGEINT AS ha, ('0x' || substr(sha256('issue:b:' || ask), 1, 15))::HUGEINT AS hb FROM {asks})
+  SELECT d.ask, d.variant, a.config AS config_a, b.config AS config_b FROM drawn d JOIN line a ON a.variant = d.variant AND a.n >= 2 AND (d.ha * a.total) // 1152921504606846976 BETWEEN a.below AND a.below + a.w - 1
+  JOIN line b ON b.variant = d.variant AND b.nth = (a.nth + 1 + (d.hb * (a.n - 1)) // 1152921504606846976) % a.n""", "asks pool")
+VIEW("part_demand", "SELECT p_brand, p_partkey, count(l_orderkey) AS n_lines, CAST(1 AS DOUBLE) / (1 + count(l_orderkey)) AS weight FROM {part} LEFT JOIN {lineitem} ON l_partkey = p_partkey GROUP BY p_brand, p_partkey")
+FRAME("fresh_parts", lambda s, d, demand: draws.weighted_sample(demand, "p_brand", "p_partkey", "weight", 5, "fresh").drop("weight").withColumn("place", F.col("place").cast("long")),
+  """SELECT p_brand, p_partkey, n_lines, place FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY ln((('0x' || substr(sha256('fresh:' || p_brand || ':' || p_partkey), 1, 15))::BIGINT::DOUBLE + 0.5) / 1152921504606846976::DOUBLE) / weight DESC, p_partkey) AS place
+  FROM {part_demand}) x WHERE place <= 5""", "part_demand")
 VIEW("votes_export", "SELECT vote_id, substr(SHA(CAST(voter AS STRING)), 1, 12) AS voter_hash, config_a, config_b, choice FROM {accepted}")
 VIEW("unconsumed_pairs", "SELECT a.vote_id FROM {votes} a LEFT JOIN {accepted} b ON a.vote_id = b.vote_id WHERE b.vote_id IS NULL")
 VIEW("daily_rate", "SELECT voter, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS n, count(*) > 30 AS blocked FROM {votes} GROUP BY voter, CAST(ts AS DATE)")
@@ -84,4 +98,4 @@ VIEW("output_gate", """SELECT slot, html LIKE '<!DOCTYPE html>%' OR html LIKE '<
 
 QUERIES = """winner_per_config registry_totals facet_values facet_filter config_arms axis_filter effort_ladder_order browse_order coverage_gap growth_multiple valid_by_variant missing_batches readable_configs
  duplicate_ids constraint_violations default_session latest_per_model first_seen cost_estimate patch_lookup name_search job_queue_head board_cells vote_dedup_dwell arena_tallies pref_wilson leaderboard vote_counts
- issue_weights votes_export unconsumed_pairs daily_rate coord_tolerance_lookup tiered_lookup numbers card_bytes output_gate""".split()
+ issue_weights issued_pairs fresh_parts votes_export unconsumed_pairs daily_rate coord_tolerance_lookup tiered_lookup numbers card_bytes output_gate""".split()
