@@ -113,7 +113,9 @@ def test_large_buckets_are_parted_and_nothing_is_lost(spark):
     assert len(set(label.values())) == 2
 
 
-def test_star_of_edits_in_large_buckets_stays_whole(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [neardup.MOST_SENT, -1])
+def test_star_of_edits_in_large_buckets_stays_whole(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "MOST_SENT", sent)
     monkeypatch.setattr(neardup, "idf_table", lambda df, n: np.ones(1 << neardup.DF_BITS, np.float32))
     rng = np.random.default_rng(8)
     centre, rows = [f"w{k}" for k in range(100)], []

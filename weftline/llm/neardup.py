@@ -39,6 +39,8 @@ SPLIT_BANDS = 4
 DEPTH = 3
 #: Texts of most links with which the others of a large bucket are compared in a round.
 REPRESENTATIVES = 64
+#: Rows of a table by bucket up to which it is sent to all tasks, and the parts that buckets have beyond that.
+MOST_SENT, PARTS = 200_000, 64
 #: Texts compared in one task's group of buckets.
 GROUP_TEXTS = 2000
 NO_ID = -(1 << 63)
@@ -256,6 +258,16 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
+def _joined(rows: DataFrame, few: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with the stored ``few`` rows that buckets have: sent to all tasks up to MOST_SENT of them, beyond that
+    dealt by bucket and a part of ``by``, so that the rows of a hot bucket are not in one task."""
+    if few.count() <= MOST_SENT:
+        return rows.join(F.broadcast(few), on, how)
+    part = rows.withColumn("part", F.pmod(F.xxhash64(by, F.lit("part")), F.lit(PARTS)).cast("int"))
+    each = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return part.join(each.hint("merge"), [*on, "part"], how).drop("part")
+
+
 def _outside(large: DataFrame, links: DataFrame) -> DataFrame:
     """``bucket, doc_id, outer, n_in, n_out``: the large buckets with texts outside of their largest class (outer)."""
     classes = components(links)
@@ -264,16 +276,16 @@ def _outside(large: DataFrame, links: DataFrame) -> DataFrame:
     sizes = of.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("main"), F.sum("n").alias("n"))
     main = main.select("bucket", F.col("main.class_id").alias("main"), F.col("main.n").alias("n_in"), (F.col("n") - F.col("main.n")).alias("n_out")).filter("n_out > 0")
-    rows = of.join(F.broadcast(main), "bucket")  # large buckets are few: fewer than keys / BUCKET
+    rows = _joined(of, keep(main, "main"), ["bucket"], "doc_id")
     return keep(rows.select("bucket", "doc_id", (F.col("class_id") != F.col("main")).alias("outer"), "n_in", "n_out"), "outside")
 
 
 def _to_representatives(rest: DataFrame, reps: DataFrame, most: int) -> DataFrame:
     """``bucket, doc_id, lead``: runs of the outer texts with their bucket's representatives, which lead."""
     run = F.pmod(F.xxhash64("doc_id", F.lit("run")), F.ceil(2 * F.col("n_out") / most))
-    outer = rest.filter("outer").join(F.broadcast(reps.withColumn("rep", F.lit(True))), ["bucket", "doc_id"], "left").filter("rep is null")
+    outer = _joined(rest.filter("outer"), reps, ["bucket", "doc_id"], "doc_id", "left_anti")
     runs = outer.select("bucket", "doc_id", run.alias("run"))
-    led = runs.select("bucket", "run").distinct().join(F.broadcast(reps), "bucket")
+    led = _joined(runs.select("bucket", "run").distinct(), reps, ["bucket"], "run")
     return runs.withColumn("lead", F.lit(False)).unionByName(led.withColumn("lead", F.lit(True))).select(F.xxhash64("bucket", "run").alias("bucket"), "doc_id", "lead")
 
 
@@ -310,7 +322,7 @@ def complete_links(texts: DataFrame, large: DataFrame, links: DataFrame, idf: np
             return keep(links.union(more).distinct(), "links")
         degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("degree"))
         ranked = rest.join(degree, "doc_id", "left").select("bucket", "doc_id", F.coalesce("degree", F.lit(0)).alias("degree"))
-        ranked = ranked if used is None else ranked.join(F.broadcast(used), ["bucket", "doc_id"], "left_anti")
+        ranked = ranked if used is None else _joined(ranked, used, ["bucket", "doc_id"], "doc_id", "left_anti")
         order = Window.partitionBy("bucket").orderBy(F.desc("degree"), F.xxhash64("doc_id"))
         reps = keep(ranked.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= REPRESENTATIVES).select("bucket", "doc_id"), "representatives")
         used, before = reps if used is None else used.union(reps), left
