@@ -173,9 +173,10 @@ def naming(c: Column) -> Column:
 VIEW("element_counts", f"SELECT {KEYS}, count(*) AS elements FROM {{nodes}} GROUP BY {KEYS}")
 VIEW("class_mix", f"""SELECT e.batch, e.config, e.config_ord, e.slot, e.elements, coalesce(c.n, 0) AS n, c.mean_len, c.kinds, {', '.join(f'c.{x}' for x in STYLES)} FROM {{element_counts}} e LEFT JOIN
   (SELECT slot, count(*) AS n, avg(length(c)) AS mean_len, count(DISTINCT c) AS kinds, {', '.join(f"sum(CASE WHEN style = '{x}' THEN 1 ELSE 0 END) AS {x}" for x in STYLES)} FROM {{class_styles}} GROUP BY slot) c ON e.slot = c.slot""")
-VIEW("naming_values", f"SELECT {KEYS}, 'noclass' AS token, CAST(1 AS DOUBLE) AS value FROM {{class_mix}} WHERE n = 0 UNION ALL " + " UNION ALL ".join(
-    f"SELECT {KEYS}, '{t}', CAST({e} AS DOUBLE) FROM {{class_mix}} WHERE n > 0 AND {e} > 0"
-    for t, e in [*[(f"style:{x}", f"{x} / n") for x in STYLES], ("class_density", "n / elements"), ("mean_len", "mean_len / 20"), ("uniq_ratio", "kinds / n")]))
+_NAMING = [*[(f"style:{x}", f"{x} / n") for x in STYLES], ("class_density", "n / elements"), ("mean_len", "mean_len / 20"), ("uniq_ratio", "kinds / n")]
+VIEW("naming_values", similarity.values("class_mix", [("noclass", "CASE WHEN n = 0 THEN 1 END"), *[(t, f"CASE WHEN n > 0 THEN {e} END") for t, e in _NAMING]], "value > 0"),
+  f"SELECT {KEYS}, 'noclass' AS token, CAST(1 AS DOUBLE) AS value FROM {{class_mix}} WHERE n = 0 UNION ALL " + " UNION ALL ".join(
+    f"SELECT {KEYS}, '{t}', CAST({e} AS DOUBLE) FROM {{class_mix}} WHERE n > 0 AND {e} > 0" for t, e in _NAMING))
 channel("x_naming_pairs", "naming_values")
 
 # x-semantics: fifteen ratios
@@ -191,7 +192,7 @@ _RATIOS = {
 }
 VIEW("semantic_ratios", f"""SELECT r.*, a.aria / elements AS aria_ratio, a.role / elements AS role_ratio, a.data_attr / elements AS data_ratio FROM
   (SELECT {KEYS}, count(*) AS elements, {', '.join(f'{e} AS {c}' for c, e in _RATIOS.items())} FROM {{nodes}} GROUP BY {KEYS}) r JOIN {{attribute_counts}} a ON r.slot = a.slot""")
-VIEW("semantic_values", " UNION ALL ".join(f"SELECT {KEYS}, '{c}' AS token, CAST({c} AS DOUBLE) AS value FROM {{semantic_ratios}} WHERE {c} <> 0" for c in [*_RATIOS, "aria_ratio", "role_ratio", "data_ratio"]))
+VIEW("semantic_values", similarity.values("semantic_ratios", [(c, c) for c in [*_RATIOS, "aria_ratio", "role_ratio", "data_ratio"]]), " UNION ALL ".join(f"SELECT {KEYS}, '{c}' AS token, CAST({c} AS DOUBLE) AS value FROM {{semantic_ratios}} WHERE {c} <> 0" for c in [*_RATIOS, "aria_ratio", "role_ratio", "data_ratio"]))
 channel("x_semantics_pairs", "semantic_values")
 
 # c-ast-js by its token path: bigrams of the categories of script tokens
