@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from weftline.operators import features
+from weftline.operators import features, grouped, hypotheses
 from weftline.plans import aggregates, views
 
 PAGES = [(i, "u", "".join(f"<{t}><{u} class='c{i}'>x</{u}></{t}>" for t in ("div", "p", "ul")[: i % 4] for u in ("b", "li")[: i % 3])) for i in range(24)]
@@ -57,3 +57,32 @@ def test_overlap_equals_a_loop_without_a_broadcast(spark):
     for r in found.collect():
         x, y = grids[r.slot_a], grids[r.slot_b]
         assert r.s == (pytest.approx(np.minimum(x, y).sum() / np.maximum(x, y).sum()) if x.any() and y.any() else None)
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 7])
+def test_assignments_of_many_units_equal_one_by_one(n):
+    rng = np.random.default_rng(n)
+    value = rng.integers(0, 97, (60, n)).astype(float)
+    value[:25] = rng.integers(0, 7, (25, n))  # many ties
+    cost = np.rint((value[:, :, None] - np.linspace(0, 97, 24)) ** 2 * 1e6)
+    assert grouped.first_assignments(cost).tolist() == [grouped.first_assignment(c) for c in cost]
+
+
+def test_hours_need_no_task_for_each_unit(spark):
+    rows = [(u, p, float((u * 31 + p * 17) % 97)) for u in range(40) for p in range(1 + u % 6)]
+    found = grouped.hourly_assignment(spark.createDataFrame(rows, "unit long, point long, value double"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.unit, r.point): (r.hour, r.cost) for r in found.collect()}
+    for u in range(40):
+        value = np.array([v for x, _, v in rows if x == u])
+        cost = (value[:, None] - np.linspace(0, 97, 24)) ** 2
+        for p, h in enumerate(grouped.first_assignment(np.rint(cost * 1e6))):
+            assert got[u, p] == (h, pytest.approx(cost[p, h], abs=1e-6))
+
+
+def test_draws_are_summed_once(spark):
+    blocks = spark.createDataFrame([(u, b, 1.0, 2.0 + b) for u in range(4) for b in range(3)], "unit long, block long, run_min double, run_q double")
+    tables = spark.createDataFrame([("channel", "c", "u", 0, [0.5, 0.25])], "kind string, target string, unit string, observed int, t array<double>")
+    family = spark.createDataFrame([("channel", "c", 0)], "kind string, target string, ord int")
+    for found in (grouped.pooled_permutation(blocks, draws=70), hypotheses.pooled(tables, family, draws=70)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1

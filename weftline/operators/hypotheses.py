@@ -129,8 +129,8 @@ def pooled(tables: DataFrame, family: DataFrame, draws: int = DRAWS) -> DataFram
     named = tables.select(name_of(F.col("kind"), F.col("target")).alias("hypothesis_id"), "unit", "observed", "t")
     parts = named.mapInPandas(sums, "hypothesis_id string, draw int, total double, n long, n_null long")
     total = parts.groupBy("hypothesis_id", "draw").agg(F.round(F.sum("total"), 9).alias("total"), F.sum("n").alias("n"), F.sum("n_null").alias("n_null"))
-    seen = total.filter("draw < 0").select("hypothesis_id", F.col("total").alias("seen"), "n", "n_null")
-    hits = total.filter("draw >= 0").select("hypothesis_id", "total").join(seen, "hypothesis_id").groupBy("hypothesis_id", "seen", "n", "n_null").agg(F.count_if(F.abs("total") >= F.abs("seen") - 1e-9).alias("b"))
+    seen = F.max(F.when(F.col("draw") < 0, F.col("total"))).over(Window.partitionBy("hypothesis_id")).alias("seen")  # read twice, the sums would be made twice
+    hits = total.select("hypothesis_id", "draw", "total", seen, "n", "n_null").filter("draw >= 0").groupBy("hypothesis_id", "seen", "n", "n_null").agg(F.count_if(F.abs("total") >= F.abs("seen") - 1e-9).alias("b"))
     ok = F.col("n_null") == 0
     found = hits.select("hypothesis_id", F.col("n").alias("n_units"), "n_null", F.when(ok, F.round(F.col("seen") / F.col("n"), 9)).alias("t_obs"), F.when(ok, (F.col("b") + 1) / (draws + 1)).alias("p"))
     whole = family.select(name_of(F.col("kind"), F.col("target")).alias("hypothesis_id"), "kind", "target", "ord").join(found, "hypothesis_id", "left").fillna(0, ["n_units", "n_null"])
