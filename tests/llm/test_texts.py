@@ -459,3 +459,19 @@ def test_scores_of_all_ids_sum_to_one_and_learn(spark):
     x, y = attention.windows(np.array([0, 4]), np.array([3, 9, 1, 0]))
     z = attention.logits(x)[3]
     assert sum(10 ** np.array(p)) == pytest.approx(np.exp(z[:7]).sum() / np.exp(z).sum(), rel=1e-4)  # other classes have no id
+
+
+def test_the_model_keeps_every_gram(spark):
+    letters = np.random.default_rng(8).integers(97, 123, (30, 1500))  # so many grams that some would meet in 2 ** 24 slots
+    texts = ["".join(map(chr, row)) for row in letters]
+    docs = spark.createDataFrame([(t, "en") for t in texts], "text string, lang string")
+    grams = quality.count_grams(docs)
+    model = quality.kneser_ney(grams)
+    kinds = np.unique(np.array([r.gram for r in grams.collect()], np.int64).view(np.uint64))
+    for k in range(1, quality.ORDER + 1):
+        each = np.unique(kinds & np.uint64((1 << 16 * k) - 1))
+        assert model.find("en", k, each)[0].all()
+        if k > 1:
+            assert model.find("en", 16 + k, np.unique(each >> np.uint64(16)))[0].all()
+    entries = sum(len(np.unique(kinds & np.uint64((1 << 16 * k) - 1))) for k in range(1, 5)) + sum(len(np.unique((kinds & np.uint64((1 << 16 * k) - 1)) >> np.uint64(16))) for k in range(2, 5)) + 1
+    assert sum(n for _, n in model.sizes) == entries

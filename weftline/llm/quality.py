@@ -24,12 +24,11 @@ from weftline.llm._store import filesystem, fresh_path, keep
 from weftline.llm._words import MULT, hash_words, inside, mix, owner, slices, split_words, window_hashes
 
 ORDER = 4
-#: Model entries fall into 2 ** SLOT_BITS slots at most, and are told apart by PRINT_BITS more of their hashes: the stored
-#: model has at most 12 bytes for each slot, 200 MB.
-SLOT_BITS, PRINT_BITS = 24, 32
+#: Model entries are told apart by so many bits of their hashes; all of them are kept, in 12 bytes each.
+KEY_BITS = 62
 #: The model is kept in this many files, as a power of two.
-RANGE_BITS = 4
-_RANGE_SHIFT = SLOT_BITS + PRINT_BITS - RANGE_BITS
+RANGE_BITS = 5
+_RANGE_SHIFT = KEY_BITS - RANGE_BITS
 PAD, END = "\x02", "\x03"
 UNKNOWN_LANG = "und"
 #: Languages up to which their bands are sent to all tasks.
@@ -116,11 +115,11 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def _slots(lang: pd.Series, kind: pd.Series, gram: pd.Series) -> np.ndarray:
-    """The slot and fingerprint of a model entry; kind is the order of a probability, or 16 plus that of a context."""
+    """The key of a model entry, by which it is found; kind is the order of a probability, or 16 plus that of a context."""
     at, names = pd.factorize(lang)
     with np.errstate(over="ignore"):
         seed = hash_words(list(names))[at] + kind.to_numpy(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return (mix(mix(gram.to_numpy(np.int64).view(np.uint64) * MULT + seed)) >> np.uint64(64 - SLOT_BITS - PRINT_BITS)).astype(np.int64)
+        return (mix(mix(gram.to_numpy(np.int64).view(np.uint64) * MULT + seed)) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def _lower(grams: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +166,8 @@ def _spread(context: np.ndarray, n: np.ndarray, d: np.ndarray) -> tuple[np.ndarr
 def kneser_ney(grams: DataFrame) -> Model:
     """The interpolated model of ``lang, gram, n``: log10 probabilities of all orders and log10 weights of contexts.
 
-    The highest order takes counts, each lower one the number of different characters before the gram. Of grams that
-    meet in a slot the more frequent one stays, and the model backs off for the other.
+    The highest order takes counts, each lower one the number of different characters before the gram. The model has an
+    entry for each gram and each context of every order.
     """
     stats: dict[str, dict[int, dict[int, int]]] = {}
     for r in gram_statistics(grams).collect():  # for each language a row for each character of 16 bits at most
@@ -198,18 +197,17 @@ def kneser_ney(grams: DataFrame) -> Model:
             contexts, total, weight, place = _spread(kinds >> np.uint64(16), n, d)
             q = below[np.searchsorted(tails, kinds & np.uint64((1 << 16 * (k - 1)) - 1))]
             p = (n - d[np.minimum(n, 3)]) / total[place] + weight[place] * q
-            for kind, key, c, v in ((k, kinds, n, p), (16 + k, contexts, total, weight)):
+            for kind, key, v in ((k, kinds, p), (16 + k, contexts, weight)):
                 at = _slots(pd.Series([lang] * len(key)), pd.Series(np.full(len(key), kind)), pd.Series(key.view(np.int64)))
-                out.append(pd.DataFrame({"slot": at, "c": c.astype(np.int64), "value": np.log10(v).astype(np.float32)}))
+                out.append(pd.DataFrame({"slot": at, "value": np.log10(v).astype(np.float32)}))
             order = np.argsort(kinds)
             tails, below = kinds[order], p[order]
         return pd.concat(out)
 
-    slots = _before_last(grams).groupBy("lang", "pivot").applyInPandas(smooth, "slot long, c long, value float")
-    best = slots.groupBy(F.shiftright("slot", PRINT_BITS).alias("at")).agg(F.max(F.struct("c", "slot", "value")).alias("x")).select("x.slot", "x.value", F.lit(1).alias("turn"))
+    slots = _before_last(grams).groupBy("lang", "pivot").applyInPandas(smooth, "slot long, value float")
     low = pd.DataFrame({"slot": np.concatenate([s for s, _ in entries] or [[]]), "value": np.concatenate([v for _, v in entries] or [[]])}).astype({"slot": "int64", "value": "float32"})
-    first = grams.sparkSession.createDataFrame(low, "slot long, value float").withColumn("turn", F.lit(0))
-    return stored(best.unionByName(first))
+    first = grams.sparkSession.createDataFrame(low, "slot long, value float")
+    return stored(slots.unionByName(first))
 
 
 def stored(entries: DataFrame) -> Model:
@@ -217,7 +215,7 @@ def stored(entries: DataFrame) -> Model:
     folder = fresh_path(entries.sparkSession, "model")
 
     def write(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("slot", "ascending"), ("turn", "ascending")])
+        table = table.sort_by("slot")
         number, (fs, at) = table.column("range")[0].as_py(), filesystem(folder)
         fs.create_dir(at, recursive=True)
         unfinished = f"{at}/{uuid.uuid4().hex}"
