@@ -74,3 +74,18 @@ def test_tallies_equal_the_batch_after_each_run_and_a_repeated_batch(spark, tmp_
 def test_a_table_of_one_file_is_a_stream_too(spark, tmp_path, name):
     put(spark, events(1, 10), str(tmp_path / name))
     assert positions.events_stream(spark, str(tmp_path / name)).isStreaming
+
+
+def test_positions_need_no_python_and_follow_the_clock_of_the_session(spark, tmp_path):
+    """A day is a day of the session's time zone, and an event without type counts as an answer."""
+    rows = [(0, datetime(2024, 5, 1, 22), 1, "error", 1.0), (1, datetime(2024, 5, 2, 2), 1, None, 1.0), (2, datetime(2024, 5, 2, 5), 1, "view", 1.0), (3, datetime(2024, 5, 4), 2, "view", 1.0)]
+    path = str(tmp_path / "events")
+    put(spark, rows, path)
+    plan = positions.positions(positions.events_stream(spark, path))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "PySpark" not in plan
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # 4 hours behind
+    try:
+        got = {(r.voter, r.day): (r.state, r.n_attempts) for r in positions.position_table(spark, path, str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {(1, "2024-05-01"): ("refused", 2), (1, "2024-05-02"): ("empty", 1)}
