@@ -143,3 +143,26 @@ def test_scalars_of_painted_pages():
     red = np.hypot(127.5, 63.75) + 0.3 * np.hypot(127.5, 63.75)
     assert got[2, "colorfulness"] == pytest.approx(red, rel=2e-2)
     assert got[3, "contrast"] == pytest.approx(127.5, rel=1e-2) and got[3, "colorfulness"] == pytest.approx(0, abs=1e-6)
+
+
+def test_each_two_pictures_are_compared_once(spark, monkeypatch):
+    """Pages of one picture share its scores: three batches of the same pages are no more work than one of them."""
+    boxes = [some_boxes(9, 5).tolist(), some_boxes(9, 5).tolist(), some_boxes(9, 6).tolist(), None]
+    rows = [(b, f"c{i % 2}", i % 2, 10 * b + i, x) for b in range(3) for i, x in enumerate(boxes)]
+    pages = spark.createDataFrame([(*r, repr(r[4])) for r in rows], "batch long, config string, config_ord int, slot long, boxes array<array<long>>, picture string")
+    count = spark.sparkContext.accumulator(0)
+    scores = raster.picture_scores
+
+    def counted(pairs, pictures):
+        count.add(pairs.num_rows)
+        return scores(pairs, pictures)
+
+    monkeypatch.setattr(raster, "picture_scores", counted)
+    pictures = pages.groupBy("picture").agg({"boxes": "first"}).withColumnRenamed("first(boxes)", "boxes")
+    got = {(r.slot_a, r.slot_b, r.channel): r.s for r in visual.visual_pairs(pages, pictures).collect()}
+    assert count.value == 6  # three pictures, with themselves too
+    want = {}
+    for b in range(3):
+        table = pa.Table.from_pylist([dict(zip(("batch", "config", "config_ord", "slot", "boxes"), r)) for r in rows if r[0] == b])
+        want |= {(r["slot_a"], r["slot_b"], r["channel"]): r["s"] for r in raster.batch_pairs(table).to_pylist()}
+    assert got == want

@@ -10,6 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: The viewport, gray weights in 65536ths, the sizes of the channels' pictures.
 WIDTH, HEIGHT = 1280, 800
@@ -187,43 +188,65 @@ def _boxes(column) -> list[np.ndarray]:
     return [np.array(x or [], np.int64).reshape(-1, 7) for x in column.to_pylist()]
 
 
-def page_signatures(table: pa.Table) -> pa.Table:
-    """``slot, phash, dhash, edge, layout, color`` of pages ``slot, boxes``."""
+def page_signatures(table: pa.Table, key: str = "slot") -> pa.Table:
+    """``key, phash, dhash, edge, layout, color`` of pages ``key, boxes``."""
     found = [descriptors(b) for b in _boxes(table.column("boxes"))]
     bits = lambda c: pa.array([np.packbits(d[c]).tobytes().hex() for d in found], pa.string())
     values = lambda c: pa.array([np.round(d[c], 9).tolist() for d in found], pa.list_(pa.float64()))
-    return pa.table({"slot": table.column("slot"), "phash": bits("v-phash"), "dhash": bits("v-dhash"), "edge": values("v-edge"), "layout": values("v-layout"), "color": values("v-color")})
+    return pa.table({key: table.column(key), "phash": bits("v-phash"), "dhash": bits("v-dhash"), "edge": values("v-edge"), "layout": values("v-layout"), "color": values("v-color")})
+
+
+def picture_scores(pairs: pa.Table, pictures: pa.Table) -> pa.Table:
+    """``a, b, s`` of pairs ``a, b`` of pictures ``picture, boxes``: ``s`` has the scores of all channels in their order, null
+    where a side has nothing to compare. All pictures of both sides are held at once."""
+    pictures = pictures.sort_by("picture")
+    at = {x: i for i, x in enumerate(pictures.column("picture").to_pylist())}
+    a, b = (np.array([at[x] for x in pairs.column(c).to_pylist()], np.int64) for c in "ab")
+    found = [descriptors(x) for x in _boxes(pictures.column("boxes"))]
+    scores = np.zeros((len(a), len(CHANNELS)))
+    for k, c in enumerate(CHANNELS[:2]):
+        bits = np.stack([d[c] for d in found])
+        scores[:, k] = 1 - (bits[a] != bits[b]).sum(1) / bits.shape[1]
+    for k, c in enumerate(CHANNELS[2:6], 2):
+        scores[:, k] = cosines(np.stack([d[c] for d in found]))[a, b]
+    tables = [Windows(d["v-ssim"]) for d in found]
+    scores[:, 6] = [similarity(tables[i], tables[j]) for i, j in zip(a, b, strict=True)]
+    flat = np.round(scores, 6).ravel()
+    s = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * len(CHANNELS), pa.int32()), pa.array(flat, mask=np.isnan(flat)))
+    return pa.table({"a": pairs.column("a"), "b": pairs.column("b"), "s": s})
+
+
+def page_pairs(pages: pa.Table, scores: pa.Table) -> pa.Table:
+    """All pairs of one batch's pages in all channels, of the ``scores`` of their pictures; a batch has a fixed number of pages."""
+    pages = pages.sort_by([("config_ord", "ascending"), ("slot", "ascending")])
+    at = {x: i for i, x in enumerate(sorted(set(pages.column("picture").to_pylist())))}
+    found = np.full((len(at), len(at), len(CHANNELS)), np.nan)
+    a, b = (np.array([at[x] for x in scores.column(c).to_pylist()], np.int64) for c in "ab")
+    found[a, b] = found[b, a] = pc.list_flatten(scores.column("s")).to_numpy().reshape(-1, len(CHANNELS))
+    own = np.array([at[x] for x in pages.column("picture").to_pylist()], np.int64)
+    a, b = np.triu_indices(len(own), 1)
+    config, slot = pages.column("config").combine_chunks(), pages.column("slot").combine_chunks()
+    x, y = config.take(pa.array(a)), config.take(pa.array(b))
+    shared = {"batch": pa.array(np.full(len(a), pages.column("batch")[0].as_py()), pa.int64()), "config_a": x, "config_b": y, "kind": pc.if_else(pc.equal(x, y), "self", "cross"), "slot_a": slot.take(pa.array(a)), "slot_b": slot.take(pa.array(b))}
+    each = found[own[a], own[b]]
+    return pa.concat_tables([pa.table(shared | {"channel": pa.array([c] * len(a), pa.string()), "s": pa.array(each[:, k], mask=np.isnan(each[:, k]))}) for k, c in enumerate(CHANNELS)])
 
 
 def batch_pairs(table: pa.Table) -> pa.Table:
-    """All pairs of one batch's pages in all visual channels; a batch has a fixed number of pages."""
-    table = table.sort_by([("config_ord", "ascending"), ("slot", "ascending")])
-    found = [descriptors(b) for b in _boxes(table.column("boxes"))]
-    a, b = np.triu_indices(len(found), 1)
-    scores = {}
-    for c in CHANNELS[:2]:
-        bits = np.stack([d[c] for d in found])
-        scores[c] = 1 - (bits[a] != bits[b]).sum(1) / bits.shape[1]
-    for c in CHANNELS[2:6]:
-        scores[c] = cosines(np.stack([d[c] for d in found]))[a, b]
-    tables = [Windows(d["v-ssim"]) for d in found]
-    scores["v-ssim"] = np.array([similarity(tables[i], tables[j]) for i, j in zip(a, b, strict=True)], float)
-    config, slot = np.array(table.column("config").to_pylist(), object), table.column("slot").to_numpy()
-    out = []
-    for c in CHANNELS:
-        s = np.round(scores[c], 6)
-        out.append(pa.table({
-            "batch": pa.array(np.full(len(a), table.column("batch")[0].as_py()), pa.int64()), "config_a": pa.array(config[a], pa.string()), "config_b": pa.array(config[b], pa.string()),
-            "kind": pa.array(np.where(config[a] == config[b], "self", "cross"), pa.string()), "slot_a": slot[a], "slot_b": slot[b], "channel": pa.array([c] * len(a), pa.string()), "s": pa.array(s, mask=np.isnan(s)),
-        }))
-    return pa.concat_tables(out)
-
-
-def page_scalars(table: pa.Table) -> pa.Table:
-    """``slot, scalar, v`` of pages ``slot, boxes``: colourfulness by the spread and the mean of both opponent colours, mean
+    """All pairs of one batch's pages with their ``boxes`` in all channels."""
+    names = pa.array([repr(x) for x in table.column("boxes").to_pylist()], pa.string())
+    kinds = {x: b for x, b in zip(names.to_pylist(), table.column("boxes").to_pylist(), strict=True)}
+    pictures = pa.table({"picture": list(kinds), "boxes": pa.array(list(kinds.values()), table.schema.field("boxes").type)})
+    a, b = np.triu_indices(len(kinds))
+    listed = pictures.column("picture").combine_chunks()
+    return page_pairs(table.append_column("picture", names), picture_scores(pa.table({"a": listed.take(pa.array(a)), "b": listed.take(pa.array(b))}), pictures))
+
+
+def page_scalars(table: pa.Table, key: str = "slot") -> pa.Table:
+    """``key, scalar, v`` of pages ``key, boxes``: colourfulness by the spread and the mean of both opponent colours, mean
     and deviation of gray, and the share of the most frequent of 64 colours."""
     slots, names, values = [], [], []
-    for slot, boxes in zip(table.column("slot").to_pylist(), _boxes(table.column("boxes")), strict=True):
+    for slot, boxes in zip(table.column(key).to_pylist(), _boxes(table.column("boxes")), strict=True):
         rgb = Picture(boxes).rgb_sized(COLOURS).reshape(-1, 3)
         rg, yb, gray = rgb[:, 0] - rgb[:, 1], (rgb[:, 0] + rgb[:, 1]) / 2 - rgb[:, 2], rgb @ np.array(REC601)
         bins = np.bincount((rgb.astype(np.int64) >> 6) @ np.array([16, 4, 1]), minlength=64)
@@ -233,4 +256,4 @@ def page_scalars(table: pa.Table) -> pa.Table:
         slots += [slot] * len(found)
         names += found
         values += [float(x) for x in found.values()]
-    return pa.table({"slot": pa.array(slots, pa.int64()), "scalar": pa.array(names, pa.string()), "v": pa.array(values, pa.float64())})
+    return pa.table({key: pa.array(slots, table.schema.field(key).type), "scalar": pa.array(names, pa.string()), "v": pa.array(values, pa.float64())})
