@@ -115,3 +115,19 @@ def test_compression_distance(spark):
             d = sum((size(p) - min(size(x), size(y))) / max(size(x), size(y)) for p in (x + y, y + x)) / 2
             assert s == pytest.approx(1 - min(max(d, 0), 1), abs=1e-6)
     assert len(got) == 10 and got[0, 1] > got[0, 2]
+
+
+def test_compression_pairs_of_a_batch_equal_those_of_given_pairs(spark):
+    texts = ["abc " * 200, "abc " * 190 + "xyz", None, "", "e\u0301" * 90]
+    cards = spark.createDataFrame([(i // 5, f"c{i % 2}", i % 2, i, texts[i % 5]) for i in range(10)], "batch long, config string, config_ord int, slot long, html string")
+    got = {(r.slot_a, r.slot_b): r.s for r in grouped.compression_pairs(cards).collect()}
+    assert len(got) == 20 and all(a // 5 == b // 5 for a, b in got)
+    pairs = spark.createDataFrame(list(got), "slot_a long, slot_b long")
+    assert got == {(r.slot_a, r.slot_b): r.s for r in grouped.compression_distance(pairs, cards).collect()}
+
+
+@pytest.mark.parametrize("n", [1, 70_000, 1 << 18])
+def test_a_dictionary_that_holds_the_text_gives_the_size_of_the_preset(n):
+    rng = np.random.default_rng(n)
+    x = bytes(rng.choice(np.frombuffer(b"<div class='abc'> text", np.uint8), n))
+    assert n <= grouped.dictionary(n) <= 1 << 23 and grouped.compressed(x.decode()) == len(lzma.compress(x, preset=6))
