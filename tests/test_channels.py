@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from weftline.operators import features, grouped
@@ -131,3 +132,13 @@ def test_a_dictionary_that_holds_the_text_gives_the_size_of_the_preset(n):
     rng = np.random.default_rng(n)
     x = bytes(rng.choice(np.frombuffer(b"<div class='abc'> text", np.uint8), n))
     assert n <= grouped.dictionary(n) <= 1 << 23 and grouped.compressed(x.decode()) == len(lzma.compress(x, preset=6))
+
+
+def test_cosines_are_sums_in_the_order_of_tokens():
+    lists = [[("b", 0.1), ("a", 3.0)], [("a", 3.0), ("b", 0.1)], None, [("c", 2.0), ("a", 1e-3), ("b", 7.7)]]
+    column = pa.chunked_array([pa.array([x and [{"token": t, "value": v} for t, v in x] for x in lists], pa.list_(pa.struct([("token", pa.string()), ("value", pa.float64())])))])
+    s, n = features.cosines(column)
+    assert n.tolist() == [2, 2, 0, 3] and s[0, 1] == 1.0
+    assert s[0, 3] == (3.0 * 1e-3 + 0.1 * 7.7) / np.sqrt((9.0 + 0.1 * 0.1) * ((1e-3 * 1e-3 + 7.7 * 7.7) + 4.0))
+    with pytest.raises(ValueError):
+        features.cosines(pa.chunked_array([pa.array([[{"token": "a", "value": 1.0}, {"token": "a", "value": 2.0}]])]))
