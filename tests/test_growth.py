@@ -16,6 +16,22 @@ def plan(df) -> list[str]:
     return re.findall(r"[A-Z]\w+", df._jdf.queryExecution().executedPlan().toString())
 
 
+def test_no_row_is_made_for_an_assignment(spark):
+    rows = [(u, k, (7 * u + 3 * k) % 11, (5 * u + k) % 13, (u + k) % 2) for u in range(4) for k in range(u + 1)]
+    blocks = spark.createDataFrame(rows, "unit long, block int, run_min long, run_q long, bit int")
+    made = {"block_groups": blocks}
+    found = views.dataframe(spark, "", "exploratory_p", made)
+    assert not [x for x in plan(found) if x.endswith("Join")]
+    want = {}
+    for u in range(1, 4):
+        unit, n = [r for r in rows if r[0] == u], u + 1
+        t = [sum(r[3] - r[2] if (o >> r[1]) % 2 == r[4] else r[2] - r[3] for r in unit) / n for o in range(2**n) if abs(n - 2 * o.bit_count()) <= 1]
+        seen = sum(r[3] - r[2] for r in unit) / n
+        want[u] = (round(seen, 6), len(t), round(sum(abs(x) >= abs(seen) - 1e-9 for x in t) / len(t), 6))
+    assert {r.unit: (r.t_obs, r.omega_size, r.p) for r in found.collect()} == want
+    assert views.dataframe(spark, "", "t_table", made).count() == sum(x[1] for x in want.values())
+
+
 def test_pages_and_texts_are_cut_by_plain_rules(spark):
     html = ["<P>a\U0001f600bc</p>  /* x */ <b class='q.w'>1.5 \"s\" .cls it's</b>", "abc", "", "<a><b/><b></b></a><c></c>" * 3]
     cards = spark.createDataFrame([(0, f"c{i}", i, i, h) for i, h in enumerate(html)], "batch long, config string, config_ord int, slot long, html string")
