@@ -32,6 +32,14 @@ def test_no_row_is_made_for_an_assignment(spark):
     assert views.dataframe(spark, "", "t_table", made).count() == sum(x[1] for x in want.values())
 
 
+def test_values_of_a_line_are_not_expanded(spark):
+    lines = [(1, 1, "high 3° low 2°"), (1, 2, "high 3° high 3° low 3°"), (1, 3, "max 1° max 2° low 0°"), (1, 4, "max/min 4°"), (1, 5, "low 4°")]
+    found = views.dataframe(spark, "", "fact_binding", {"fact_lines": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, line string")})
+    assert "Expand" not in plan(found)
+    want = {1: ("bound", 3, 2, 0), 2: ("ambiguous", 3, 3, 0), 3: ("several", None, 0, 0), 4: ("not-shown", None, None, 1), 5: ("single", None, 4, 0)}
+    assert {r.l_linenumber: (r.state, r.high, r.low, r.n_void) for r in found.collect()} == want
+
+
 def test_pages_and_texts_are_cut_by_plain_rules(spark):
     html = ["<P>a\U0001f600bc</p>  /* x */ <b class='q.w'>1.5 \"s\" .cls it's</b>", "abc", "", "<a><b/><b></b></a><c></c>" * 3]
     cards = spark.createDataFrame([(0, f"c{i}", i, i, h) for i, h in enumerate(html)], "batch long, config string, config_ord int, slot long, html string")
