@@ -32,6 +32,18 @@ def test_no_row_is_made_for_an_assignment(spark):
     assert views.dataframe(spark, "", "t_table", made).count() == sum(x[1] for x in want.values())
 
 
+def test_best_lines_without_a_window(spark):
+    rows = [(o, k, float((3 * o + 5 * k * k) % 7)) for o in range(20) for k in range(1, 2 + o % 7)]
+    found = views.dataframe(spark, "", "label_binding", {"lineitem": spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double")})
+    assert "Window" not in plan(found)
+    want = {}
+    for o in range(20):
+        mine = [r for r in rows if r[0] == o]
+        if pairs := [(abs(a[1] - b[1]), b[2] - a[2], a[1], b[1]) for a, b in itertools.permutations(mine, 2) if a[2] > b[2]]:
+            want[o] = min(pairs)[2:]
+    assert {r.l_orderkey: (r.max_line, r.min_line) for r in found.collect()} == want
+
+
 def test_values_of_a_line_are_not_expanded(spark):
     lines = [(1, 1, "high 3° low 2°"), (1, 2, "high 3° high 3° low 3°"), (1, 3, "max 1° max 2° low 0°"), (1, 4, "max/min 4°"), (1, 5, "low 4°")]
     found = views.dataframe(spark, "", "fact_binding", {"fact_lines": spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, line string")})
