@@ -52,6 +52,15 @@ def test_values_of_a_line_are_not_expanded(spark):
     assert {r.l_linenumber: (r.state, r.high, r.low, r.n_void) for r in found.collect()} == want
 
 
+def test_grids_are_compared_a_few_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    pairs = spark.createDataFrame([(i, i + 1, rng.random(64).tolist(), rng.random(64).tolist()) for i in range(40)], "a long, b long, x array<float>, y array<float>")
+    whole = grouped.structural_similarity(pairs)
+    assert "MapInArrow" in plan(whole)
+    monkeypatch.setattr(grouped, "PAIRS_HELD", 7)
+    assert sorted(whole.collect()) == sorted(grouped.structural_similarity(pairs).collect())
+
+
 def test_pages_and_texts_are_cut_by_plain_rules(spark):
     html = ["<P>a\U0001f600bc</p>  /* x */ <b class='q.w'>1.5 \"s\" .cls it's</b>", "abc", "", "<a><b/><b></b></a><c></c>" * 3]
     cards = spark.createDataFrame([(0, f"c{i}", i, i, h) for i, h in enumerate(html)], "batch long, config string, config_ord int, slot long, html string")
