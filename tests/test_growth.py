@@ -109,3 +109,9 @@ def test_grams_of_a_page_are_made_in_its_batch(spark):
         x, y = bags[r.slot_a], bags[r.slot_b]
         assert r.shared == (x & y).total()
         assert r.s == (pytest.approx(2 * (x & y).total() / (x.total() + y.total())) if x and y else None)
+
+
+def test_a_unit_of_lines_is_ordered_once(spark):
+    lines = spark.createDataFrame([(1, 1, "high 3° low 2°"), (2, 1, None)], "unit long, k int, line string")
+    found = plan(spans.bound_extremes(spans.fact_spans(lines, ["unit", "k"]), lines, "unit", "k"))
+    assert found.count("Sort") == 1 and not [x for x in found if x.endswith("Join")]

@@ -81,37 +81,33 @@ def bound_extremes(spans: DataFrame, lines: DataFrame, unit: str, line: str, tex
     best of each side can be in the best pair, so that nothing is compared with everything. Labels of one kind bind one
     value and leave the other to the rest; three values or more are ambiguous then, as without labels.
     """
-    order = Window.partitionBy(unit).orderBy(line)
-    base = lines.select(unit, line, F.coalesce(F.sum(F.length(text)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = spans.filter("not voided and namespace <> 'hourly-label'").join(base, [unit, line]).withColumn("at", F.col("base") + F.col("start"))
+    # each line stands before its spans, with its length: one order of a unit's rows serves all that looks back and ahead
+    marks = lines.select(unit, line, F.lit(-1).alias("start"), F.lit("line").alias("namespace"), F.lit(None).cast("decimal(18, 6)").alias("value"), F.coalesce(F.length(text), F.lit(0)).alias("size"))
+    found = spans.filter(f"not voided and namespace <> 'hourly-label' and {unit} is not null and {line} is not null").select(unit, line, "start", "namespace", "value", F.lit(None).cast("int").alias("size"))
+    rows, order = marks.union(found), Window.partitionBy(unit).orderBy(line, "start")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.sum("size").over(so_far) - F.last("size", ignorenulls=True).over(so_far) + F.col("start"))
     columns = {}
     for side in ("max", "min"):
         label = F.when(F.col("namespace") == f"{side}-label", F.col("at"))
-        for by, name in (([unit, line], "near"), ([unit], "far")):
-            w = Window.partitionBy(*by).orderBy("at")
+        for w, name in ((Window.partitionBy(unit, line).orderBy("start"), "near"), (order, "far")):
             columns[f"{side}_{name}_before"] = F.last(label, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
             columns[f"{side}_{name}_after"] = F.first(label, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
     rows = rows.withColumns(columns)
     closest = lambda side, name: F.least(F.col("at") - F.col(f"{side}_{name}_before"), F.col(f"{side}_{name}_after") - F.col("at"))
-    temps = rows.filter("namespace = 'temperature'")
-    for side in ("max", "min"):
-        near, far = closest(side, "near"), closest(side, "far")
-        temps = temps.withColumn(f"d_{side}", F.when(near.isNotNull(), F.struct(F.lit(0).alias("edges"), near.alias("text"))).when(far.isNotNull(), F.struct(F.lit(2).alias("edges"), far.alias("text"))))
-    place = F.struct(F.col(line).alias("line"), "start", "value")
-    two = {}
+    temp, listed = F.col("namespace") == "temperature", {}
     for side in ("max", "min"):  # the two nearest to a label, and the two with the most extreme values
-        two[f"{side}_r"] = F.row_number().over(Window.partitionBy(unit).orderBy(F.col(f"d_{side}").asc_nulls_last(), line, "start"))
-        two[f"{side}_v"] = F.row_number().over(Window.partitionBy(unit).orderBy(F.col("value").desc() if side == "max" else F.col("value"), line, "start"))
-    ranked = temps.withColumns(two)
-    pick = lambda c, k: F.max(F.when(F.col(c) == k, place))
-    dist = lambda side, k: F.max(F.when(F.col(f"{side}_r") == k, F.col(f"d_{side}")))
-    found = ranked.groupBy(unit).agg(
-        F.count(F.lit(1)).alias("n"), *[pick(f"{s}_{t}", k).alias(f"{s}_{t}{k}") for s in ("max", "min") for t in "rv" for k in (1, 2)], *[dist(s, k).alias(f"{s}_d{k}") for s in ("max", "min") for k in (1, 2)],
-    )
-    labels = rows.groupBy(unit).agg(F.max(F.col("namespace") == "max-label").alias("has_max"), F.max(F.col("namespace") == "min-label").alias("has_min"))
-    at = labels.join(found, unit, "left").join(lines.select(unit).distinct(), unit, "right")
+        near, far = closest(side, "near"), closest(side, "far")
+        d = F.struct(F.when(near.isNotNull(), 0).when(far.isNotNull(), 2).alias("edges"), F.coalesce(near, far).alias("text"))
+        listed[f"{side}_r"] = F.collect_list(F.when(temp, F.struct(d["edges"].isNull().alias("none"), d.alias("d"), F.col(line).alias("line"), "start", "value")))
+        listed[f"{side}_v"] = F.collect_list(F.when(temp, F.struct((-F.col("value") if side == "max" else F.col("value")).alias("key"), F.col(line).alias("line"), "start", "value")))
+    at = rows.groupBy(unit).agg(*[F.slice(F.array_sort(c), 1, 2).alias(name) for name, c in listed.items()], F.count_if(temp).alias("n"), *[F.max(F.col("namespace") == f"{s}-label").alias(f"has_{s}") for s in ("max", "min")])
+    place = lambda x: F.when(x.isNotNull(), F.struct(x["line"].alias("line"), x["start"].alias("start"), x["value"].alias("value")))
+    best_of = {f"{s}_{t}{k}": place(F.get(f"{s}_{t}", F.lit(k - 1))) for s in ("max", "min") for t in "rv" for k in (1, 2)}
+    dist = {f"{s}_d{k}": F.when(~F.get(f"{s}_r", F.lit(k - 1))["none"], F.get(f"{s}_r", F.lit(k - 1))["d"]) for s in ("max", "min") for k in (1, 2)}
+    at = at.select(unit, "n", "has_max", "has_min", *[c.alias(name) for name, c in (best_of | dist).items()])
     both, one = F.col("has_max") & F.col("has_min"), F.col("has_max") | F.col("has_min")
-    n = F.coalesce("n", F.lit(0))
+    n = F.col("n")
     branch = F.when(n == 0, "E-empty").when(both, "double-label").when(one, "single-label").otherwise("no-label")
 
     def option(i: int, j: int) -> Column:
