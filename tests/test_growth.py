@@ -115,3 +115,17 @@ def test_a_unit_of_lines_is_ordered_once(spark):
     lines = spark.createDataFrame([(1, 1, "high 3° low 2°"), (2, 1, None)], "unit long, k int, line string")
     found = plan(spans.bound_extremes(spans.fact_spans(lines, ["unit", "k"]), lines, "unit", "k"))
     assert found.count("Sort") == 1 and not [x for x in found if x.endswith("Join")]
+
+
+def test_a_page_travels_as_its_boxes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    pages = {s: rng.permutation(3000)[: rng.integers(0, 60)].tolist() for s in range(6)} | {6: []}
+    cards = spark.createDataFrame([(0, f"c{s}", s, s) for s in pages], "batch long, config string, config_ord int, slot long")
+    nodes = spark.createDataFrame([(0, f"c{s}", s, s, p) for s, page in pages.items() for p in page], "batch long, config string, config_ord int, slot long, pos int")
+    made = {"cards": cards, "nodes": nodes}
+    found = views.dataframe(spark, "", "layout_iou_pairs", made)
+    assert "Generate" not in plan(found)  # no row for a box and cell
+    monkeypatch.setattr(features, "BOXES_HELD", 7)
+    want = features.overlap_pairs(cards, views.dataframe(spark, "", "occupancy", made))
+    got = sorted(views.dataframe(spark, "", "layout_iou_pairs", {"cards": cards, "nodes": nodes}).collect())
+    assert len(got) == 21 and got == sorted(want.collect()) == sorted(found.collect())
