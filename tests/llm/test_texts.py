@@ -461,6 +461,21 @@ def test_scores_of_all_ids_sum_to_one_and_learn(spark):
     assert sum(10 ** np.array(p)) == pytest.approx(np.exp(z[:7]).sum() / np.exp(z).sum(), rel=1e-4)  # other classes have no id
 
 
+def test_steps_are_taken_on_all_documents(spark):
+    tokenizer = lmscore.default_tokenizer()
+    letters = np.random.default_rng(4).integers(97, 123, (300, 12))
+    words = [" ".join("".join(map(chr, r)) for r in row.reshape(3, 4)) for row in letters]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    size = lmscore.encoder(tokenizer).size + 1
+    fresh = lmscore.Attention.fresh(np.arange(size) % lmscore.CLASSES, np.zeros(size, np.float32))
+    got = lmscore.descend(docs, fresh, tokenizer, 10, task_bytes=2000)  # ten at first, the rest in a few tasks
+    offsets, ids = lmscore._ids(pa.record_batch({"text": words}), tokenizer)
+    seen = np.unique(np.delete(ids, offsets[1:] - 1))
+    assert len(seen) > 100 and (got.p["E"][seen] != fresh.p["E"][seen]).any(1).all()
+    unseen = np.setdiff1d(np.arange(size), seen)
+    assert (got.p["E"][unseen] == fresh.p["E"][unseen]).all()
+
+
 def test_the_model_keeps_every_gram(spark):
     letters = np.random.default_rng(8).integers(97, 123, (30, 1500))  # so many grams that some would meet in 2 ** 24 slots
     texts = ["".join(map(chr, row)) for row in letters]

@@ -3,8 +3,8 @@
 p(id | all before) = p(class | all before) x p(id | class, id before). The attention model gives the first; the second
 comes from counts of pairs with absolute discounting, what is discounted going to p(id | class). Classes are clusters of
 ids by their neighbours, with a class for each of the most frequent ids. Words, ids and pairs are counted over all
-training documents, classes come from all pairs, and gradient steps are taken on a thirtieth of the documents: some in
-one task, then the rest in as many tasks as they fill, whose weights are averaged. Windows of WINDOW ids overlap: each
+training documents, classes come from all pairs, and gradient steps are taken on all of them: some in one task, then the
+rest in as many tasks as they fill, whose weights are averaged. Windows of WINDOW ids overlap: each
 id is scored once, by one of a window's last QUERIES places.
 """
 
@@ -28,8 +28,8 @@ from weftline.llm.tokens import default_tokenizer, encoder, with_end
 
 WINDOW, QUERIES, DEPTH, HIDDEN, CLASSES, SINGLE = 32, 24, 16, 32, 64, 32
 PAST = WINDOW - QUERIES
-#: Share of the training documents that gradient steps are taken on, at least SAMPLE_DOCS of them; text of one task.
-SAMPLE_SHARE, SAMPLE_DOCS, TASK_BYTES = 1 / 30, 1500, 4 << 20
+#: The training documents and the text that gradient steps start on, in one task; text of one task of the rest.
+FIRST_DOCS, FIRST_BYTES, TASK_BYTES = 1500, 4 << 20, 4 << 20
 LEAST_STEPS = 2000
 #: What is taken from the count of each pair.
 DISCOUNT = 0.75
@@ -91,9 +91,10 @@ class Attention:
 
     def forward(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
         p = self.p
+        by = lambda a, w: (a.reshape(-1, w.shape[0]) @ w).reshape(*a.shape[:-1], -1)  # noqa: E731  one product
         e = p["E"][x] + p["P"]
         xq = np.ascontiguousarray(e[:, PAST:])
-        k, v, q = e @ p["K"], e @ p["V"], xq @ (p["Q"] * _SCALE)
+        k, v, q = by(e, p["K"]), by(e, p["V"]), by(xq, p["Q"] * _SCALE)
         s = q @ k.transpose(0, 2, 1)
         np.clip(s, -30, 30, out=s)
         np.exp(s, out=s)
@@ -101,9 +102,10 @@ class Attention:
         s *= (x != len(self.home) + 1)[:, None]
         s /= s.sum(-1, keepdims=True) + np.float32(1e-9)
         a = s @ v
-        y = xq + a @ p["O"]
-        h = np.maximum(y @ p["A"] + p["a"], 0)
-        z = y + h @ p["B"]
+        y = xq + by(a, p["O"])
+        h = by(y, p["A"]) + p["a"]
+        np.maximum(h, 0, out=h)
+        z = y + by(h, p["B"])
         logits = z.reshape(-1, DEPTH) @ p["C"] + p["c"]
         return e, xq, k, v, q, s, a, y, h, z, logits
 
@@ -150,45 +152,52 @@ class Attention:
         steps = max(1, len(x) // batch) * epochs
         for _ in range(epochs):
             for i in np.array_split(rng.permutation(len(x)), max(1, len(x) // batch)):
-                g = self.gradients(x[i], y[i])
+                g, seen, of_seen = self.backward(x[i], y[i])
                 t += 1
                 now = rate * min(1.0, t / 50) * (1 - 0.9 * t / steps)
-                seen = np.unique(x[i])  # other rows of E keep their moments
                 for k in p:
-                    at = seen if k == "E" else slice(None)
-                    m[k][at] += 0.1 * (g[k][at] - m[k][at])
-                    v[k][at] += 0.01 * (g[k][at] ** 2 - v[k][at])
+                    at, d = (seen, of_seen) if k == "E" else (slice(None), g[k])  # other rows of E keep their moments
+                    m[k][at] += 0.1 * (d - m[k][at])
+                    v[k][at] += 0.01 * (d**2 - v[k][at])
                     p[k][at] -= (now * (m[k][at] / (1 - 0.9**t)) / (np.sqrt(v[k][at] / (1 - 0.99**t)) + 1e-8)).astype(p[k].dtype)
         return self
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+        g, seen, of_seen = self.backward(x, y)
+        g["E"] = np.zeros_like(self.p["E"])
+        g["E"][seen] = of_seen
+        return g
+
+    def backward(self, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """The gradients of all weights but E, the rows of E in ``x``, and their gradients."""
         p, flat = self.p, lambda w: w.reshape(-1, w.shape[-1])
+        by = lambda a, w: (flat(a) @ w).reshape(*a.shape[:-1], -1)  # noqa: E731  one product
         e, xq, k, v, q, s, a, yy, h, z, logits = self.forward(x)
         target, real = y.ravel(), y.ravel() >= 0
-        d = np.exp(logits - logits.max(1, keepdims=True))
-        d /= d.sum(1, keepdims=True)
+        d = np.exp(np.clip(logits, -60, 60, out=logits), out=logits)
+        d /= (d @ np.ones(CLASSES, d.dtype))[:, None]
         d[np.arange(len(d)), self.home[target]] -= 1
         d *= real[:, None] / np.float32(max(real.sum(), 1))
         g = {"C": flat(z).T @ d, "c": d.sum(0)}
         dz = (d @ p["C"].T).reshape(z.shape)
-        dh = (dz @ p["B"].T) * (h > 0)
+        dh = by(dz, p["B"].T)
+        dh *= h > 0
         g |= {"B": flat(h).T @ flat(dz), "A": flat(yy).T @ flat(dh), "a": flat(dh).sum(0)}
-        dy = dz + dh @ p["A"].T
+        dy = dz + by(dh, p["A"].T)
         g["O"] = flat(a).T @ flat(dy)
-        da = dy @ p["O"].T
+        da = by(dy, p["O"].T)
         dv, ds = s.transpose(0, 2, 1) @ da, da @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(-1, keepdims=True))
+        ds -= np.einsum("nqd,nqd->nq", da, a)[..., None]  # the sum of ds * s over keys
+        ds *= s
         dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
         g |= {"K": flat(e).T @ flat(dk), "V": flat(e).T @ flat(dv), "Q": flat(xq).T @ flat(dq) * _SCALE}
-        de = dk @ p["K"].T + dv @ p["V"].T
-        de[:, PAST:] += dy + dq @ (p["Q"].T * _SCALE)
+        de = by(dk, p["K"].T) + by(dv, p["V"].T)
+        de[:, PAST:] += dy + by(dq, p["Q"].T * _SCALE)
         g["P"] = de.sum(0)
-        g["E"] = np.zeros_like(p["E"])
         order = np.argsort(x.ravel(), kind="stable")
         xs = x.ravel()[order]
         starts = np.flatnonzero(np.concatenate([[True], xs[1:] != xs[:-1]]))
-        g["E"][xs[starts]] = np.add.reduceat(flat(de)[order], starts)
-        return g
+        return g, xs[starts], np.add.reduceat(flat(de)[order], starts)
 
 
 #: Of the products of queries and keys; in 32 bits, or all that follows would be in 64.
@@ -332,20 +341,20 @@ def _back(rows: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray
     return out
 
 
-def descend(docs: DataFrame, model: Attention, tokenizer: str, share: float = SAMPLE_SHARE, least: int = SAMPLE_DOCS, task_bytes: int = TASK_BYTES) -> Attention:
-    """Gradient steps on the whole texts of a ``share`` of ``docs``, drawn by a hash, ``least`` of them at least.
+def descend(docs: DataFrame, model: Attention, tokenizer: str, first_docs: int = FIRST_DOCS, first_bytes: int = FIRST_BYTES, task_bytes: int = TASK_BYTES) -> Attention:
+    """Gradient steps on the whole texts of all ``docs``, in the order of a hash.
 
-    One task takes the first ones; all others start from its weights, in tasks of about ``task_bytes``, and the mean of
-    what they change is added, where each row of ids weighs as often as a task has met it.
+    One task takes the first ones, some ``first_docs`` or ``first_bytes``; all others start from its weights, in tasks of
+    about ``task_bytes``, and the mean of what they change is added, where each row of ids weighs as often as a task has
+    met it.
     """
     spark = docs.sparkSession
     of = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
     if not of.n:
         return model
-    rate = min(1.0, max(share, least / of.n))
-    first = min(rate, task_bytes / max(of.b or 0, 1), least / of.n)
+    first = min(1.0, first_bytes / max(of.b or 0, 1), first_docs / of.n)
     u = F.pmod(F.xxhash64("doc_id", "text", F.lit("attention")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    n_tasks = max(1, round((rate - first) * (of.b or 0) / task_bytes))
+    n_tasks = max(1, round((1 - first) * (of.b or 0) / task_bytes))
 
     def steps(start: dict[str, np.ndarray], home: np.ndarray, inner: np.ndarray, rate: float, epochs: int):
         held = spark.sparkContext.broadcast((start, home, inner))  # the vocabulary x DEPTH weights, a fixed size
@@ -366,10 +375,10 @@ def descend(docs: DataFrame, model: Attention, tokenizer: str, share: float = SA
             weight[: len(start["E"])] = np.bincount(ids, minlength=len(start["E"]))
             at = np.flatnonzero((change != 0).any(1))
             weight = np.maximum(weight[at], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array(change[at, j] * weight) for j in range(_ROW)]], names)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(weight), *[pa.array((change[at, j] * weight).astype(np.float32)) for j in range(_ROW)]], names)
 
         names = ["at", "weight", *[f"v{j}" for j in range(_ROW)]]
-        return run, "at long, weight double, " + ", ".join(f"v{j} double" for j in range(_ROW))
+        return run, "at long, weight double, " + ", ".join(f"v{j} float" for j in range(_ROW))
 
     def mean(rows: DataFrame, model: Attention, rate: float, epochs: int) -> Attention:
         run, schema = steps(model.p, model.home, model.inner, rate, epochs)
@@ -381,8 +390,8 @@ def descend(docs: DataFrame, model: Attention, tokenizer: str, share: float = SA
 
     rows = docs.select("text", u.alias("u"))
     model = mean(rows.filter(F.col("u") < first).repartition(1).sortWithinPartitions("u", "text"), model, 5e-3, 3)
-    if rate > first:
-        rest = rows.filter((F.col("u") >= first) & (F.col("u") < rate))
+    if first < 1:
+        rest = rows.filter(F.col("u") >= first)
         model = mean(rest.repartition(n_tasks, "u").sortWithinPartitions("u", "text"), model, 2e-3, 1)
     return model
 
