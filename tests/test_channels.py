@@ -134,6 +134,16 @@ def test_a_dictionary_that_holds_the_text_gives_the_size_of_the_preset(n):
     assert n <= grouped.dictionary(n) <= 1 << 23 and grouped.compressed(x.decode()) == len(lzma.compress(x, preset=6))
 
 
+def test_sizes_are_those_of_the_preset_where_a_search_ends_early(spark):
+    x = "\n".join(f"<li id={i:06d}>{i}</li>" for i in range(1000))
+    y = "\n".join(f"<li>{i * 65537 % 1_000_003:06d}</li>" for i in range(1000))
+    size = lambda t: len(lzma.compress(t.encode(), preset=6))
+    assert grouped.compressed(x + y) == size(x + y)
+    cards = spark.createDataFrame([(0, "c0", 0, 0, x), (0, "c1", 1, 1, y)], "batch long, config string, config_ord int, slot long, html string")
+    d = sum((size(p) - min(size(x), size(y))) / max(size(x), size(y)) for p in (x + y, y + x)) / 2
+    assert [tuple(r) for r in grouped.compression_pairs(cards).collect()] == [(0, 1, round(1 - d, 6))]
+
+
 def test_cosines_are_sums_in_the_order_of_tokens():
     lists = [[("b", 0.1), ("a", 3.0)], [("a", 3.0), ("b", 0.1)], None, [("c", 2.0), ("a", 1e-3), ("b", 7.7)]]
     column = pa.chunked_array([pa.array([x and [{"token": t, "value": v} for t, v in x] for x in lists], pa.list_(pa.struct([("token", pa.string()), ("value", pa.float64())])))])
